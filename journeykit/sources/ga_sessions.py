@@ -1,0 +1,150 @@
+"""The nested web-visit source (one row per visit, repeated ``hits``).
+
+Two ways in:
+
+* ``read_ga_sessions`` — a Parquet directory partitioned by ``date`` (the
+  date-sharded source); a pruned read schema keeps the scan to the fields the
+  flattening reads, and the date range becomes a partition filter.
+* ``ga_sessions_from_events`` — derives the nested source from the driver's
+  ``events`` table with integer formulas that a SQL engine can repeat
+  exactly (see FIXTURES.md §3). Its cost grows with ``events``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from journeykit.functions.columns import epoch_millis
+
+# Only the fields the flattening reads. Passing this as the read schema is
+# what prunes the nested ``hits`` struct: Catalyst alone does not prune
+# several sub-fields through ``explode``.
+GA_SESSIONS_DDL = (
+    "fullVisitorId STRING, visitId BIGINT, visitStartTime BIGINT, date STRING, "
+    "device STRUCT<deviceCategory: STRING>, "
+    "trafficSource STRUCT<source: STRING, medium: STRING, campaign: STRING, "
+    "adContent: STRING, keyword: STRING, adwordsClickInfo: STRUCT<gclid: STRING>>, "
+    "hits ARRAY<STRUCT<hitNumber: BIGINT, time: BIGINT, type: STRING, "
+    "page: STRUCT<pagePath: STRING, hostname: STRING>, "
+    "product: ARRAY<STRUCT<v2ProductCategory: STRING>>, "
+    "eCommerceAction: STRUCT<action_type: STRING>>>"
+)
+
+# ---------------------------------------------------------------------------
+# Fixed values of the derived fixture (FIXTURES.md §3); the SQL oracle repeats
+# them, so both engines build identical visits.
+# ---------------------------------------------------------------------------
+FIXTURE_EPOCH_MS = 1704067200000          # 2024-01-01 00:00:00 UTC
+FIXTURE_VISIT_MS = 172800000              # two-day visit bucket
+FIXTURE_HOST = "h.example"
+FIXTURE_PATHS = [
+    "/home", "/", "/store.html", "/google+redesign/apparel",
+    "/google+redesign/apparel/mens", "/google+redesign/apparel/mens/tee.axd",
+    "/google+redesign/bags/backpacks/home?utm_source=feed&color=dark+blue",
+    "/google+redesign/electronics/audio/cam?sku=7", "/basket.html",
+    "/yourinfo.html?step=payment", "/asearch.html?keyword=a+b", "/signin.html",
+    "/quickview/x", "/store-locator", "/home?ref=x&page=2", "/index.html", "/HOME",
+    "/bags//sale",
+]
+FIXTURE_PRODUCT_PATH_INDEXES = [6, 7]
+FIXTURE_SOURCES = [  # (source, medium)
+    ("(direct)", "(none)"), ("google", "organic"), ("google", "cpc"),
+    ("youtube.com", "referral"), ("m.facebook.com", "referral"), ("bing", "organic"),
+    ("t.co", "referral"), ("(not set)", "(not set)"), (None, None), ("Partners", "affiliate"),
+]
+FIXTURE_DEVICES = ["desktop", "mobile", "tablet"]
+FIXTURE_CATEGORIES = ["Home/Apparel/Kid's/Kids-Youth/", "Home/Electronics/Audio/",
+                      "(not set)", "Home/Bags/"]
+# ---------------------------------------------------------------------------
+
+# Upper bound of hits per nested row. A very long visit is stored as several
+# rows with the same visit id (the flattening is row-local, so results are
+# the same); no visit is ever collected into one unbounded array.
+HITS_PER_ROW = 512
+
+
+def _pick(values: list, index: Column) -> Column:
+    """``values[index]`` for a small fixed list, as a JVM-side array lookup."""
+    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+
+
+def ga_sessions_from_events(events: DataFrame) -> DataFrame:
+    """Nested visits derived from the ``events`` table (FIXTURES.md §3)."""
+    ms = epoch_millis(events, "ts")
+    ev = events.select("event_id", "user_id", "event_type", ms.alias("ms"))
+    ev = ev.withColumn("b", F.floor((F.col("ms") - F.lit(FIXTURE_EPOCH_MS)) / F.lit(FIXTURE_VISIT_MS)))
+    visit = Window.partitionBy("user_id", "b").orderBy("ms", "event_id")
+    ev = ev.withColumn("hit_number", F.row_number().over(visit).cast("bigint"))
+
+    vst = F.lit(FIXTURE_EPOCH_MS // 1000) + F.col("b") * F.lit(FIXTURE_VISIT_MS // 1000)
+    purchase = F.col("event_type") == "purchase"
+    even_id = F.pmod(F.col("event_id"), F.lit(2)) == 0
+    path_idx = F.pmod(F.col("event_id") * 31 + F.col("user_id") * 17, F.lit(len(FIXTURE_PATHS)))
+    src_idx = F.pmod(F.col("user_id") * 7 + F.col("b"), F.lit(len(FIXTURE_SOURCES)))
+    source = _pick([s for s, _ in FIXTURE_SOURCES], src_idx)
+    medium = _pick([m for _, m in FIXTURE_SOURCES], src_idx)
+    is_cpc = medium == "cpc"
+
+    hit = F.struct(
+        F.col("hit_number").alias("hitNumber"),
+        (F.col("ms") - vst * 1000).alias("time"),
+        F.when(F.col("event_type") == "error", "EVENT")
+        .when(purchase & even_id, "TRANSACTION")
+        .otherwise("PAGE").alias("type"),
+        F.struct(
+            F.when(purchase, F.lit("/ordercompleted.html"))
+            .otherwise(_pick(FIXTURE_PATHS, path_idx)).alias("pagePath"),
+            F.lit(FIXTURE_HOST).alias("hostname"),
+        ).alias("page"),
+        F.when(
+            ~purchase & path_idx.isin(*FIXTURE_PRODUCT_PATH_INDEXES),
+            F.array(F.struct(_pick(FIXTURE_CATEGORIES, F.pmod(F.col("event_id"), F.lit(4)))
+                             .alias("v2ProductCategory"))),
+        ).otherwise(F.array().cast("array<struct<v2ProductCategory:string>>")).alias("product"),
+        F.struct(F.when(purchase & ~even_id, "6").otherwise("0").alias("action_type"))
+        .alias("eCommerceAction"),
+    )
+    visit_attrs = [
+        F.col("user_id").cast("string").alias("fullVisitorId"),
+        F.col("b").cast("bigint").alias("visitId"),
+        vst.cast("bigint").alias("visitStartTime"),
+        F.date_format(F.timestamp_seconds(vst), "yyyyMMdd").alias("date"),
+        F.struct(_pick(FIXTURE_DEVICES, F.pmod(F.col("user_id"), F.lit(3))).alias("deviceCategory"))
+        .alias("device"),
+        F.struct(
+            source.alias("source"),
+            medium.alias("medium"),
+            F.when(is_cpc, F.lit("brand")).alias("campaign"),
+            F.lit(None).cast("string").alias("adContent"),
+            F.when(source == "google", F.lit("(not provided)")).alias("keyword"),
+            F.struct(F.when(is_cpc, F.concat(F.lit("g"), F.col("user_id").cast("string")))
+                     .alias("gclid")).alias("adwordsClickInfo"),
+        ).alias("trafficSource"),
+    ]
+    names = ["fullVisitorId", "visitId", "visitStartTime", "date", "device", "trafficSource"]
+    # Visit attributes are functions of (user_id, b): computed once per output
+    # row after grouping. Grouping on (user_id, b, block) reuses the window's
+    # hash partitioning on (user_id, b), so no second exchange is planned.
+    blocks = (
+        ev.withColumn("hit_block", F.floor((F.col("hit_number") - 1) / F.lit(HITS_PER_ROW)))
+        .groupBy("user_id", "b", "hit_block")
+        .agg(F.sort_array(F.collect_list(hit)).alias("hits"))
+    )
+    return blocks.select(*visit_attrs, "hits").select(*names, "hits")
+
+
+def load_ga_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested visits for a test-data directory (derived from ``events``)."""
+    return ga_sessions_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def read_ga_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Read a date-partitioned nested source with the pruned read schema."""
+    return spark.read.schema(GA_SESSIONS_DDL).parquet(path)
+
+
+def write_ga_sessions(sessions: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write nested visits as Parquet partitioned by ``date`` (one folder per
+    daily shard), so date ranges prune whole folders on read."""
+    sessions.write.mode(mode).partitionBy("date").parquet(path)
