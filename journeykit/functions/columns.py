@@ -30,8 +30,9 @@ def first_by_order(value: str | Column, *order: str) -> Column:
     return F.min_by(v, F.struct(*[F.col(c) for c in order]))
 
 
-def majority_value(value: str) -> Column:
+def majority_value(value: str, over=None) -> Column:
     """Most frequent value with NULL counted as a value; ties go to the
     smallest value, NULL first. ``mode`` keeps a bounded value→count map per
     group and merges map-side, so a hot group is pre-aggregated."""
-    return F.mode(F.struct(F.col(value).alias("v")), deterministic=True)["v"]
+    agg = F.mode(F.struct(F.col(value).alias("v")), deterministic=True)
+    return (agg if over is None else agg.over(over))["v"]

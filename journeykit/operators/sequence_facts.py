@@ -1,13 +1,18 @@
 """C6 — session facts over refresh-free events (the sequencing view).
 
-One ``groupBy(session_id)`` on top of the navigation step: the input is
-already hash-partitioned by ``session_id`` (the window's exchange), so the
-aggregate adds no exchange.
+The same facts are offered two ways:
+
+* ``sequence_session_facts`` — one row per session, a ``groupBy`` on top of
+  the navigation step (already hash-partitioned by ``session_id``, so no new
+  exchange; all aggregates but the fingerprint merge map-side);
+* ``with_sequence_facts`` — the facts attached to every event as window
+  aggregates over the whole session, evaluated on the navigation step's own
+  partitioning: the enrichment needs no second pass and no join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeykit.functions.columns import first_by_order, majority_value
@@ -15,6 +20,7 @@ from journeykit.operators.sessions import ordered_path
 
 STEP_SEPARATOR = " > "
 FIRST_STEPS = 5
+BY_TIME = ("trace_time", "event_seq_num")
 
 SEQUENCE_FACT_COLUMNS = [
     "session_id", "event_cnt", "journey_fingerprint_str",
@@ -25,29 +31,59 @@ SEQUENCE_FACT_COLUMNS = [
 ]
 
 
+def refresh_free(navigation: DataFrame) -> DataFrame:
+    # Always true after refresh removal; kept as the documented predicate.
+    return navigation.filter(~(F.col("url_lag") == F.col("url")))
+
+
+def _facts(fingerprint: Column, over: Window | None = None) -> dict[str, Column]:
+    """Fact expressions by name, as aggregates (``over`` None) or as window
+    aggregates over ``over``."""
+    def w(c: Column) -> Column:
+        return c if over is None else c.over(over)
+
+    return {
+        "event_cnt": w(F.count(F.lit(1))),
+        "journey_fingerprint_str": fingerprint,
+        "entry_page_template": w(first_by_order("page_template", *BY_TIME)),
+        "entry_page_traffic_source_session_lvl": w(first_by_order("entry_page_traffic_source_raw", *BY_TIME)),
+        "entry_page_source": w(first_by_order("traffic_source", *BY_TIME)),
+        "entry_page_medium": w(first_by_order("traffic_medium", *BY_TIME)),
+        "primary_device_type": majority_value("device_type", over),
+        "primary_traffic_source": majority_value("traffic_source_grouped", over),
+        "saw_product_detail": w(F.bool_or(F.lower("page_template") == "productdetail")),
+        "had_conversion": w(F.bool_or(F.col("is_conversion"))),
+        "conversion_cnt": w(F.sum(F.when(F.col("is_conversion"), 1).otherwise(0))).cast("bigint"),
+    }
+
+
+def _first_five(fingerprint: Column) -> Column:
+    # Page templates never contain the separator, so the first five steps are
+    # the first five tokens of the full fingerprint: no second collection.
+    return F.array_join(F.slice(F.split(fingerprint, STEP_SEPARATOR), 1, FIRST_STEPS), STEP_SEPARATOR)
+
+
 def sequence_session_facts(navigation: DataFrame) -> DataFrame:
     """Per session: event count, journey fingerprint (all steps and the first
     five), entry page / source / medium, majority device and grouped source,
     product-detail and conversion flags, conversion count."""
-    by_time = ("trace_time", "event_seq_num")
-    steps = navigation.filter(~(F.col("url_lag") == F.col("url")))
-    facts = steps.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("event_cnt"),
-        ordered_path("page_template", STEP_SEPARATOR, "event_seq_num").alias("journey_fingerprint_str"),
-        first_by_order("page_template", *by_time).alias("entry_page_template"),
-        first_by_order("entry_page_traffic_source_raw", *by_time).alias("entry_page_traffic_source_session_lvl"),
-        first_by_order("traffic_source", *by_time).alias("entry_page_source"),
-        first_by_order("traffic_medium", *by_time).alias("entry_page_medium"),
-        majority_value("device_type").alias("primary_device_type"),
-        majority_value("traffic_source_grouped").alias("primary_traffic_source"),
-        F.bool_or(F.lower("page_template") == "productdetail").alias("saw_product_detail"),
-        F.bool_or(F.col("is_conversion")).alias("had_conversion"),
-        F.sum(F.when(F.col("is_conversion"), 1).otherwise(0)).cast("bigint").alias("conversion_cnt"),
-    )
-    # Page templates never contain the separator, so the first five steps are
-    # the first five tokens of the full fingerprint: no second collection.
-    first_five = F.array_join(
-        F.slice(F.split(F.col("journey_fingerprint_str"), STEP_SEPARATOR), 1, FIRST_STEPS),
-        STEP_SEPARATOR,
-    )
-    return facts.withColumn("journey_fingerprint_first_five_str", first_five).select(*SEQUENCE_FACT_COLUMNS)
+    fingerprint = ordered_path("page_template", STEP_SEPARATOR, "event_seq_num")
+    facts = refresh_free(navigation).groupBy("session_id").agg(
+        *[c.alias(n) for n, c in _facts(fingerprint).items()])
+    return (facts.withColumn("journey_fingerprint_first_five_str", _first_five(F.col("journey_fingerprint_str")))
+            .select(*SEQUENCE_FACT_COLUMNS))
+
+
+def with_sequence_facts(navigation: DataFrame, names: list[str]) -> DataFrame:
+    """Every refresh-free event with the session facts ``names`` attached.
+
+    Window aggregates over the session, on the partitioning and sort the
+    navigation windows already produced (no exchange, no sort). Facts are
+    NULL for a NULL session id, which a join on the id would not match."""
+    ws = Window.partitionBy("session_id")
+    steps = F.array_sort(F.collect_list(F.struct("event_seq_num", "page_template")).over(ws))
+    fingerprint = F.array_join(F.transform(steps, lambda s: s["page_template"]), STEP_SEPARATOR)
+    exprs = _facts(fingerprint, ws)
+    exprs["journey_fingerprint_first_five_str"] = _first_five(fingerprint)
+    known = F.col("session_id").isNotNull()
+    return refresh_free(navigation).select("*", *[F.when(known, exprs[n]).alias(n) for n in names])

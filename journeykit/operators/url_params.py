@@ -31,9 +31,13 @@ def url_params(navigation: DataFrame) -> DataFrame:
     ``+`` in a value becomes a space; no percent-decoding."""
     pair = F.col("_pair")
     exploded = navigation.select("*", F.explode_outer("param_pairs").alias("_pair"))
+    carried = [c for c in navigation.columns if c not in ("param_pairs", "device_type",
+                                                           "traffic_campaign", "first_page_template")
+               and c not in URL_PARAM_COLUMNS]
     return exploded.select(
         *URL_PARAM_COLUMNS[:-2],
         F.regexp_extract(pair, PARAM_NAME_PATTERN, 1).alias("param_name"),
         F.replace(F.regexp_extract(pair, PARAM_VALUE_PATTERN, 1), F.lit("+"), F.lit(" "))
         .alias("param_value"),
+        *carried,
     )

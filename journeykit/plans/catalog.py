@@ -72,7 +72,7 @@ class JourneyData:
 
     @property
     def enriched(self) -> DataFrame:
-        return self._get("enriched", lambda: enriched_events(self.navigation, self.seq_facts))
+        return self._get("enriched", lambda: enriched_events(self.navigation))
 
     @property
     def flags(self) -> DataFrame:
