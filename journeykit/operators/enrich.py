@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from journeykit.operators.sequence_facts import with_sequence_facts
+from journeykit.operators.sequence_facts import sequence_session_facts, with_sequence_facts
 from journeykit.operators.url_params import URL_PARAM_COLUMNS, url_params
 
 ENRICH_FACT_COLUMNS = [
@@ -28,7 +28,17 @@ def enriched_events(navigation: DataFrame) -> DataFrame:
     Equal to a left join of the parameter rows with ``sequence_session_facts``
     on ``session_id``, computed in one pass: the facts are window aggregates
     on the navigation step's partitioning, then the parameter fan-out is a
-    narrow ``explode``. No second scan, no extra exchange, no join."""
+    narrow ``explode``. No second scan, no extra exchange, no join.
+
+    When ``navigation`` carries hot sessions (chunk columns, see
+    ``sequence``), a whole-session window would put each of them in one
+    task; then the facts are aggregated per session (map-side combined,
+    fingerprints per chunk) and left-joined on ``session_id``, where AQE's
+    skew-join handling splits the hot sessions' rows over several tasks."""
+    if "_hot" in navigation.columns:
+        facts = sequence_session_facts(navigation).select("session_id", *ENRICH_FACT_COLUMNS)
+        params = url_params(navigation).select(*URL_PARAM_COLUMNS)
+        return params.join(facts, "session_id", "left").select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS)
     with_facts = with_sequence_facts(navigation, ENRICH_FACT_COLUMNS)
     return url_params(with_facts).select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS)
 

@@ -1,17 +1,19 @@
 """C4 — navigation context per event, then removal of page refreshes.
 
-All windows share one spec (partition ``session_id``, order time then raw hit
-number), so Spark plans one exchange and one sort for the whole step. The
-refresh filter is applied last: every window value still sees the refresh
-rows, as the original evaluation order requires.
+All window values share one order (time, then raw hit number) per session,
+so Spark plans one exchange and one sort for the whole step; sessions above
+the chunk threshold are windowed in ordered chunks and repaired at chunk
+edges (``sequence.ordered_context``). The refresh filter is applied last:
+every window value still sees the refresh rows, as the original evaluation
+order requires.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from journeykit.functions.columns import EVENT_ORDER
+from journeykit.operators.sequence import ChunkPlan, ordered_context, session_plan
 
 # Placeholder for a missing neighbour, URL parameter pattern.
 MISSING = "N/A"
@@ -29,45 +31,44 @@ NAVIGATION_COLUMNS = [
 ]
 
 
-def navigation_context(flat: DataFrame) -> DataFrame:
+def navigation_context(flat: DataFrame, plan: ChunkPlan | None = None,
+                       keep_chunk: bool = False) -> DataFrame:
     """Per-event navigation context on refresh-free events.
 
     ``event_seq_num`` is replaced by the 1-based position in the session
     (refreshes counted); ``two_ahead_page_template`` is two steps back. An
     event is dropped when its URL equals the previous one, or when either URL
     is NULL (NULL comparison), but not when it is the first of its session.
+    ``plan`` defaults to a fresh chunk plan of ``flat`` (one small job).
     """
-    w = Window.partitionBy("session_id").orderBy(*EVENT_ORDER)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    per_session = Window.partitionBy("session_id")
-    with_context = flat.select(
-        "session_id",
-        "trace_time",
-        "page_template",
-        "url",
-        "traffic_source",
-        "traffic_source_grouped",
-        "traffic_medium",
-        "traffic_campaign",
-        F.first("traffic_source_grouped").over(w).alias("entry_page_traffic_source"),
-        "device_type",
-        "page_type",
-        "product_category",
-        "product_category_full",
-        "is_conversion",
-        F.row_number().over(w).cast("bigint").alias("event_seq_num"),
-        F.coalesce(F.lag("url").over(w), F.lit(MISSING)).alias("url_lag"),
-        F.lag("page_template", 1, MISSING).over(w).alias("prev_page_template"),
-        F.lead("page_template", 1, MISSING).over(w).alias("next_page_template"),
-        F.lag("page_template", 2, MISSING).over(w).alias("two_ahead_page_template"),
-        F.first("page_template").over(w).alias("first_page_template"),
-        F.last("page_template").over(whole).alias("last_page_template"),
-        F.count("page_template").over(per_session).alias("session_event_cnt"),
-        "url_host",
-        "url_path",
-        F.regexp_extract_all("url", F.lit(PARAM_PAIR_PATTERN), 1).alias("param_pairs"),
-        F.first("traffic_source").over(w).alias("entry_page_traffic_source_raw"),
-        F.first("traffic_medium").over(w).alias("entry_page_traffic_medium"),
-        (F.lag("url", 1, MISSING).over(w) != F.col("url")).alias("_not_refresh"),
+    plan = plan if plan is not None else session_plan(flat)
+    ctx = ordered_context(
+        flat, plan,
+        row_number="_rn",
+        lags=[("_url_prev", "url", 1, None),
+              ("prev_page_template", "page_template", 1, MISSING),
+              ("two_ahead_page_template", "page_template", 2, MISSING)],
+        leads=[("next_page_template", "page_template", 1, MISSING)],
+        firsts=[("entry_page_traffic_source", "traffic_source_grouped"),
+                ("first_page_template", "page_template"),
+                ("entry_page_traffic_source_raw", "traffic_source"),
+                ("entry_page_traffic_medium", "traffic_medium")],
+        lasts=[("last_page_template", "page_template")],
+        counts=[("session_event_cnt", "page_template")],
+        keep_chunk=keep_chunk,
     )
-    return with_context.filter(F.col("_not_refresh")).drop("_not_refresh")
+    prev_url = F.col("_url_prev")
+    # LAG(url, 1, 'N/A'): the default only where no previous row exists.
+    prev_or_missing = F.when(F.col("_rn") == 1, F.lit(MISSING)).otherwise(prev_url)
+    cols = []
+    for c in NAVIGATION_COLUMNS:
+        if c == "event_seq_num":
+            cols.append(F.col("_rn").alias(c))
+        elif c == "url_lag":
+            cols.append(F.coalesce(prev_url, F.lit(MISSING)).alias(c))
+        elif c == "param_pairs":
+            cols.append(F.regexp_extract_all("url", F.lit(PARAM_PAIR_PATTERN), 1).alias(c))
+        else:
+            cols.append(F.col(c))
+    extra = ["_chunk", "_hot"] if keep_chunk else []
+    return ctx.filter(prev_or_missing != F.col("url")).select(*cols, *extra)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeykit.functions.columns import first_by_order, majority_value
-from journeykit.operators.sessions import ordered_path
+from journeykit.operators.sessions import chunked_path, ordered_path
 
 STEP_SEPARATOR = " > "
 FIRST_STEPS = 5
@@ -66,10 +66,22 @@ def _first_five(fingerprint: Column) -> Column:
 def sequence_session_facts(navigation: DataFrame) -> DataFrame:
     """Per session: event count, journey fingerprint (all steps and the first
     five), entry page / source / medium, majority device and grouped source,
-    product-detail and conversion flags, conversion count."""
-    fingerprint = ordered_path("page_template", STEP_SEPARATOR, "event_seq_num")
-    facts = refresh_free(navigation).groupBy("session_id").agg(
-        *[c.alias(n) for n, c in _facts(fingerprint).items()])
+    product-detail and conversion flags, conversion count.
+
+    When ``navigation`` carries chunk columns with hot sessions, their
+    fingerprint is built per chunk first (see ``sessions.chunked_path``)."""
+    steps = refresh_free(navigation)
+    hot = "_hot" in navigation.columns
+    value = "page_template"
+    if hot:
+        steps = steps.withColumn("_path_value", F.when(~F.col("_hot"), F.col("page_template")))
+        value = "_path_value"
+    fingerprint = ordered_path(value, STEP_SEPARATOR, "event_seq_num")
+    facts = steps.groupBy("session_id").agg(*[c.alias(n) for n, c in _facts(fingerprint).items()])
+    if hot:
+        paths = chunked_path(steps, "page_template", STEP_SEPARATOR, ("event_seq_num",), "_hot_path")
+        facts = facts.join(paths, "session_id", "left").withColumn(
+            "journey_fingerprint_str", F.coalesce("_hot_path", "journey_fingerprint_str"))
     return (facts.withColumn("journey_fingerprint_first_five_str", _first_five(F.col("journey_fingerprint_str")))
             .select(*SEQUENCE_FACT_COLUMNS))
 

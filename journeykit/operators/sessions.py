@@ -8,28 +8,25 @@ every step of the session.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from journeykit.functions.columns import EVENT_ORDER, first_by_order, majority_value
+from journeykit.operators.sequence import ChunkPlan, no_chunks, ordered_context, with_chunks
 
 PATH_SEPARATOR = " -> "
 
 
-def session_window() -> Window:
-    return Window.partitionBy("session_id").orderBy(*EVENT_ORDER)
-
-
-def first_touch(flat: DataFrame) -> DataFrame:
+def first_touch(flat: DataFrame, plan: ChunkPlan | None = None) -> DataFrame:
     """C2: every event plus the session's first grouped source, medium and
-    campaign (first in time, hit number breaking ties)."""
-    w = session_window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return flat.select(
-        "*",
-        F.first("traffic_source_grouped").over(w).alias("traffic_source_first"),
-        F.first("traffic_medium").over(w).alias("traffic_medium_first"),
-        F.first("traffic_campaign").over(w).alias("traffic_campaign_first"),
-    )
+    campaign (first in time, hit number breaking ties) — the running first
+    value is the session's first value on every row."""
+    plan = plan if plan is not None else no_chunks(["session_id"], list(EVENT_ORDER))
+    return ordered_context(flat, plan, firsts=[
+        ("traffic_source_first", "traffic_source_grouped"),
+        ("traffic_medium_first", "traffic_medium"),
+        ("traffic_campaign_first", "traffic_campaign"),
+    ])
 
 
 def ordered_path(value: str, separator: str, *order: str) -> F.Column:
@@ -38,17 +35,38 @@ def ordered_path(value: str, separator: str, *order: str) -> F.Column:
     return F.expr(f"listagg({value}, '{separator}') WITHIN GROUP (ORDER BY {keys})")
 
 
-def session_facts(flat: DataFrame, with_duration_ms: bool = False) -> DataFrame:
+def chunked_path(rows: DataFrame, value: str, separator: str, order: tuple[str, ...],
+                 name: str) -> DataFrame:
+    """Ordered path string of hot groups built in two levels: one partial
+    string per (session, chunk) — chunks are bounded and spread over tasks —
+    then the partial strings joined in chunk order. Only a bounded number of
+    parts per session ever meets in one buffer."""
+    parts = (rows.filter(F.col("_hot")).groupBy("session_id", "_chunk")
+             .agg(ordered_path(value, separator, *order).alias("_part")))
+    return parts.groupBy("session_id").agg(ordered_path("_part", separator, "_chunk").alias(name))
+
+
+def session_facts(flat: DataFrame, with_duration_ms: bool = False,
+                  plan: ChunkPlan | None = None) -> DataFrame:
     """C3: one row per session with path, steps, duration, device, entry
     page, first-touch source/medium/campaign and behaviour flags.
 
     First touch (C2) is folded in as ``min_by`` on the event order: the same
     value the first-value window gives on every row, without a window.
     ``with_duration_ms`` adds the integer duration used for exact averages.
+    With hot sessions in ``plan`` their path is built per chunk first.
     """
+    hot = plan is not None and plan.active
+    rows = flat
+    path_value = "page_template"
+    if hot:
+        # hot sessions are left out of the one-level path (NULLs are skipped)
+        rows = with_chunks(flat, plan).withColumn(
+            "_path_value", F.when(~F.col("_hot"), F.col("page_template")))
+        path_value = "_path_value"
     duration_ms = F.max("trace_time") - F.min("trace_time")
     cols = [
-        ordered_path("page_template", PATH_SEPARATOR).alias("journey_path"),
+        ordered_path(path_value, PATH_SEPARATOR).alias("journey_path"),
         F.count(F.lit(1)).alias("journey_steps"),
         (duration_ms / F.lit(1000)).alias("journey_duration_seconds"),
         majority_value("device_type").alias("primary_device_type"),
@@ -61,4 +79,12 @@ def session_facts(flat: DataFrame, with_duration_ms: bool = False) -> DataFrame:
     ]
     if with_duration_ms:
         cols.append(duration_ms.alias("journey_duration_ms"))
-    return flat.groupBy("session_id").agg(*cols)
+    facts = rows.groupBy("session_id").agg(*cols)
+    if not hot:
+        return facts
+    # Hot paths are few but long: joined on the session key (both sides are
+    # already partitioned by it), not broadcast.
+    paths = chunked_path(rows, "page_template", PATH_SEPARATOR, EVENT_ORDER, "_hot_path")
+    out = facts.join(paths, "session_id", "left")
+    return out.select(*[F.coalesce("_hot_path", "journey_path").alias(c) if c == "journey_path" else c
+                        for c in facts.columns])

@@ -15,12 +15,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from journeykit.operators.enrich import enriched_events, session_source_flags
 from journeykit.operators.flatten import preprocess_hits
-from journeykit.operators.navigation import navigation_context
+from journeykit.operators.navigation import NAVIGATION_COLUMNS, navigation_context
+from journeykit.operators.sequence import ChunkPlan, session_plan
+from journeykit.operators.url_params import URL_PARAM_COLUMNS
 from journeykit.operators.sequence_facts import sequence_session_facts
 from journeykit.operators.sessions import first_touch, session_facts
 from journeykit.operators.transitions import page_transitions
 from journeykit.operators.url_params import url_params
 from journeykit.plans import analyses as A
+from journeykit.session import rows_per_chunk
 from journeykit.sources.ga_sessions import load_ga_sessions
 
 SESSION_FACT_COLUMNS = [
@@ -38,6 +41,7 @@ class JourneyData:
     sessions: DataFrame
     date_from: str | None = None
     date_to: str | None = None
+    rows_per_chunk: int | None = None
     _cache: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -53,36 +57,53 @@ class JourneyData:
     def flat(self) -> DataFrame:
         return self._get("flat", lambda: preprocess_hits(self.sessions, self.date_from, self.date_to))
 
+    @property
+    def plan(self) -> ChunkPlan:
+        """Hot sessions and their chunk boundaries (computed once: two small
+        jobs, results checkpointed)."""
+        rpc = self.rows_per_chunk or rows_per_chunk(self.sessions.sparkSession)
+        return self._get("plan", lambda: session_plan(self.flat, rpc))
+
     @property
     def facts(self) -> DataFrame:
         """C3 plus ``journey_duration_ms`` (used for exact mean durations)."""
-        return self._get("facts", lambda: session_facts(self.flat, with_duration_ms=True))
+        return self._get("facts", lambda: session_facts(self.flat, with_duration_ms=True, plan=self.plan))
+
+    @property
+    def first_touch(self) -> DataFrame:
+        return self._get("first_touch", lambda: first_touch(self.flat, self.plan))
+
+    @property
+    def nav_chunked(self) -> DataFrame:
+        """C4 with the internal chunk columns when hot sessions exist."""
+        return self._get("nav_chunked", lambda: navigation_context(
+            self.flat, self.plan, keep_chunk=self.plan.active))
 
     @property
     def navigation(self) -> DataFrame:
-        return self._get("navigation", lambda: navigation_context(self.flat))
+        return self._get("navigation", lambda: self.nav_chunked.select(*NAVIGATION_COLUMNS))
 
     @property
     def params(self) -> DataFrame:
-        return self._get("params", lambda: url_params(self.navigation))
+        return self._get("params", lambda: url_params(self.nav_chunked).select(*URL_PARAM_COLUMNS))
 
     @property
     def seq_facts(self) -> DataFrame:
-        return self._get("seq_facts", lambda: sequence_session_facts(self.navigation))
+        return self._get("seq_facts", lambda: sequence_session_facts(self.nav_chunked))
 
     @property
     def enriched(self) -> DataFrame:
-        return self._get("enriched", lambda: enriched_events(self.navigation))
+        return self._get("enriched", lambda: enriched_events(self.nav_chunked))
 
     @property
     def flags(self) -> DataFrame:
-        return self._get("flags", lambda: session_source_flags(self.navigation))
+        return self._get("flags", lambda: session_source_flags(self.nav_chunked))
 
 
 QUERY_BUILDERS: dict[str, Callable[[JourneyData], DataFrame]] = {
     # composite operators
     "preprocess_hits": lambda d: d.flat,
-    "first_touch": lambda d: first_touch(d.flat),
+    "first_touch": lambda d: d.first_touch,
     "session_facts": lambda d: d.facts.select(*SESSION_FACT_COLUMNS),
     "navigation_context": lambda d: d.navigation,
     "url_params": lambda d: d.params,

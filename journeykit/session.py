@@ -19,6 +19,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         SparkSession.builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -45,3 +47,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+ROWS_PER_CHUNK_CONF = "journeykit.rowsPerChunk"
+
+
+def rows_per_chunk(spark: SparkSession, default: int = 1_000_000) -> int:
+    """Rows per window chunk: groups larger than this are split (see
+    ``operators.sequence``). Read from the session setting
+    ``journeykit.rowsPerChunk``."""
+    value = spark.conf.get(ROWS_PER_CHUNK_CONF, None)
+    return int(value) if value else default

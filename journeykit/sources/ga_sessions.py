@@ -12,10 +12,12 @@ Two ways in:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from journeykit.functions.columns import epoch_millis
+from journeykit.operators.sequence import DEFAULT_ROWS_PER_CHUNK, ordered_context, plan_chunks
+from journeykit.session import rows_per_chunk as configured_rows_per_chunk
 
 # Only the fields the flattening reads. Passing this as the read schema is
 # what prunes the nested ``hits`` struct: Catalyst alone does not prune
@@ -69,13 +71,17 @@ def _pick(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
-def ga_sessions_from_events(events: DataFrame) -> DataFrame:
-    """Nested visits derived from the ``events`` table (FIXTURES.md §3)."""
+def ga_sessions_from_events(events: DataFrame,
+                            rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+    """Nested visits derived from the ``events`` table (FIXTURES.md §3).
+
+    The hit number is the position inside the visit; visits larger than
+    ``rows_per_chunk`` are numbered in ordered chunks (``sequence``)."""
     ms = epoch_millis(events, "ts")
-    ev = events.select("event_id", "user_id", "event_type", ms.alias("ms"))
-    ev = ev.withColumn("b", F.floor((F.col("ms") - F.lit(FIXTURE_EPOCH_MS)) / F.lit(FIXTURE_VISIT_MS)))
-    visit = Window.partitionBy("user_id", "b").orderBy("ms", "event_id")
-    ev = ev.withColumn("hit_number", F.row_number().over(visit).cast("bigint"))
+    bucket = F.floor((ms - F.lit(FIXTURE_EPOCH_MS)) / F.lit(FIXTURE_VISIT_MS))
+    ev = events.select("event_id", "user_id", "event_type", ms.alias("ms"), bucket.alias("b"))
+    visits = plan_chunks(ev, ["user_id", "b"], ["ms", "event_id"], rows_per_chunk)
+    ev = ordered_context(ev, visits, row_number="hit_number")
 
     vst = F.lit(FIXTURE_EPOCH_MS // 1000) + F.col("b") * F.lit(FIXTURE_VISIT_MS // 1000)
     purchase = F.col("event_type") == "purchase"
@@ -136,7 +142,8 @@ def ga_sessions_from_events(events: DataFrame) -> DataFrame:
 
 def load_ga_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested visits for a test-data directory (derived from ``events``)."""
-    return ga_sessions_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return ga_sessions_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"),
+                                   configured_rows_per_chunk(spark))
 
 
 def read_ga_sessions(spark: SparkSession, path: str) -> DataFrame:
