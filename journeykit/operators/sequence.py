@@ -33,7 +33,7 @@ from journeykit.session import ensure_checkpoint_dir
 DEFAULT_ROWS_PER_CHUNK = 1_000_000
 QUANTILES = 1024
 QUANTILE_ACCURACY = 10_000
-MAX_BROADCAST_CHUNKS = 1_000_000
+MAX_BROADCAST_CHUNKS = 100_000
 
 
 @dataclass
@@ -58,16 +58,20 @@ def plan_chunks(df: DataFrame, keys: list[str], order: list[str],
                 rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> ChunkPlan:
     """Find groups larger than ``rows_per_chunk`` and their chunk boundaries.
 
-    Runs two small jobs (group sizes, then quantiles of the hot groups only)
-    and checkpoints their results; the returned plan is reused by every
-    window and aggregate over the same rows."""
+    Runs one small job (how many groups are hot); only when there are hot
+    groups, two more (their sizes, then quantiles over their rows only),
+    whose small results are checkpointed into the shared checkpoint folder.
+    The returned plan is reused by every window and aggregate over the same
+    rows."""
     plan = ChunkPlan(list(keys), list(order), rows_per_chunk=rows_per_chunk)
-    ensure_checkpoint_dir(df.sparkSession)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter(F.col("_n") > F.lit(rows_per_chunk)).checkpoint(eager=True)
-    n_hot = hot.count()
-    if n_hot == 0:
+    # One small job answers "is there any hot group?"; the usual answer
+    # (no) leaves the plain window plan with nothing else computed.
+    n_hot = sizes.agg(F.count_if(F.col("_n") > F.lit(rows_per_chunk))).first()[0]
+    if not n_hot:
         return plan
+    ensure_checkpoint_dir(df.sparkSession)
+    hot = sizes.filter(F.col("_n") > F.lit(rows_per_chunk)).checkpoint(eager=True)
     hot_keys = hot.select(*keys)
     if n_hot <= MAX_BROADCAST_CHUNKS:
         hot_keys = F.broadcast(hot_keys)
