@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from journeykit.operators.enrich import enriched_events, session_source_flags
 from journeykit.operators.flatten import preprocess_hits
 from journeykit.operators.navigation import NAVIGATION_COLUMNS, navigation_context
-from journeykit.operators.sequence import ChunkPlan, session_plan
+from journeykit.functions.columns import EVENT_ORDER
+from journeykit.operators.sequence import ChunkPlan, no_chunks, session_plan
 from journeykit.operators.url_params import URL_PARAM_COLUMNS
 from journeykit.operators.sequence_facts import sequence_session_facts
 from journeykit.operators.sessions import first_touch, session_facts
@@ -42,11 +43,16 @@ class JourneyData:
     date_from: str | None = None
     date_to: str | None = None
     rows_per_chunk: int | None = None
+    # True when the source guarantees that no session exceeds the chunk size
+    # (then the session-level hot check is skipped).
+    sessions_bounded: bool = False
     _cache: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "JourneyData":
-        return cls(load_ga_sessions(spark, sf_dir))
+        sessions, visit_plan = load_ga_sessions(spark, sf_dir, with_plan=True)
+        return cls(sessions, rows_per_chunk=visit_plan.rows_per_chunk,
+                   sessions_bounded=not visit_plan.active)
 
     def _get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._cache:
@@ -62,6 +68,8 @@ class JourneyData:
         """Hot sessions and their chunk boundaries (computed once: two small
         jobs, results checkpointed)."""
         rpc = self.rows_per_chunk or rows_per_chunk(self.sessions.sparkSession)
+        if self.sessions_bounded:
+            return self._get("plan", lambda: no_chunks(["session_id"], list(EVENT_ORDER)))
         return self._get("plan", lambda: session_plan(self.flat, rpc))
 
     @property

@@ -72,11 +72,15 @@ def _pick(values: list, index: Column) -> Column:
 
 
 def ga_sessions_from_events(events: DataFrame,
-                            rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> DataFrame:
+                            rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK,
+                            with_plan: bool = False):
     """Nested visits derived from the ``events`` table (FIXTURES.md §3).
 
     The hit number is the position inside the visit; visits larger than
-    ``rows_per_chunk`` are numbered in ordered chunks (``sequence``)."""
+    ``rows_per_chunk`` are numbered in ordered chunks (``sequence``). With
+    ``with_plan`` the visit chunk plan is returned too: a session of this
+    source is one visit and its flat rows are a subset of the visit's
+    events, so no hot visit means no hot session."""
     ms = epoch_millis(events, "ts")
     bucket = F.floor((ms - F.lit(FIXTURE_EPOCH_MS)) / F.lit(FIXTURE_VISIT_MS))
     ev = events.select("event_id", "user_id", "event_type", ms.alias("ms"), bucket.alias("b"))
@@ -137,13 +141,14 @@ def ga_sessions_from_events(events: DataFrame,
         .groupBy("user_id", "b", "hit_block")
         .agg(F.sort_array(F.collect_list(hit)).alias("hits"))
     )
-    return blocks.select(*visit_attrs, "hits").select(*names, "hits")
+    out = blocks.select(*visit_attrs, "hits").select(*names, "hits")
+    return (out, visits) if with_plan else out
 
 
-def load_ga_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def load_ga_sessions(spark: SparkSession, sf_dir: str, with_plan: bool = False):
     """Nested visits for a test-data directory (derived from ``events``)."""
     return ga_sessions_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"),
-                                   configured_rows_per_chunk(spark))
+                                   configured_rows_per_chunk(spark), with_plan)
 
 
 def read_ga_sessions(spark: SparkSession, path: str) -> DataFrame:
