@@ -39,7 +39,7 @@ SESSION_FACT_COLUMNS = [
 class JourneyData:
     """Lazily built layers over one nested visit source."""
 
-    sessions: DataFrame
+    sessions: DataFrame | None
     date_from: str | None = None
     date_to: str | None = None
     rows_per_chunk: int | None = None
@@ -48,6 +48,15 @@ class JourneyData:
     sessions_bounded: bool = False
     _cache: dict = field(default_factory=dict, repr=False)
 
+    @classmethod
+    def from_flat(cls, flat: DataFrame, rows_per_chunk: int | None = None) -> "JourneyData":
+        """Start from flat events, e.g. the saved table bucketed by
+        ``session_id`` (``sources.tables``): per-session steps then read the
+        buckets without an exchange."""
+        data = cls(None, rows_per_chunk=rows_per_chunk)
+        data._cache["flat"] = flat
+        return data
+
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "JourneyData":
         sessions, visit_plan = load_ga_sessions(spark, sf_dir, with_plan=True)
@@ -67,7 +76,7 @@ class JourneyData:
     def plan(self) -> ChunkPlan:
         """Hot sessions and their chunk boundaries (computed once: two small
         jobs, results checkpointed)."""
-        rpc = self.rows_per_chunk or rows_per_chunk(self.sessions.sparkSession)
+        rpc = self.rows_per_chunk or rows_per_chunk(self.flat.sparkSession)
         if self.sessions_bounded:
             return self._get("plan", lambda: no_chunks(["session_id"], list(EVENT_ORDER)))
         return self._get("plan", lambda: session_plan(self.flat, rpc))

@@ -53,3 +53,23 @@ def test_bucketed_flat_table(spark):
     plan = _plan(session_facts(table))
     assert "Exchange hashpartitioning(session_id" not in plan
     spark.sql("DROP TABLE IF EXISTS jk_flat_events")
+
+
+def test_analyses_from_bucketed_table(spark):
+    """Production path: flat events saved bucketed by session, analyses read
+    the table; the navigation windows need no exchange on session_id."""
+    from journeykit.plans.catalog import JourneyData
+    from journeykit.plans import analyses as A
+
+    flat = preprocess_hits(load_ga_sessions(spark, SF_SMALL))
+    folder = tempfile.mkdtemp(prefix="jk-tbl2-", dir="/tmp")
+    write_flat_events(flat, "jk_flat_events2", buckets=4, path=folder)
+    data = JourneyData.from_flat(read_table(spark, "jk_flat_events2"))
+    nav_plan = _plan(data.navigation)
+    assert "Exchange hashpartitioning(session_id" not in nav_plan
+    expected = {r[0]: r[1] for r in A.channel_group_performance(
+        JourneyData.from_flat(flat).facts).select("channel_group", "session_count").collect()}
+    got = {r[0]: r[1] for r in A.channel_group_performance(data.facts)
+           .select("channel_group", "session_count").collect()}
+    assert got == expected
+    spark.sql("DROP TABLE IF EXISTS jk_flat_events2")
