@@ -161,13 +161,17 @@ def ordered_context(df: DataFrame, plan: ChunkPlan, *, row_number: str | None =
         return windowed.select(*kept, *[F.col(w_(n)).alias(n) for n in new_names], *extra)
 
     ck = [*keys, "_chunk"]
+    # ``_hot`` is constant per group, so adding it to the partition spec
+    # changes nothing but lets a filter on it move below the exchange: the
+    # edge tables below shuffle only the hot groups' rows.
+    part = [*keys, "_hot", "_chunk"]
     chunked = with_chunks(df, plan)
-    wl = Window.partitionBy(*ck).orderBy(*order)
+    wl = Window.partitionBy(*part).orderBy(*order)
     local = chunked.select(
         "*",
         F.row_number().over(wl).alias("_lrn"),
-        F.count(F.lit(1)).over(Window.partitionBy(*ck)).alias("_lcnt"),
-        *window_cols(ck),
+        F.count(F.lit(1)).over(Window.partitionBy(*part)).alias("_lcnt"),
+        *window_cols(part),
     )
 
     # Edge rows: the first and last `depth` rows of every hot chunk. Each row
@@ -176,9 +180,11 @@ def ordered_context(df: DataFrame, plan: ChunkPlan, *, row_number: str | None =
     sources = list(dict.fromkeys([c for _, c, _, _ in lags] + [c for _, c, _, _ in leads]
                                  + [c for _, c in firsts] + [c for _, c in lasts]))
     at_edge = (F.col("_lrn") <= depth) | (F.col("_lrn") > F.col("_lcnt") - depth)
+    # At most 2 * depth rows per hot chunk: computed once and checkpointed
+    # (its three uses below then read the small saved copy).
     edge = local.filter(F.col("_hot") & at_edge).select(
         *ck, "_lrn", "_lcnt", *[c for c in order if c not in sources and c not in ck], *sources,
-        *[w_(n) for n, _ in counts])
+        *[w_(n) for n, _ in counts]).checkpoint(eager=True)
     wg = Window.partitionBy(*keys).orderBy(*order)
     edge_fix = edge.select(
         *ck, "_lrn",
