@@ -37,6 +37,6 @@ def page_transitions(navigation: DataFrame, n: int = 2) -> DataFrame:
                        F.col("prev_page_template"), F.lit(SEP), current)
     else:
         raise ValueError("n must be 2 or 3")
-    return steps.groupBy(key.alias("page_template_transition")).agg(
-        F.count(F.lit(1)).alias("transitions_count")
-    )
+    counts = steps.groupBy(key.alias("page_template_transition")).agg(
+        F.count(F.lit(1)).alias("transitions_count"))
+    return counts.orderBy(F.desc("transitions_count"), F.asc("page_template_transition"))

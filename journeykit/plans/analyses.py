@@ -16,6 +16,14 @@ TOP_TEMPLATES = 50
 TOP_CATEGORIES = 100
 
 
+def _ranked(df: DataFrame, by: str, *keys: str, descending: bool = True) -> DataFrame:
+    """Final presentation order of an output: ``by`` (descending by default),
+    group keys as tie-break. A range-partitioned sort, so it scales with the
+    number of result rows."""
+    first = F.desc(by) if descending else F.asc(by)
+    return df.orderBy(first, *[F.asc_nulls_first(k) for k in keys])
+
+
 def _count(name: str = "cnt") -> F.Column:
     return F.count(F.lit(1)).alias(name)
 
@@ -55,19 +63,22 @@ def events_by_page_template(flat: DataFrame) -> DataFrame:
 
 def sessions_by_source_type(flat: DataFrame) -> DataFrame:
     """Q6: distinct sessions touched by google / direct / other sources."""
-    return flat.groupBy(source_type("traffic_source_grouped").alias("source_type")).agg(
+    out = flat.groupBy(source_type("traffic_source_grouped").alias("source_type")).agg(
         F.count_distinct("session_id").alias("cnt"))
+    return _ranked(out, "cnt", "source_type")
 
 
 def landing_page_frequency(flat: DataFrame) -> DataFrame:
     """Q9: templates of raw hit number 1."""
-    return flat.filter(F.col("event_seq_num") == 1).groupBy("page_template").agg(_count())
+    out = flat.filter(F.col("event_seq_num") == 1).groupBy("page_template").agg(_count())
+    return _ranked(out, "cnt", "page_template")
 
 
 def product_impressions_by_category(flat: DataFrame) -> DataFrame:
     """Q12: product-detail events per top-level category (event grain)."""
-    return (flat.filter(F.col("page_template") == "ProductDetail")
-            .groupBy("product_category").agg(_count("category_impressions")))
+    out = (flat.filter(F.col("page_template") == "ProductDetail")
+           .groupBy("product_category").agg(_count("category_impressions")))
+    return _ranked(out, "category_impressions", "product_category")
 
 
 # --- on session facts (C3, with journey_duration_ms) --------------------------
@@ -76,29 +87,31 @@ def source_medium_single_product(facts: DataFrame) -> DataFrame:
     """Q2: "source / medium" of sessions whose whole path is one product page."""
     sm = F.concat(F.coalesce("traffic_source_first", F.lit("(direct)")), F.lit(" / "),
                   F.coalesce("traffic_medium_first", F.lit("(none)")))
-    return (facts.filter(F.col("journey_path") == "ProductDetail")
-            .groupBy(sm.alias("source_medium")).agg(_count("session_count")))
+    out = (facts.filter(F.col("journey_path") == "ProductDetail")
+           .groupBy(sm.alias("source_medium")).agg(_count("session_count")))
+    return _ranked(out, "session_count", "source_medium")
 
 
 def traffic_medium_frequency(facts: DataFrame) -> DataFrame:
     """Q3."""
-    return facts.groupBy("traffic_medium_first").agg(_count())
+    return _ranked(facts.groupBy("traffic_medium_first").agg(_count()), "cnt", "traffic_medium_first")
 
 
 def traffic_source_frequency(facts: DataFrame) -> DataFrame:
     """Q4."""
-    return facts.groupBy("traffic_source_first").agg(_count())
+    return _ranked(facts.groupBy("traffic_source_first").agg(_count()), "cnt", "traffic_source_first")
 
 
 def journey_frequency_by_device(facts: DataFrame) -> DataFrame:
     """Q5: per journey path — sessions, mean duration, steps, device split."""
-    return facts.groupBy("journey_path").agg(
+    out = facts.groupBy("journey_path").agg(
         F.count_distinct("session_id").alias("session_count"),
         _avg_duration_sec().alias("avg_duration_sec"),
         # the step count is a function of the path: any value of the group
         F.min("journey_steps").alias("steps"),
         *_device_counts(),
     )
+    return _ranked(out, "session_count", "journey_path")
 
 
 def bounce_non_google(facts: DataFrame) -> DataFrame:
@@ -123,11 +136,12 @@ def _entry_outcomes(facts: DataFrame, entry: list[str], prefix: str) -> DataFram
     kind = (F.when(F.col("saw_product_detail"), F.lit(f"{prefix}_sessions_with_product_detail"))
             .when(~F.col("saw_product_detail") & (F.col("journey_steps") == 1), F.lit(f"{prefix}_sessions_bounce"))
             .otherwise(F.lit(f"{prefix}_sessions_without_product_detail")))
-    return (facts.filter(F.col("entry_page_template").isin(*entry))
-            .groupBy(kind.alias("session_type"))
-            .agg(_count("total_sessions"), *_device_counts(),
-                 _count_if(F.col("has_conversion"), "has_conversion"),
-                 _count_if(~F.col("has_conversion"), "no_conversion")))
+    out = (facts.filter(F.col("entry_page_template").isin(*entry))
+           .groupBy(kind.alias("session_type"))
+           .agg(_count("total_sessions"), *_device_counts(),
+                _count_if(F.col("has_conversion"), "has_conversion"),
+                _count_if(~F.col("has_conversion"), "no_conversion")))
+    return _ranked(out, "session_type")
 
 
 def homepage_entry_outcomes(facts: DataFrame) -> DataFrame:
@@ -144,23 +158,25 @@ def medium_performance(facts: DataFrame) -> DataFrame:
     """Q13: per first medium — sessions, bounces, conversions and both rates."""
     bounce = F.col("journey_steps") == 1
     conv = F.col("has_conversion")
-    return facts.groupBy("traffic_medium_first").agg(
+    out = facts.groupBy("traffic_medium_first").agg(
         _count("session_count"),
         _count_if(bounce, "bounce_count"),
         _count_if(conv, "conversion_count"),
         _pct(bounce).alias("bounce_rate_pct"),
         _pct(conv).alias("conversion_rate_pct"),
     )
+    return _ranked(out, "session_count", "traffic_medium_first")
 
 
 def channel_group_performance(facts: DataFrame) -> DataFrame:
     """Q14: paid / organic / referral / direct / other performance."""
-    return facts.groupBy(channel_group("traffic_medium_first").alias("channel_group")).agg(
+    out = facts.groupBy(channel_group("traffic_medium_first").alias("channel_group")).agg(
         _count("session_count"),
         F.avg("journey_steps").alias("avg_journey_steps"),
         _avg_duration_sec().alias("avg_duration_sec"),
         _pct(F.col("has_conversion")).alias("conversion_rate_pct"),
     )
+    return _ranked(out, "session_count", "channel_group")
 
 
 # --- on the sequencing chain (C4–C8) -------------------------------------------
@@ -182,12 +198,13 @@ def google_traffic_totals(flags: DataFrame) -> DataFrame:
 
 def journey_fingerprint_frequency(seq_facts: DataFrame) -> DataFrame:
     """Q20."""
-    return seq_facts.groupBy("journey_fingerprint_str").agg(_count())
+    return _ranked(seq_facts.groupBy("journey_fingerprint_str").agg(_count()), "cnt", "journey_fingerprint_str")
 
 
 def entry_source_medium(seq_facts: DataFrame) -> DataFrame:
     """Q21."""
-    return seq_facts.groupBy("entry_page_source", "entry_page_medium").agg(_count())
+    out = seq_facts.groupBy("entry_page_source", "entry_page_medium").agg(_count())
+    return _ranked(out, "cnt", "entry_page_source", "entry_page_medium")
 
 
 def category_frequency(params: DataFrame) -> DataFrame:
@@ -212,30 +229,34 @@ def single_product_journeys_by_source(seq_facts: DataFrame) -> DataFrame:
     """Q23: single-product-page journeys by entry source (primary source as
     fallback)."""
     src = F.coalesce("entry_page_traffic_source_session_lvl", "primary_traffic_source")
-    return (seq_facts.filter(F.col("journey_fingerprint_str") == "ProductDetail")
-            .groupBy("journey_fingerprint_str", src.alias("entry_page_traffic_source"))
-            .agg(_count()))
+    out = (seq_facts.filter(F.col("journey_fingerprint_str") == "ProductDetail")
+           .groupBy("journey_fingerprint_str", src.alias("entry_page_traffic_source"))
+           .agg(_count()))
+    return _ranked(out, "cnt", "entry_page_traffic_source")
 
 
 def traffic_by_source(enriched: DataFrame) -> DataFrame:
     """Q24: distinct sessions per (raw source or majority source, medium)."""
     src = F.coalesce("traffic_source", "primary_traffic_source")
-    return enriched.groupBy(src.alias("primary_source"), "traffic_medium").agg(
+    out = enriched.groupBy(src.alias("primary_source"), "traffic_medium").agg(
         F.count_distinct("session_id").alias("cnt"))
+    return _ranked(out, "cnt", "primary_source", "traffic_medium")
 
 
 def entry_traffic_by_source(enriched: DataFrame) -> DataFrame:
     """Q25: first events only — grouped entry source (majority source as
     fallback) and the session's entry medium, distinct sessions."""
     src = F.coalesce("entry_page_traffic_source", "primary_traffic_source")
-    return (enriched.filter(F.col("event_seq_num") == 1)
-            .groupBy(src.alias("primary_source"), "entry_page_medium")
-            .agg(F.count_distinct("session_id").alias("cnt")))
+    out = (enriched.filter(F.col("event_seq_num") == 1)
+           .groupBy(src.alias("primary_source"), "entry_page_medium")
+           .agg(F.count_distinct("session_id").alias("cnt")))
+    return _ranked(out, "cnt", "primary_source", "entry_page_medium")
 
 
 def sessions_by_journey(enriched: DataFrame) -> DataFrame:
     """Q26."""
-    return enriched.groupBy("journey_fingerprint_str").agg(F.count_distinct("session_id").alias("cnt"))
+    out = enriched.groupBy("journey_fingerprint_str").agg(F.count_distinct("session_id").alias("cnt"))
+    return _ranked(out, "cnt", "journey_fingerprint_str")
 
 
 def sample_session(params: DataFrame) -> DataFrame:
@@ -243,4 +264,5 @@ def sample_session(params: DataFrame) -> DataFrame:
     with the event time as a timestamp first."""
     chosen = params.agg(F.min("session_id")).scalar()
     ts = F.expr("timestampadd(MILLISECOND, trace_time, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
-    return params.filter(F.col("session_id") == chosen).select(ts.alias("trace_timestamp_millis"), "*")
+    rows = params.filter(F.col("session_id") == chosen).select(ts.alias("trace_timestamp_millis"), "*")
+    return rows.orderBy(F.asc("event_seq_num"), F.asc_nulls_first("param_name"))
