@@ -213,18 +213,15 @@ def category_frequency(params: DataFrame) -> DataFrame:
     counts = (params.filter((F.col("page_template") == "ProductDetail")
                             & ~(F.col("url_lag") == F.col("url")))
               .groupBy("product_category").agg(_count()))
-    # The aggregated relation has one row per category; the global window
-    # sum runs on that small relation only.
-    share = F.col("cnt") / F.sum("cnt").over(_all_rows())
+    # The total is a scalar subquery (a distributed sum of the per-category
+    # counts, evaluated once) rather than a window over all rows, which would
+    # move the whole relation into one task.
+    total = counts.agg(F.sum("cnt")).scalar()
+    share = F.col("cnt") / total
     return (counts.select("*", share.alias("cnt_pct"))
             .orderBy(F.desc("cnt"), F.asc_nulls_first("product_category")).limit(TOP_CATEGORIES))
 
 
-def _all_rows():
-    from pyspark.sql import Window
-    return Window.partitionBy()
-
-
 def single_product_journeys_by_source(seq_facts: DataFrame) -> DataFrame:
     """Q23: single-product-page journeys by entry source (primary source as
     fallback)."""
