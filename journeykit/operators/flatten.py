@@ -7,7 +7,9 @@ plain filter on the partition column (a partition filter on a file source).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from journeykit.functions.rules import page_template, source_group
@@ -28,11 +30,15 @@ FLAT_COLUMNS = [
 
 
 def preprocess_hits(sessions: DataFrame, date_from: str | None = None,
-                    date_to: str | None = None) -> DataFrame:
+                    date_to: str | None = None,
+                    hit_filter: Callable[[Column], Column] | None = None) -> DataFrame:
     """Flatten nested visits into classified page-view events.
 
     ``date_from``/``date_to`` are inclusive ``yyyymmdd`` strings compared as
-    strings, like the source's daily shard names.
+    strings, like the source's daily shard names. ``hit_filter`` (a predicate
+    on one hit struct) is applied inside the array together with the hit-type
+    filter, so an analysis that only needs some hits never generates the
+    others — Catalyst cannot move a filter on generated rows below ``explode``.
     """
     df = sessions
     if date_from is not None:
@@ -40,7 +46,11 @@ def preprocess_hits(sessions: DataFrame, date_from: str | None = None,
     if date_to is not None:
         df = df.filter(F.col("date") <= F.lit(date_to))
 
-    kept = F.filter("hits", lambda h: h["type"].isin(*KEPT_HIT_TYPES))
+    def keep(h: Column) -> Column:
+        cond = h["type"].isin(*KEPT_HIT_TYPES)
+        return cond if hit_filter is None else cond & hit_filter(h)
+
+    kept = F.filter("hits", keep)
     df = df.select(
         "fullVisitorId", "visitId", "visitStartTime", "device", "trafficSource",
         F.explode(kept).alias("h"),

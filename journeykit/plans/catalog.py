@@ -17,6 +17,7 @@ from journeykit.operators.enrich import enriched_events, session_source_flags
 from journeykit.operators.flatten import preprocess_hits
 from journeykit.operators.navigation import NAVIGATION_COLUMNS, navigation_context
 from journeykit.functions.columns import EVENT_ORDER
+from journeykit.functions.rules import page_template
 from journeykit.operators.sequence import ChunkPlan, no_chunks, session_plan
 from journeykit.operators.url_params import URL_PARAM_COLUMNS
 from journeykit.operators.sequence_facts import sequence_session_facts
@@ -72,6 +73,14 @@ class JourneyData:
     def flat(self) -> DataFrame:
         return self._get("flat", lambda: preprocess_hits(self.sessions, self.date_from, self.date_to))
 
+    def flat_where(self, hit_filter) -> DataFrame:
+        """Flat events of the hits satisfying ``hit_filter`` only (filtered
+        before ``explode``); falls back to the shared flat events when the
+        layers start from a flat table."""
+        if self.sessions is None:
+            return self.flat
+        return preprocess_hits(self.sessions, self.date_from, self.date_to, hit_filter)
+
     @property
     def plan(self) -> ChunkPlan:
         """Hot sessions and their chunk boundaries (computed once: two small
@@ -135,10 +144,12 @@ QUERY_BUILDERS: dict[str, Callable[[JourneyData], DataFrame]] = {
     "sessions_by_source_type": lambda d: A.sessions_by_source_type(d.flat),
     "bounce_non_google": lambda d: A.bounce_non_google(d.facts),
     "conversion_totals": lambda d: A.conversion_totals(d.facts),
-    "landing_page_frequency": lambda d: A.landing_page_frequency(d.flat),
+    "landing_page_frequency": lambda d: A.landing_page_frequency(
+        d.flat_where(lambda h: h["hitNumber"] == 1)),
     "homepage_entry_outcomes": lambda d: A.homepage_entry_outcomes(d.facts),
     "category_entry_outcomes": lambda d: A.category_entry_outcomes(d.facts),
-    "product_impressions_by_category": lambda d: A.product_impressions_by_category(d.flat),
+    "product_impressions_by_category": lambda d: A.product_impressions_by_category(
+        d.flat_where(lambda h: page_template(h["page"]["pagePath"]) == "ProductDetail")),
     "medium_performance": lambda d: A.medium_performance(d.facts),
     "channel_group_performance": lambda d: A.channel_group_performance(d.facts),
     # analyses on the sequencing chain
