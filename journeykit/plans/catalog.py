@@ -26,7 +26,7 @@ from journeykit.operators.transitions import page_transitions
 from journeykit.operators.url_params import url_params
 from journeykit.plans import analyses as A
 from journeykit.session import rows_per_chunk
-from journeykit.sources.ga_sessions import load_ga_sessions
+from journeykit.sources.visits import load_visits
 
 SESSION_FACT_COLUMNS = [
     "session_id", "journey_path", "journey_steps", "journey_duration_seconds",
@@ -60,7 +60,7 @@ class JourneyData:
 
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "JourneyData":
-        sessions, visit_plan = load_ga_sessions(spark, sf_dir, with_plan=True)
+        sessions, visit_plan = load_visits(spark, sf_dir, with_plan=True)
         return cls(sessions, rows_per_chunk=visit_plan.rows_per_chunk,
                    sessions_bounded=not visit_plan.active)
 

@@ -1,18 +1,18 @@
-from journeykit.sources.ga_sessions import (
-    GA_SESSIONS_DDL,
-    ga_sessions_from_events,
-    load_ga_sessions,
-    read_ga_sessions,
-    write_ga_sessions,
+from journeykit.sources.visits import (
+    VISITS_DDL,
+    visits_from_events,
+    load_visits,
+    read_visits,
+    write_visits,
 )
 from journeykit.sources.tables import read_table, write_flat_events
 
 __all__ = [
-    "GA_SESSIONS_DDL",
-    "ga_sessions_from_events",
-    "load_ga_sessions",
-    "read_ga_sessions",
-    "write_ga_sessions",
+    "VISITS_DDL",
+    "visits_from_events",
+    "load_visits",
+    "read_visits",
+    "write_visits",
     "read_table",
     "write_flat_events",
 ]

@@ -2,10 +2,10 @@
 
 Two ways in:
 
-* ``read_ga_sessions`` — a Parquet directory partitioned by ``date`` (the
+* ``read_visits`` — a Parquet directory partitioned by ``date`` (the
   date-sharded source); a pruned read schema keeps the scan to the fields the
   flattening reads, and the date range becomes a partition filter.
-* ``ga_sessions_from_events`` — derives the nested source from the driver's
+* ``visits_from_events`` — derives the nested source from the driver's
   ``events`` table with integer formulas that a SQL engine can repeat
   exactly (see FIXTURES.md §3). Its cost grows with ``events``.
 """
@@ -22,7 +22,7 @@ from journeykit.session import rows_per_chunk as configured_rows_per_chunk
 # Only the fields the flattening reads. Passing this as the read schema is
 # what prunes the nested ``hits`` struct: Catalyst alone does not prune
 # several sub-fields through ``explode``.
-GA_SESSIONS_DDL = (
+VISITS_DDL = (
     "fullVisitorId STRING, visitId BIGINT, visitStartTime BIGINT, date STRING, "
     "device STRUCT<deviceCategory: STRING>, "
     "trafficSource STRUCT<source: STRING, medium: STRING, campaign: STRING, "
@@ -71,7 +71,7 @@ def _pick(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
-def ga_sessions_from_events(events: DataFrame,
+def visits_from_events(events: DataFrame,
                             rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK,
                             with_plan: bool = False):
     """Nested visits derived from the ``events`` table (FIXTURES.md §3).
@@ -145,18 +145,18 @@ def ga_sessions_from_events(events: DataFrame,
     return (out, visits) if with_plan else out
 
 
-def load_ga_sessions(spark: SparkSession, sf_dir: str, with_plan: bool = False):
+def load_visits(spark: SparkSession, sf_dir: str, with_plan: bool = False):
     """Nested visits for a test-data directory (derived from ``events``)."""
-    return ga_sessions_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"),
+    return visits_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"),
                                    configured_rows_per_chunk(spark), with_plan)
 
 
-def read_ga_sessions(spark: SparkSession, path: str) -> DataFrame:
+def read_visits(spark: SparkSession, path: str) -> DataFrame:
     """Read a date-partitioned nested source with the pruned read schema."""
-    return spark.read.schema(GA_SESSIONS_DDL).parquet(path)
+    return spark.read.schema(VISITS_DDL).parquet(path)
 
 
-def write_ga_sessions(sessions: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_visits(sessions: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write nested visits as Parquet partitioned by ``date`` (one folder per
     daily shard), so date ranges prune whole folders on read."""
     sessions.write.mode(mode).partitionBy("date").parquet(path)

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from journeykit.operators.flatten import preprocess_hits
 from journeykit.session import ensure_checkpoint_dir
-from journeykit.sources.ga_sessions import GA_SESSIONS_DDL
+from journeykit.sources.visits import VISITS_DDL
 
 
 def stream_flat_events(spark: SparkSession, source_path: str, sink_path: str,
@@ -29,7 +29,7 @@ def stream_flat_events(spark: SparkSession, source_path: str, sink_path: str,
     stops (incremental batch); otherwise the stream keeps running."""
     if checkpoint_path is None:
         checkpoint_path = os.path.join(ensure_checkpoint_dir(spark), "flat_events_stream")
-    visits = spark.readStream.schema(GA_SESSIONS_DDL).parquet(source_path)
+    visits = spark.readStream.schema(VISITS_DDL).parquet(source_path)
     flat = preprocess_hits(visits, date_from, date_to)
     writer = (flat.writeStream.format("parquet")
               .option("path", sink_path)

@@ -12,7 +12,7 @@ from journeykit.operators.flatten import preprocess_hits
 from journeykit.operators.navigation import navigation_context
 from journeykit.operators.sequence import no_chunks, ordered_context, plan_chunks, session_plan
 from journeykit.session import ROWS_PER_CHUNK_CONF
-from journeykit.sources.ga_sessions import load_ga_sessions
+from journeykit.sources.visits import load_visits
 from oracle_compare import compare, duck_connect
 
 ORDER = ["trace_time", "event_seq_num"]
@@ -46,7 +46,7 @@ def test_navigation_chunked_edge(spark):
 
 
 def test_navigation_chunked_testdata(spark):
-    flat = preprocess_hits(load_ga_sessions(spark, SF_SMALL))
+    flat = preprocess_hits(load_visits(spark, SF_SMALL))
     plan = session_plan(flat, rows_per_chunk=2)
     assert plan.active
     plain = navigation_context(flat, no_chunks(["session_id"], ORDER))
@@ -70,7 +70,7 @@ def test_chunked_queries_match_oracle(spark, key):
 
 def test_plain_plan_has_one_session_exchange(spark):
     """Without hot sessions the navigation step is one exchange + one sort."""
-    flat = preprocess_hits(load_ga_sessions(spark, SF_SMALL))
+    flat = preprocess_hits(load_visits(spark, SF_SMALL))
     nav = navigation_context(flat, session_plan(flat))
     plan = nav._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(session_id") == 1

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from journeykit.operators.flatten import preprocess_hits
-from journeykit.sources.ga_sessions import (
-    HITS_PER_ROW, load_ga_sessions, read_ga_sessions, write_ga_sessions,
+from journeykit.sources.visits import (
+    HITS_PER_ROW, load_visits, read_visits, write_visits,
 )
 from journeykit.sources.tables import read_table, write_flat_events
 
@@ -18,10 +18,10 @@ def _plan(df) -> str:
 
 
 def test_date_shards_roundtrip_and_pruning(spark):
-    out = os.path.join(tempfile.mkdtemp(prefix="jk-src-", dir="/tmp"), "ga_sessions")
-    sessions = load_ga_sessions(spark, SF_SMALL)
-    write_ga_sessions(sessions, out)
-    back = read_ga_sessions(spark, out)
+    out = os.path.join(tempfile.mkdtemp(prefix="jk-src-", dir="/tmp"), "visits")
+    sessions = load_visits(spark, SF_SMALL)
+    write_visits(sessions, out)
+    back = read_visits(spark, out)
     # same flat rows from the written shards as from the in-memory source
     a = preprocess_hits(sessions)
     b = preprocess_hits(back)
@@ -37,14 +37,14 @@ def test_date_shards_roundtrip_and_pruning(spark):
 
 
 def test_hits_per_row_is_bounded(spark):
-    sessions = load_ga_sessions(spark, SF_SMALL)
+    sessions = load_visits(spark, SF_SMALL)
     assert sessions.agg(F.max(F.size("hits"))).first()[0] <= HITS_PER_ROW
 
 
 def test_bucketed_flat_table(spark):
     from journeykit.operators.sessions import session_facts
 
-    flat = preprocess_hits(load_ga_sessions(spark, SF_SMALL))
+    flat = preprocess_hits(load_visits(spark, SF_SMALL))
     folder = tempfile.mkdtemp(prefix="jk-tbl-", dir="/tmp")
     write_flat_events(flat, "jk_flat_events", buckets=4, path=folder)
     table = read_table(spark, "jk_flat_events")
@@ -61,7 +61,7 @@ def test_analyses_from_bucketed_table(spark):
     from journeykit.plans.catalog import JourneyData
     from journeykit.plans import analyses as A
 
-    flat = preprocess_hits(load_ga_sessions(spark, SF_SMALL))
+    flat = preprocess_hits(load_visits(spark, SF_SMALL))
     folder = tempfile.mkdtemp(prefix="jk-tbl2-", dir="/tmp")
     write_flat_events(flat, "jk_flat_events2", buckets=4, path=folder)
     data = JourneyData.from_flat(read_table(spark, "jk_flat_events2"))

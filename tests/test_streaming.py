@@ -5,15 +5,15 @@ import tempfile
 
 from conftest import SF_SMALL
 from journeykit.operators.flatten import preprocess_hits
-from journeykit.sources.ga_sessions import load_ga_sessions, write_ga_sessions
+from journeykit.sources.visits import load_visits, write_visits
 from journeykit.streaming import stream_flat_events
 
 
 def test_stream_matches_batch(spark):
     base = tempfile.mkdtemp(prefix="jk-stream-", dir="/tmp")
     src, sink, ckpt = (os.path.join(base, n) for n in ("src", "sink", "ckpt"))
-    sessions = load_ga_sessions(spark, SF_SMALL)
-    write_ga_sessions(sessions, src)
+    sessions = load_visits(spark, SF_SMALL)
+    write_visits(sessions, src)
     q = stream_flat_events(spark, src, sink, ckpt)
     q.awaitTermination(300)
     out = spark.read.parquet(sink)
