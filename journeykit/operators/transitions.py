@@ -15,7 +15,8 @@ SEP = " > "
 EXTERNAL_PREFIX = "(external) "
 
 
-def _external_entry(df: DataFrame) -> F.Column:
+def _external_entry() -> F.Column:
+    """The event came from a raw source that is neither direct nor unset."""
     src = F.col("traffic_source")
     return (src.isNotNull() & ~src.isin(*DIRECT_SOURCES)) & (F.col("traffic_source_grouped") != "direct")
 
@@ -31,7 +32,7 @@ def page_transitions(navigation: DataFrame, n: int = 2) -> DataFrame:
     if n == 2:
         key = F.concat(F.col("prev_page_template"), F.lit(SEP), F.col("page_template"))
     elif n == 3:
-        current = F.when(_external_entry(steps), F.concat(F.lit(EXTERNAL_PREFIX), F.col("page_template"))) \
+        current = F.when(_external_entry(), F.concat(F.lit(EXTERNAL_PREFIX), F.col("page_template"))) \
             .otherwise(F.col("page_template"))
         key = F.concat(F.col("two_ahead_page_template"), F.lit(SEP),
                        F.col("prev_page_template"), F.lit(SEP), current)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from journeykit.operators.navigation import NAVIGATION_COLUMNS
+
 # Name / value patterns applied to one "name=value" pair.
 PARAM_NAME_PATTERN = r"([^=]+)"
 PARAM_VALUE_PATTERN = r"[^=]+=([^&]+)"
@@ -31,9 +33,12 @@ def url_params(navigation: DataFrame) -> DataFrame:
     ``+`` in a value becomes a space; no percent-decoding."""
     pair = F.col("_pair")
     exploded = navigation.select("*", F.explode_outer("param_pairs").alias("_pair"))
-    carried = [c for c in navigation.columns if c not in ("param_pairs", "device_type",
-                                                           "traffic_campaign", "first_page_template")
-               and c not in URL_PARAM_COLUMNS]
+    # The original drops these navigation columns at this step; any column
+    # the navigation step does not define (session facts attached by the
+    # enrichment, internal chunk columns) is carried along.
+    dropped = {"param_pairs", "device_type", "traffic_campaign", "first_page_template"}
+    carried = [c for c in navigation.columns
+               if c not in dropped and c not in URL_PARAM_COLUMNS and c not in NAVIGATION_COLUMNS]
     return exploded.select(
         *URL_PARAM_COLUMNS[:-2],
         F.regexp_extract(pair, PARAM_NAME_PATTERN, 1).alias("param_name"),

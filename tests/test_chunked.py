@@ -3,7 +3,6 @@ windows. A tiny chunk size forces nearly every session (and every visit of
 the fixture) through the chunked path."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
