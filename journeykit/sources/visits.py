@@ -66,6 +66,10 @@ FIXTURE_CATEGORIES = ["Home/Apparel/Kid's/Kids-Youth/", "Home/Electronics/Audio/
 HITS_PER_ROW = 512
 
 
+def _epoch_ntz() -> Column:
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+
+
 def _pick(values: list, index: Column) -> Column:
     """``values[index]`` for a small fixed list, as a JVM-side array lookup."""
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
@@ -119,7 +123,9 @@ def visits_from_events(events: DataFrame,
         F.col("user_id").cast("string").alias("fullVisitorId"),
         F.col("b").cast("bigint").alias("visitId"),
         vst.cast("bigint").alias("visitStartTime"),
-        F.date_format(F.timestamp_seconds(vst), "yyyyMMdd").alias("date"),
+        # formatted from a zone-less timestamp: the shard name does not
+        # depend on the session time zone
+        F.date_format(F.timestamp_add("SECOND", vst, _epoch_ntz()), "yyyyMMdd").alias("date"),
         F.struct(_pick(FIXTURE_DEVICES, F.pmod(F.col("user_id"), F.lit(3))).alias("deviceCategory"))
         .alias("device"),
         F.struct(
