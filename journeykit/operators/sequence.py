@@ -58,12 +58,17 @@ def plan_chunks(df: DataFrame, keys: list[str], order: list[str],
                 rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> ChunkPlan:
     """Find groups larger than ``rows_per_chunk`` and their chunk boundaries.
 
-    Runs one small job (how many groups are hot); only when there are hot
-    groups, two more (their sizes, then quantiles over their rows only),
+    Runs a row count, and when the input is larger than one chunk a small
+    aggregate job (how many groups are hot); only when there are hot groups,
+    two more (their sizes, then quantiles over their rows only),
     whose small results are checkpointed into the shared checkpoint folder.
     The returned plan is reused by every window and aggregate over the same
     rows."""
     plan = ChunkPlan(list(keys), list(order), rows_per_chunk=rows_per_chunk)
+    # No group is larger than the whole input: a row count (no column is
+    # read from a Parquet scan) settles the question for small inputs.
+    if df.count() <= rows_per_chunk:
+        return plan
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     # One small job answers "is there any hot group?"; the usual answer
     # (no) leaves the plain window plan with nothing else computed.
