@@ -32,13 +32,23 @@ def enriched_events(navigation: DataFrame) -> DataFrame:
 
     When ``navigation`` carries hot sessions (chunk columns, see
     ``sequence``), a whole-session window would put each of them in one
-    task; then the facts are aggregated per session (map-side combined,
-    fingerprints per chunk) and left-joined on ``session_id``, where AQE's
-    skew-join handling splits the hot sessions' rows over several tasks."""
+    task. Rows of the other sessions keep the one-pass form on their existing
+    partitioning (one session per chunk there); only the hot sessions' rows
+    are left-joined with their facts (aggregated map-side, fingerprints per
+    chunk), and AQE's skew-join handling splits them over several tasks.
+    ``_hot`` is part of the navigation partitioning, so each branch's filter
+    runs below the exchange and every row is shuffled in one branch only."""
     if "_hot" in navigation.columns:
-        facts = sequence_session_facts(navigation).select("session_id", *ENRICH_FACT_COLUMNS)
-        params = url_params(navigation).select(*URL_PARAM_COLUMNS)
-        return params.join(facts, "session_id", "left").select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS)
+        hot = F.col("_hot")
+        cold = with_sequence_facts(navigation.filter(~hot), ENRICH_FACT_COLUMNS,
+                                   partition=["session_id", "_hot", "_chunk"])
+        cold_rows = url_params(cold).select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS)
+        hot_nav = navigation.filter(hot)
+        facts = sequence_session_facts(hot_nav).select("session_id", *ENRICH_FACT_COLUMNS)
+        hot_rows = (url_params(hot_nav).select(*URL_PARAM_COLUMNS)
+                    .join(facts, "session_id", "left")
+                    .select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS))
+        return cold_rows.unionByName(hot_rows)
     with_facts = with_sequence_facts(navigation, ENRICH_FACT_COLUMNS)
     return url_params(with_facts).select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS)
 

@@ -86,13 +86,16 @@ def sequence_session_facts(navigation: DataFrame) -> DataFrame:
             .select(*SEQUENCE_FACT_COLUMNS))
 
 
-def with_sequence_facts(navigation: DataFrame, names: list[str]) -> DataFrame:
+def with_sequence_facts(navigation: DataFrame, names: list[str],
+                        partition: list[str] | None = None) -> DataFrame:
     """Every refresh-free event with the session facts ``names`` attached.
 
     Window aggregates over the session, on the partitioning and sort the
-    navigation windows already produced (no exchange, no sort). Facts are
-    NULL for a NULL session id, which a join on the id would not match."""
-    ws = Window.partitionBy("session_id")
+    navigation windows already produced (no exchange, no sort). ``partition``
+    is that partitioning when it has more columns than the session id but
+    each session still lies in one partition. Facts are NULL for a NULL
+    session id, which a join on the id would not match."""
+    ws = Window.partitionBy(*(partition or ["session_id"]))
     steps = F.array_sort(F.collect_list(F.struct("event_seq_num", "page_template")).over(ws))
     fingerprint = F.array_join(F.transform(steps, lambda s: s["page_template"]), STEP_SEPARATOR)
     exprs = _facts(fingerprint, ws)
