@@ -11,7 +11,54 @@ from __future__ import annotations
 
 ORDER = "trace_time ASC NULLS FIRST, event_seq_num ASC NULLS FIRST"
 
-_BASE = r"""
+
+# Page template of ``page_path`` and grouped source of ``source`` (used in the
+# flat events below and by the rule differential test).
+PAGE_TEMPLATE_SQL = r"""CASE
+  WHEN regexp_matches(page_path, '\.(axd|js|css|png|jpg|jpeg|gif|svg|ico|woff|woff2|ttf|eot)(\?|$)') THEN 'Asset'
+  WHEN lower(page_path) LIKE '%basket%' OR lower(page_path) LIKE '%cart%' THEN 'Cart'
+  WHEN lower(page_path) LIKE '%checkout%' OR lower(page_path) LIKE '%payment%'
+    OR lower(page_path) LIKE '%revieworder%' THEN 'Checkout'
+  WHEN lower(page_path) LIKE '%ordercompleted%' OR lower(page_path) LIKE '%orderconfirm%'
+    OR lower(page_path) LIKE '%order-confirm%' OR lower(page_path) LIKE '%thankyou%'
+    OR lower(page_path) LIKE '%thank-you%' THEN 'OrderConfirmation'
+  WHEN lower(page_path) LIKE '%/search%' OR lower(page_path) LIKE '%?q=%'
+    OR lower(page_path) LIKE '%&q=%' OR lower(page_path) LIKE '%asearch%'
+    OR regexp_matches(lower(page_path), '[?&](query|keyword|search)=') THEN 'SearchResults'
+  WHEN lower(page_path) LIKE '%quickview%' OR lower(page_path) LIKE '%quick-view%' THEN 'ProductQuickview'
+  WHEN lower(page_path) LIKE '%storelocator%' OR lower(page_path) LIKE '%store-locator%'
+    OR lower(page_path) LIKE '%findstore%' OR lower(page_path) LIKE '%find-store%'
+    OR (lower(page_path) LIKE '%store%' AND lower(page_path) LIKE '%locator%') THEN 'StoreLocator'
+  WHEN lower(page_path) LIKE '%signin%' OR lower(page_path) LIKE '%sign-in%'
+    OR lower(page_path) LIKE '%login%' OR lower(page_path) LIKE '%log-in%'
+    OR lower(page_path) LIKE '%account%' OR lower(page_path) LIKE '%myaccount%'
+    OR lower(page_path) LIKE '%my-account%' OR lower(page_path) LIKE '%register%'
+    OR lower(page_path) LIKE '%signup%' THEN 'Account'
+  WHEN regexp_matches(page_path, '^/[^/]+/[^/]+/[^/]+')
+    AND NOT regexp_matches(lower(page_path), '(basket|cart|checkout|search|account|login|signin)') THEN 'ProductDetail'
+  WHEN regexp_matches(page_path, '^/[^/]+/[^/]+/?$')
+    AND NOT regexp_matches(lower(page_path), '(basket|cart|checkout|search|account|login|signin)') THEN 'CategoryPage'
+  WHEN regexp_matches(page_path, '^/[^/]+/?$')
+    AND NOT regexp_matches(lower(page_path), '(basket|cart|checkout|search|account|login|signin)')
+    AND lower(page_path) NOT IN ('/home', '/home/') THEN 'TopCategory'
+  WHEN page_path IN ('/', '/home', '/home/')
+    OR lower(page_path) IN ('/index.html', '/index.htm', '/default.aspx') THEN 'Homepage'
+  ELSE 'Other'
+END"""
+
+SOURCE_GROUP_SQL = r"""CASE
+  WHEN source IS NULL OR source IN ('(direct)', '(not set)') THEN 'direct'
+  WHEN lower(source) LIKE '%google%' THEN 'google'
+  WHEN lower(source) LIKE '%bing%' THEN 'bing'
+  WHEN lower(source) LIKE '%facebook%' OR lower(source) LIKE '%fb%' THEN 'facebook'
+  WHEN lower(source) LIKE '%twitter%' THEN 'twitter'
+  WHEN lower(source) LIKE '%youtube%' THEN 'youtube'
+  WHEN lower(source) LIKE '%instagram%' THEN 'instagram'
+  WHEN lower(source) LIKE '%linkedin%' THEN 'linkedin'
+  ELSE source
+END"""
+
+_BASE_TEMPLATE = r"""
 ev AS (
   SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS ms FROM events
 ),
@@ -67,54 +114,14 @@ flat AS (
     'https://' || hostname || page_path AS url,
     device_category AS device_type,
     hit_type AS page_type,
-    CASE
-      WHEN regexp_matches(page_path, '\.(axd|js|css|png|jpg|jpeg|gif|svg|ico|woff|woff2|ttf|eot)(\?|$)') THEN 'Asset'
-      WHEN lower(page_path) LIKE '%basket%' OR lower(page_path) LIKE '%cart%' THEN 'Cart'
-      WHEN lower(page_path) LIKE '%checkout%' OR lower(page_path) LIKE '%payment%'
-        OR lower(page_path) LIKE '%revieworder%' THEN 'Checkout'
-      WHEN lower(page_path) LIKE '%ordercompleted%' OR lower(page_path) LIKE '%orderconfirm%'
-        OR lower(page_path) LIKE '%order-confirm%' OR lower(page_path) LIKE '%thankyou%'
-        OR lower(page_path) LIKE '%thank-you%' THEN 'OrderConfirmation'
-      WHEN lower(page_path) LIKE '%/search%' OR lower(page_path) LIKE '%?q=%'
-        OR lower(page_path) LIKE '%&q=%' OR lower(page_path) LIKE '%asearch%'
-        OR regexp_matches(lower(page_path), '[?&](query|keyword|search)=') THEN 'SearchResults'
-      WHEN lower(page_path) LIKE '%quickview%' OR lower(page_path) LIKE '%quick-view%' THEN 'ProductQuickview'
-      WHEN lower(page_path) LIKE '%storelocator%' OR lower(page_path) LIKE '%store-locator%'
-        OR lower(page_path) LIKE '%findstore%' OR lower(page_path) LIKE '%find-store%'
-        OR (lower(page_path) LIKE '%store%' AND lower(page_path) LIKE '%locator%') THEN 'StoreLocator'
-      WHEN lower(page_path) LIKE '%signin%' OR lower(page_path) LIKE '%sign-in%'
-        OR lower(page_path) LIKE '%login%' OR lower(page_path) LIKE '%log-in%'
-        OR lower(page_path) LIKE '%account%' OR lower(page_path) LIKE '%myaccount%'
-        OR lower(page_path) LIKE '%my-account%' OR lower(page_path) LIKE '%register%'
-        OR lower(page_path) LIKE '%signup%' THEN 'Account'
-      WHEN regexp_matches(page_path, '^/[^/]+/[^/]+/[^/]+')
-        AND NOT regexp_matches(lower(page_path), '(basket|cart|checkout|search|account|login|signin)') THEN 'ProductDetail'
-      WHEN regexp_matches(page_path, '^/[^/]+/[^/]+/?$')
-        AND NOT regexp_matches(lower(page_path), '(basket|cart|checkout|search|account|login|signin)') THEN 'CategoryPage'
-      WHEN regexp_matches(page_path, '^/[^/]+/?$')
-        AND NOT regexp_matches(lower(page_path), '(basket|cart|checkout|search|account|login|signin)')
-        AND lower(page_path) NOT IN ('/home', '/home/') THEN 'TopCategory'
-      WHEN page_path IN ('/', '/home', '/home/')
-        OR lower(page_path) IN ('/index.html', '/index.htm', '/default.aspx') THEN 'Homepage'
-      ELSE 'Other'
-    END AS page_template,
+    {PAGE_TEMPLATE_SQL} AS page_template,
     source AS traffic_source,
     medium AS traffic_medium,
     CASE WHEN medium = 'cpc' THEN 'brand' END AS traffic_campaign,
     CAST(NULL AS VARCHAR) AS traffic_ad_content,
     CASE WHEN source = 'google' THEN '(not provided)' END AS traffic_keyword,
     CASE WHEN medium = 'cpc' THEN 'g' || CAST(user_id AS VARCHAR) END AS gclid,
-    CASE
-      WHEN source IS NULL OR source IN ('(direct)', '(not set)') THEN 'direct'
-      WHEN lower(source) LIKE '%google%' THEN 'google'
-      WHEN lower(source) LIKE '%bing%' THEN 'bing'
-      WHEN lower(source) LIKE '%facebook%' OR lower(source) LIKE '%fb%' THEN 'facebook'
-      WHEN lower(source) LIKE '%twitter%' THEN 'twitter'
-      WHEN lower(source) LIKE '%youtube%' THEN 'youtube'
-      WHEN lower(source) LIKE '%instagram%' THEN 'instagram'
-      WHEN lower(source) LIKE '%linkedin%' THEN 'linkedin'
-      ELSE source
-    END AS traffic_source_grouped,
+    {SOURCE_GROUP_SQL} AS traffic_source_grouped,
     nullif(regexp_extract(first_category, '^Home/([^/]+)', 1), '') AS product_category,
     first_category AS product_category_full,
     action_type AS ecommerce_action_type,
@@ -122,6 +129,8 @@ flat AS (
   FROM hit_rows
   WHERE hit_type IN ('PAGE', 'TRANSACTION')
 )"""
+_BASE = (_BASE_TEMPLATE.replace("{PAGE_TEMPLATE_SQL}", PAGE_TEMPLATE_SQL.replace("\n", "\n    "))
+         .replace("{SOURCE_GROUP_SQL}", SOURCE_GROUP_SQL.replace("\n", "\n    ")))
 
 _FACTS = f"""
 device_rank AS (
