@@ -36,3 +36,38 @@ def test_rules_agree_with_sql(spark, rows):
     want = {i: (t, g) for i, t, g in con.execute(
         f"SELECT i, {PAGE_TEMPLATE_SQL} AS t, {SOURCE_GROUP_SQL} AS g FROM r").fetchall()}
     assert got == want
+
+
+URL_TOKENS = ["https://h/p", "?", "&", "=", "a", "b", "q", "x=y", "1", "+", "2", "#f", "/", "%20", "&&", "=="]
+
+
+@settings(max_examples=int(os.environ.get("RULE_EXAMPLES", "15")), deadline=None,
+          suppress_health_check=list(HealthCheck))
+@given(urls=st.lists(st.one_of(st.none(), st.lists(st.sampled_from(URL_TOKENS), max_size=10).map("".join)),
+                     min_size=1, max_size=40))
+def test_param_parsing_agrees_with_sql(spark, urls):
+    """URL parameter pairs, names and values: Java regex in Spark = RE2 in
+    DuckDB (the oracle's pair, name and value expressions)."""
+    from journeykit.operators.navigation import PARAM_PAIR_PATTERN
+    from journeykit.operators.url_params import PARAM_NAME_PATTERN, PARAM_VALUE_PATTERN
+
+    data = [(i, u) for i, u in enumerate(urls)]
+    df = spark.createDataFrame(data, "i INT, url STRING")
+    pairs = df.select("i", F.explode_outer(F.regexp_extract_all("url", F.lit(PARAM_PAIR_PATTERN), 1)).alias("p"))
+    got = sorted((r.i, r.n, r.v) for r in pairs.select(
+        "i",
+        F.regexp_extract("p", PARAM_NAME_PATTERN, 1).alias("n"),
+        F.replace(F.regexp_extract("p", PARAM_VALUE_PATTERN, 1), F.lit("+"), F.lit(" ")).alias("v"),
+    ).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE u (i INTEGER, url VARCHAR)")
+    con.executemany("INSERT INTO u VALUES (?, ?)", data)
+    want = sorted(con.execute(r"""
+        WITH p AS (
+          SELECT i, unnest(CASE WHEN url IS NULL OR len(regexp_extract_all(url, '[?&]((?:[^=]+)=(?:[^&]+))', 1)) = 0
+                                THEN [CAST(NULL AS VARCHAR)]
+                                ELSE regexp_extract_all(url, '[?&]((?:[^=]+)=(?:[^&]+))', 1) END) AS pair
+          FROM u)
+        SELECT i, regexp_extract(pair, '([^=]+)', 1), replace(regexp_extract(pair, '[^=]+=([^&]+)', 1), '+', ' ')
+        FROM p""").fetchall())
+    assert got == want
