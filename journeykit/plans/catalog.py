@@ -26,7 +26,7 @@ from journeykit.operators.transitions import page_transitions
 from journeykit.operators.url_params import url_params
 from journeykit.plans import analyses as A
 from journeykit.session import rows_per_chunk
-from journeykit.sources.visits import load_visits
+from journeykit.sources.visits import load_visits, read_visits
 
 SESSION_FACT_COLUMNS = [
     "session_id", "journey_path", "journey_steps", "journey_duration_seconds",
@@ -58,6 +58,14 @@ class JourneyData:
         data._cache["flat"] = flat
         return data
 
+    @classmethod
+    def from_visits(cls, spark: SparkSession, path: str, date_from: str | None = None,
+                    date_to: str | None = None) -> "JourneyData":
+        """Start from the date-sharded nested visit files (pruned read schema,
+        date range as a partition filter). For repeated analyses, flatten
+        once, save with ``sources.write_flat_events`` and use ``from_flat``."""
+        return cls(read_visits(spark, path), date_from=date_from, date_to=date_to)
+
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "JourneyData":
         sessions, visit_plan = load_visits(spark, sf_dir, with_plan=True)

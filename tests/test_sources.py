@@ -73,3 +73,17 @@ def test_analyses_from_bucketed_table(spark):
            .select("channel_group", "session_count").collect()}
     assert got == expected
     spark.sql("DROP TABLE IF EXISTS jk_flat_events2")
+
+
+def test_analyses_from_visit_files(spark):
+    """Production path from the nested files: date range as partition filter."""
+    from journeykit.plans.catalog import JourneyData
+    from journeykit.plans import analyses as A
+
+    out = os.path.join(tempfile.mkdtemp(prefix="jk-src3-", dir="/tmp"), "visits")
+    write_visits(load_visits(spark, SF_SMALL), out)
+    data = JourneyData.from_visits(spark, out, "20240101", "20240110")
+    result = A.channel_group_performance(data.facts)
+    assert "PartitionFilters: [isnotnull(date" in _plan(result)
+    total = sum(r.session_count for r in result.collect())
+    assert 0 < total < JourneyData.from_visits(spark, out).facts.count()
