@@ -9,54 +9,67 @@ Integer sums and ``count_if`` are cast to BIGINT (DuckDB widens them).
 
 from __future__ import annotations
 
+from journeykit.functions import rules as R
+
 ORDER = "trace_time ASC NULLS FIRST, event_seq_num ASC NULLS FIRST"
 
 
-# Page template of ``page_path`` and grouped source of ``source`` (used in the
-# flat events below and by the rule differential test).
-PAGE_TEMPLATE_SQL = r"""CASE
-  WHEN regexp_matches(page_path, '\.(axd|js|css|png|jpg|jpeg|gif|svg|ico|woff|woff2|ttf|eot)(\?|$)') THEN 'Asset'
-  WHEN lower(page_path) LIKE '%basket%' OR lower(page_path) LIKE '%cart%' THEN 'Cart'
-  WHEN lower(page_path) LIKE '%checkout%' OR lower(page_path) LIKE '%payment%'
-    OR lower(page_path) LIKE '%revieworder%' THEN 'Checkout'
-  WHEN lower(page_path) LIKE '%ordercompleted%' OR lower(page_path) LIKE '%orderconfirm%'
-    OR lower(page_path) LIKE '%order-confirm%' OR lower(page_path) LIKE '%thankyou%'
-    OR lower(page_path) LIKE '%thank-you%' THEN 'OrderConfirmation'
-  WHEN lower(page_path) LIKE '%/search%' OR lower(page_path) LIKE '%?q=%'
-    OR lower(page_path) LIKE '%&q=%' OR lower(page_path) LIKE '%asearch%'
-    OR regexp_matches(lower(page_path), '[?&](query|keyword|search)=') THEN 'SearchResults'
-  WHEN lower(page_path) LIKE '%quickview%' OR lower(page_path) LIKE '%quick-view%' THEN 'ProductQuickview'
-  WHEN lower(page_path) LIKE '%storelocator%' OR lower(page_path) LIKE '%store-locator%'
-    OR lower(page_path) LIKE '%findstore%' OR lower(page_path) LIKE '%find-store%'
-    OR (lower(page_path) LIKE '%store%' AND lower(page_path) LIKE '%locator%') THEN 'StoreLocator'
-  WHEN lower(page_path) LIKE '%signin%' OR lower(page_path) LIKE '%sign-in%'
-    OR lower(page_path) LIKE '%login%' OR lower(page_path) LIKE '%log-in%'
-    OR lower(page_path) LIKE '%account%' OR lower(page_path) LIKE '%myaccount%'
-    OR lower(page_path) LIKE '%my-account%' OR lower(page_path) LIKE '%register%'
-    OR lower(page_path) LIKE '%signup%' THEN 'Account'
-  WHEN regexp_matches(page_path, '^/[^/]+/[^/]+/[^/]+')
-    AND NOT regexp_matches(lower(page_path), '(basket|cart|checkout|search|account|login|signin)') THEN 'ProductDetail'
-  WHEN regexp_matches(page_path, '^/[^/]+/[^/]+/?$')
-    AND NOT regexp_matches(lower(page_path), '(basket|cart|checkout|search|account|login|signin)') THEN 'CategoryPage'
-  WHEN regexp_matches(page_path, '^/[^/]+/?$')
-    AND NOT regexp_matches(lower(page_path), '(basket|cart|checkout|search|account|login|signin)')
-    AND lower(page_path) NOT IN ('/home', '/home/') THEN 'TopCategory'
-  WHEN page_path IN ('/', '/home', '/home/')
-    OR lower(page_path) IN ('/index.html', '/index.htm', '/default.aspx') THEN 'Homepage'
-  ELSE 'Other'
-END"""
-
-SOURCE_GROUP_SQL = r"""CASE
-  WHEN source IS NULL OR source IN ('(direct)', '(not set)') THEN 'direct'
-  WHEN lower(source) LIKE '%google%' THEN 'google'
-  WHEN lower(source) LIKE '%bing%' THEN 'bing'
-  WHEN lower(source) LIKE '%facebook%' OR lower(source) LIKE '%fb%' THEN 'facebook'
-  WHEN lower(source) LIKE '%twitter%' THEN 'twitter'
-  WHEN lower(source) LIKE '%youtube%' THEN 'youtube'
-  WHEN lower(source) LIKE '%instagram%' THEN 'instagram'
-  WHEN lower(source) LIKE '%linkedin%' THEN 'linkedin'
-  ELSE source
-END"""
+# Page template of ``page_path`` and grouped source of ``source`` in DuckDB
+# SQL, generated from the fixed rule values in ``functions.rules`` (the values
+# themselves are pinned by the expectation tables of tests/test_rules.py).
+# DuckDB evaluates the patterns with RE2, Spark with Java regexes; the
+# differential test compares the two engines on random paths.
+
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _contains_any(expr: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({expr}, {_sql_text(w)})" for w in words) + ")"
+
+
+def _in_list(expr: str, values: list[str]) -> str:
+    return f"{expr} IN (" + ", ".join(_sql_text(v) for v in values) + ")"
+
+
+def _case(rules: list[tuple[str, str]], default: str) -> str:
+    arms = "\n".join(f"  WHEN {cond} THEN {label}" for label, cond in rules)
+    return f"CASE\n{arms}\n  ELSE {default}\nEND"
+
+
+def _page_template_sql(path: str = "page_path") -> str:
+    low = f"lower({path})"
+    plain = f"NOT regexp_matches({low}, {_sql_text(R.FUNCTIONAL_PATTERN)})"
+    rules = [
+        ("Asset", f"regexp_matches({path}, {_sql_text(R.ASSET_PATTERN)})"),
+        ("Cart", _contains_any(low, R.CART_WORDS)),
+        ("Checkout", _contains_any(low, R.CHECKOUT_WORDS)),
+        ("OrderConfirmation", _contains_any(low, R.CONFIRMATION_WORDS)),
+        ("SearchResults", f"({_contains_any(low, R.SEARCH_WORDS)} OR "
+                          f"regexp_matches({low}, {_sql_text(R.SEARCH_PARAM_PATTERN)}))"),
+        ("ProductQuickview", _contains_any(low, R.QUICKVIEW_WORDS)),
+        ("StoreLocator", f"({_contains_any(low, R.STORE_LOCATOR_WORDS)} OR "
+                         f"(contains({low}, {_sql_text(R.STORE_LOCATOR_PAIR[0])}) AND "
+                         f"contains({low}, {_sql_text(R.STORE_LOCATOR_PAIR[1])})))"),
+        ("Account", _contains_any(low, R.ACCOUNT_WORDS)),
+        ("ProductDetail", f"regexp_matches({path}, {_sql_text(R.DEPTH3_PATTERN)}) AND {plain}"),
+        ("CategoryPage", f"regexp_matches({path}, {_sql_text(R.DEPTH2_PATTERN)}) AND {plain}"),
+        ("TopCategory", f"regexp_matches({path}, {_sql_text(R.DEPTH1_PATTERN)}) AND {plain} "
+                        f"AND NOT {_in_list(low, R.NOT_TOP_CATEGORY)}"),
+        ("Homepage", f"({_in_list(path, R.HOMEPAGE_PATHS)} OR {_in_list(low, R.HOMEPAGE_PATHS_ANY_CASE)})"),
+    ]
+    return _case([(_sql_text(label), cond) for label, cond in rules], "'Other'")
+
+
+def _source_group_sql(source: str = "source") -> str:
+    rules = [("'direct'", f"{source} IS NULL OR {_in_list(source, R.DIRECT_SOURCES)}")]
+    rules += [(_sql_text(label), _contains_any(f"lower({source})", words)) for label, words in R.SOURCE_GROUPS]
+    return _case(rules, source)
+
+
+PAGE_TEMPLATE_SQL = _page_template_sql()
+SOURCE_GROUP_SQL = _source_group_sql()
 
 _BASE_TEMPLATE = r"""
 ev AS (
@@ -245,14 +258,19 @@ enriched AS (
   FROM params p LEFT JOIN seq_facts s ON p.session_id = s.session_id
 )"""
 
-_FLAGS = """
+def _any_row(cond: str) -> str:
+    """1 when some row of the session satisfies ``cond`` (NULL counts as no)."""
+    return f"CAST(max(CASE WHEN coalesce({cond}, false) THEN 1 ELSE 0 END) AS BIGINT)"
+
+
+_FLAGS = f"""
 flags AS (
   SELECT session_id,
-    CAST(CASE WHEN sum(CASE WHEN lower(traffic_source) LIKE '%google%' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END AS BIGINT) AS google_source_flag,
-    CAST(CASE WHEN sum(CASE WHEN traffic_source_grouped = 'google' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END AS BIGINT) AS google_grouped_flag,
-    CAST(CASE WHEN sum(CASE WHEN traffic_source_grouped = 'google' AND traffic_medium = 'organic' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END AS BIGINT) AS google_organic_flag,
-    CAST(CASE WHEN sum(CASE WHEN traffic_source_grouped = 'google' AND traffic_medium = 'cpc' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END AS BIGINT) AS google_cpc_flag,
-    CAST(CASE WHEN sum(CASE WHEN event_seq_num = 1 AND traffic_source_grouped = 'google' THEN 1 ELSE 0 END) > 0 THEN 1 ELSE 0 END AS BIGINT) AS google_first_event_flag
+    {_any_row("contains(lower(traffic_source), 'google')")} AS google_source_flag,
+    {_any_row("traffic_source_grouped = 'google'")} AS google_grouped_flag,
+    {_any_row("traffic_source_grouped = 'google' AND traffic_medium = 'organic'")} AS google_organic_flag,
+    {_any_row("traffic_source_grouped = 'google' AND traffic_medium = 'cpc'")} AS google_cpc_flag,
+    {_any_row("event_seq_num = 1 AND traffic_source_grouped = 'google'")} AS google_first_event_flag
   FROM enriched GROUP BY session_id
 )"""
 
