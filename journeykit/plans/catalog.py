@@ -13,17 +13,16 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from journeykit.functions.columns import EVENT_ORDER
+from journeykit.functions.rules import page_template
 from journeykit.operators.enrich import enriched_events, session_source_flags
 from journeykit.operators.flatten import preprocess_hits
 from journeykit.operators.navigation import NAVIGATION_COLUMNS, navigation_context
-from journeykit.functions.columns import EVENT_ORDER
-from journeykit.functions.rules import page_template
 from journeykit.operators.sequence import ChunkPlan, no_chunks, session_plan
-from journeykit.operators.url_params import URL_PARAM_COLUMNS
 from journeykit.operators.sequence_facts import sequence_session_facts
 from journeykit.operators.sessions import first_touch, session_facts
 from journeykit.operators.transitions import page_transitions
-from journeykit.operators.url_params import url_params
+from journeykit.operators.url_params import URL_PARAM_COLUMNS, url_params
 from journeykit.plans import analyses as A
 from journeykit.session import rows_per_chunk
 from journeykit.sources.visits import load_visits, read_visits
@@ -91,8 +90,9 @@ class JourneyData:
 
     @property
     def plan(self) -> ChunkPlan:
-        """Hot sessions and their chunk boundaries (computed once: two small
-        jobs, results checkpointed)."""
+        """Hot sessions and their chunk boundaries, computed once per data set
+        (a row count or small aggregate jobs; results checkpointed). Skipped
+        when the source already bounds every session."""
         rpc = self.rows_per_chunk or rows_per_chunk(self.flat.sparkSession)
         if self.sessions_bounded:
             return self._get("plan", lambda: no_chunks(["session_id"], list(EVENT_ORDER)))
