@@ -2,6 +2,8 @@
 windows. A tiny chunk size forces nearly every session (and every visit of
 the fixture) through the chunked path."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -74,3 +76,16 @@ def test_plain_plan_has_one_session_exchange(spark):
     plan = nav._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(session_id") == 1
     assert "BroadcastHashJoin" not in plan and "SortMergeJoin" not in plan
+
+
+def test_chunked_plan_shape(spark):
+    """With hot sessions every row is shuffled once, on (session, hot, chunk);
+    the chunk plan and edge repairs arrive as broadcast small tables."""
+    flat = preprocess_hits(load_visits(spark, SF_SMALL))
+    nav = navigation_context(flat, session_plan(flat, rows_per_chunk=3))
+    plan = nav._jdf.queryExecution().executedPlan().toString()
+    main = re.findall(r"Exchange hashpartitioning\(session_id#\d+, _hot#\d+, _chunk#\d+", plan)
+    assert len(main) == 1
+    # other exchanges only shape the small checkpointed repair tables
+    assert "SortMergeJoin" not in plan
+    assert plan.count("BroadcastHashJoin") >= 3   # chunk bounds, chunk info, edge repairs
