@@ -211,7 +211,7 @@ def ordered_context(df: DataFrame, plan: ChunkPlan, *, row_number: str | None =
             *[F.min_by(c, ordering).alias(f"_first_{n}") for n, c in firsts],
             *[F.max_by(c, ordering).alias(f"_last_{n}") for n, c in lasts],
         )
-        chunk_info = chunk_info.join(group_ends, keys, "left")
+        chunk_info = chunk_info.join(plan.side(group_ends), keys, "left")
 
     joined = (local.join(plan.side(chunk_info), ck, "left")
               .join(plan.side(edge_fix), [*ck, "_lrn"], "left"))
