@@ -51,35 +51,49 @@ def preprocess_hits(sessions: DataFrame, date_from: str | None = None,
         return cond if hit_filter is None else cond & hit_filter(h)
 
     kept = F.filter("hits", keep)
+    source = F.col("trafficSource.source")
+    # Visit-level columns (session id, grouped source, ...) are computed once
+    # per visit row in their own projection, before the hits are generated:
+    # in one select with ``explode`` the analyzer would evaluate them per hit.
     df = df.select(
-        "fullVisitorId", "visitId", "visitStartTime", "device", "trafficSource",
-        F.explode(kept).alias("h"),
+        F.concat(F.col("fullVisitorId"), F.lit("-"), F.col("visitId").cast("string")).alias("_session_id"),
+        (F.col("visitStartTime") * 1000).alias("_start_ms"),
+        F.col("device.deviceCategory").alias("_device_type"),
+        source.alias("_source"),
+        F.col("trafficSource.medium").alias("_medium"),
+        F.col("trafficSource.campaign").alias("_campaign"),
+        F.col("trafficSource.adContent").alias("_ad_content"),
+        F.col("trafficSource.keyword").alias("_keyword"),
+        F.col("trafficSource.adwordsClickInfo.gclid").alias("_gclid"),
+        source_group(source).alias("_source_grouped"),
+        kept.alias("_kept"),
     )
+    visit_cols = [c for c in df.columns if c != "_kept"]
+    df = df.select(*visit_cols, F.explode("_kept").alias("h"))
 
     path = F.col("h.page.pagePath")
     host = F.col("h.page.hostname")
-    source = F.col("trafficSource.source")
     first_category = F.get(F.col("h.product"), 0)["v2ProductCategory"]
     action = F.col("h.eCommerceAction.action_type")
     hit_type = F.col("h.type")
 
     return df.select(
-        F.concat(F.col("fullVisitorId"), F.lit("-"), F.col("visitId").cast("string")).alias("session_id"),
-        (F.col("visitStartTime") * 1000 + F.col("h.time")).alias("trace_time"),
+        F.col("_session_id").alias("session_id"),
+        (F.col("_start_ms") + F.col("h.time")).alias("trace_time"),
         F.col("h.hitNumber").alias("event_seq_num"),
         path.alias("url_path"),
         host.alias("url_host"),
         F.concat(F.lit("https://"), host, path).alias("url"),
-        F.col("device.deviceCategory").alias("device_type"),
+        F.col("_device_type").alias("device_type"),
         hit_type.alias("page_type"),
         page_template(path).alias("page_template"),
-        source.alias("traffic_source"),
-        F.col("trafficSource.medium").alias("traffic_medium"),
-        F.col("trafficSource.campaign").alias("traffic_campaign"),
-        F.col("trafficSource.adContent").alias("traffic_ad_content"),
-        F.col("trafficSource.keyword").alias("traffic_keyword"),
-        F.col("trafficSource.adwordsClickInfo.gclid").alias("gclid"),
-        source_group(source).alias("traffic_source_grouped"),
+        F.col("_source").alias("traffic_source"),
+        F.col("_medium").alias("traffic_medium"),
+        F.col("_campaign").alias("traffic_campaign"),
+        F.col("_ad_content").alias("traffic_ad_content"),
+        F.col("_keyword").alias("traffic_keyword"),
+        F.col("_gclid").alias("gclid"),
+        F.col("_source_grouped").alias("traffic_source_grouped"),
         F.nullif(F.regexp_extract(first_category, TOP_CATEGORY_PATTERN, 1), F.lit("")).alias("product_category"),
         first_category.alias("product_category_full"),
         action.alias("ecommerce_action_type"),
