@@ -188,34 +188,45 @@ def ordered_context(df: DataFrame, plan: ChunkPlan, *, row_number: str | None =
     # At most 2 * depth rows per hot chunk: computed once and checkpointed
     # (its three uses below then read the small saved copy).
     edge = local.filter(F.col("_hot") & at_edge).select(
-        *ck, "_lrn", "_lcnt", *[c for c in order if c not in sources and c not in ck], *sources,
+        *part, "_lrn", "_lcnt", *[c for c in order if c not in sources and c not in ck], *sources,
         *[w_(n) for n, _ in counts]).checkpoint(eager=True)
     wg = Window.partitionBy(*keys).orderBy(*order)
+    fix_names = [f"_fix_{n}" for n, _, _, _ in (*lags, *leads)]
     edge_fix = edge.select(
-        *ck, "_lrn",
+        *part, "_lrn",
         *[F.lag(c, o, d).over(wg).alias(f"_fix_{n}") for n, c, o, d in lags],
         *[F.lead(c, o, d).over(wg).alias(f"_fix_{n}") for n, c, o, d in leads],
     )
-    per_chunk = edge.groupBy(*ck).agg(
+    per_chunk = edge.groupBy(*part).agg(
         F.max("_lcnt").alias("_csize"), *[F.max(w_(n)).alias(f"_c_{n}") for n, _ in counts])
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     whole_group = Window.partitionBy(*keys)
-    chunk_info = per_chunk.select(
-        *ck,
+    repair = per_chunk.select(
+        *part,
         F.coalesce(F.sum("_csize").over(before), F.lit(0)).alias("_offset"),
         *[F.sum(f"_c_{n}").over(whole_group).alias(f"_tot_{n}") for n, _ in counts],
     )
+    if fix_names:
+        # per chunk, its (at most 2 * depth) edge repairs as a map position → values
+        edge_maps = edge_fix.groupBy(*part).agg(F.map_from_entries(F.collect_list(
+            F.struct("_lrn", F.struct(*fix_names)))).alias("_fixes"))
+        repair = repair.join(plan.side(edge_maps), part, "left")
     if firsts or lasts:
         ordering = F.struct(*order)
         group_ends = edge.groupBy(*keys).agg(
             *[F.min_by(c, ordering).alias(f"_first_{n}") for n, c in firsts],
             *[F.max_by(c, ordering).alias(f"_last_{n}") for n, c in lasts],
         )
-        chunk_info = chunk_info.join(plan.side(group_ends), keys, "left")
+        repair = repair.join(plan.side(group_ends), keys, "left")
 
-    joined = (local.join(plan.side(chunk_info), ck, "left")
-              .join(plan.side(edge_fix), [*ck, "_lrn"], "left"))
+    # One repair row per hot chunk, joined on the main data's own partitioning
+    # (group, hot, chunk) — ``_hot`` comes from the saved edge rows, so it is a
+    # join key, not a constant: broadcast when the counted size allows,
+    # otherwise only the small side moves.
+    joined = local.join(plan.side(repair), part, "left")
     hot, lrn = F.col("_hot"), F.col("_lrn")
+    for name in fix_names:
+        joined = joined.withColumn(name, F.try_element_at(F.col("_fixes"), lrn)[name])
 
     def pick(n: str, fixed: str, cond: Column) -> Column:
         return F.when(cond, F.col(fixed)).otherwise(F.col(w_(n))).alias(n)

@@ -84,8 +84,41 @@ def test_chunked_plan_shape(spark):
     flat = preprocess_hits(load_visits(spark, SF_SMALL))
     nav = navigation_context(flat, session_plan(flat, rows_per_chunk=3))
     plan = nav._jdf.queryExecution().executedPlan().toString()
-    main = re.findall(r"Exchange hashpartitioning\(session_id#\d+, _hot#\d+, _chunk#\d+", plan)
-    assert len(main) == 1
-    # other exchanges only shape the small checkpointed repair tables
+    lines = plan.split("\n")
+
+    def reads_files(i: int) -> bool:
+        """Does the subtree under plan line ``i`` scan the source files?"""
+        depth = len(lines[i]) - len(lines[i].lstrip(" :+-"))
+        for line in lines[i + 1:]:
+            if len(line) - len(line.lstrip(" :+-")) <= depth:
+                return False
+            if "FileScan" in line:
+                return True
+        return False
+
+    session_exchanges = [i for i, line in enumerate(lines)
+                         if re.search(r"Exchange hashpartitioning\(session_id#", line) and reads_files(i)]
+    # the source rows are shuffled once by session; other exchanges only shape
+    # the small checkpointed repair tables
+    assert len(session_exchanges) == 1
+    assert re.search(r"hashpartitioning\(session_id#\d+, _hot#\d+, _chunk#\d+", lines[session_exchanges[0]])
     assert "SortMergeJoin" not in plan
     assert plan.count("BroadcastHashJoin") >= 3   # chunk bounds, chunk info, edge repairs
+
+
+def test_chunked_without_broadcast(spark, monkeypatch):
+    """Beyond the broadcast limit the repair tables are joined normally; the
+    results are the same."""
+    import journeykit.operators.sequence as seq
+
+    monkeypatch.setattr(seq, "MAX_BROADCAST_CHUNKS", 0)
+    rows = [("h", i // 4, i, f"v{i % 3}") for i in range(120)] + [("s", 1, 1, "x")]
+    df = spark.createDataFrame(rows, "g STRING, t BIGINT, h BIGINT, v STRING")
+    spec = dict(row_number="rn", lags=[("l1", "v", 1, None), ("l2", "v", 2, "none")],
+                leads=[("n1", "v", 1, "end")], firsts=[("f", "v")], lasts=[("z", "v")],
+                counts=[("c", "v")])
+    plan = plan_chunks(df, ["g"], ["t", "h"], rows_per_chunk=10)
+    chunked = ordered_context(df, plan, **spec)
+    assert "BroadcastHashJoin" not in chunked._jdf.queryExecution().executedPlan().toString()
+    plain = ordered_context(df, no_chunks(["g"], ["t", "h"]), **spec)
+    assert _rows(chunked) == _rows(plain)
