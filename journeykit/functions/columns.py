@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql.window import WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,9 +31,10 @@ def first_by_order(value: str | Column, *order: str) -> Column:
     return F.min_by(v, F.struct(*[F.col(c) for c in order]))
 
 
-def majority_value(value: str, over=None) -> Column:
+def majority_value(value: str, over: WindowSpec | None = None) -> Column:
     """Most frequent value with NULL counted as a value; ties go to the
     smallest value, NULL first. ``mode`` keeps a bounded value→count map per
-    group and merges map-side, so a hot group is pre-aggregated."""
+    group and merges map-side, so a hot group is pre-aggregated. With
+    ``over`` it is evaluated as a window aggregate."""
     agg = F.mode(F.struct(F.col(value).alias("v")), deterministic=True)
     return (agg if over is None else agg.over(over))["v"]
