@@ -9,6 +9,7 @@ one is encoded once, and decoding is the inverse map from ids to bytes.
 
 import base64
 import struct
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql.functions import arrow_udf
 
 #: Distinct pre-tokens that a worker remembers; then it starts anew.
 REMEMBERED = 400_000
+#: Characters that are cut into pre-tokens at a time.
+BLOCK = 1 << 19
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -75,15 +78,16 @@ class PieceEncoder:
 
     def __init__(self, model: bytes, tokens: list[bytes], pattern: str):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.split = regex.compile(pattern).findall
+        self.pattern = regex.compile(pattern)
         self.whole = {t: struct.pack("<i", i) for i, t in enumerate(tokens)}
         self.known: dict[str, bytes] = {}
 
-    def learn(self, pretokens: set[str]) -> None:
+    def learn(self, pretokens: list[str]) -> None:
+        """Make all of ``pretokens`` known; the new ones are encoded in one call."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.known = {}
         left = []
-        for piece in pretokens - self.known.keys():
+        for piece in {x for x in pretokens if x not in self.known}:
             whole = self.whole.get(piece.encode())
             if whole is None:
                 left.append(piece)
@@ -93,13 +97,33 @@ class PieceEncoder:
             for piece, ids in zip(left, self.processor.encode([byte_piece(x.encode()) for x in left], num_threads=1)):
                 self.known[piece] = np.array(ids, "<i4").tobytes()
 
-    def encode(self, text: str) -> bytes:
-        pretokens = self.split(text)
-        new = {x for x in pretokens if x not in self.known}
-        if new:
-            self.learn(set(pretokens) if len(self.known) > REMEMBERED else new)
+    def join(self, pretokens: list[str]) -> bytes:
         return b"".join(map(self.known.__getitem__, pretokens))
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, a block of texts at a time; a text longer than
+        a block is cut into blocks of pre-tokens."""
+        out, held, size = [], [], 0
+        for text in texts:
+            if len(text) > BLOCK:
+                out += self._flush(held)
+                held, size, parts = [], 0, []
+                found = self.pattern.finditer(text)
+                while block := [m.group() for m in islice(found, BLOCK // 8)]:
+                    parts += self._flush([block])
+                out.append(b"".join(parts))
+                continue
+            held.append(self.pattern.findall(text))
+            size += len(text)
+            if size > BLOCK:
+                out += self._flush(held)
+                held, size = [], 0
+        return out + self._flush(held)
+
+    def _flush(self, held: list[list[str]]) -> list[bytes]:
+        self.learn([x for pretokens in held for x in pretokens])
+        return [self.join(pretokens) for pretokens in held]
+
 
 def share_codec(spark: SparkSession, ranks_path: str, pattern: str):
     """Broadcast what encoding and decoding need: a vocabulary, a few MB whatever the data."""
@@ -114,7 +138,7 @@ def encode(text: Column, codec) -> Column:
         state = codec.value
         if "encoder" not in state:
             state["encoder"] = PieceEncoder(state["model"], state["tokens"], state["pattern"])
-        parts = [state["encoder"].encode(t or "") for t in texts.to_pylist()]
+        parts = state["encoder"].encode([t or "" for t in texts.to_pylist()])
         offsets = np.cumsum([0, *map(len, parts)]) // 4
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
     return arrow_udf(batch, "array<int>")(text)
