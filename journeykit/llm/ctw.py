@@ -31,7 +31,7 @@ from pyspark.sql.functions import arrow_udf
 
 from journeykit.llm.storage import saved
 
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 EMPTY = np.uint64((1 << 64) - 1)
 LOG10_2 = math.log10(2)
 
@@ -48,6 +48,8 @@ def gram_windows(texts: list[bytes], depth: int):
     """(index of the text, gram) arrays in windows of bounded length. A gram
     holds a byte and, above it, the ``depth`` bytes before (newlines before the
     first), the nearest lowest."""
+    if not texts:
+        return
     pad = b"\n" * depth
     data = np.frombuffer(pad + pad.join(texts), np.uint8)
     lengths = np.array([len(t) for t in texts])
@@ -68,7 +70,7 @@ def _sum_grams(held: list) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.bincount(first, np.concatenate([n for _, n in held])).astype(np.int64)
 
 
-def count_grams(batches, depth: int, most: int = 1 << 22):
+def count_grams(batches, depth: int, most: int = 1 << 20):
     """Arrow batches of texts to batches (gram, n), summed within a task as far
     as ``most`` distinct grams fit."""
     def out(held):
@@ -121,7 +123,7 @@ class HashTable:
     """Open addressing over uint64 keys, looked up an array at a time."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(8, int(2 * len(keys)).bit_length())
+        self.bits = max(8, int(1.5 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, EMPTY, np.uint64)
         self.values = np.zeros(1 << self.bits, np.float32)
         self.probes, left, slots = 0, np.arange(len(keys)), self.slot(keys)
@@ -208,21 +210,30 @@ class ContextTree:
         return total
 
 
+def _bit_nodes(context: np.ndarray, byte: np.ndarray, t: int) -> np.ndarray:
+    """Keys of the t-th decision: the context, and 1 followed by the byte's first t bits."""
+    return context << np.uint64(8) | np.uint64(1 << t) | (byte >> np.uint64(8 - t))
+
+
+def _bits(byte: np.ndarray, t: int) -> np.ndarray:
+    return (byte >> np.uint64(7 - t)) & np.uint64(1)
+
+
 def compile_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
     """The tree of ``levels[d]``: the grams of d + 1 bytes of the kept contexts
     of d bytes, and their counts. A context that is kept has its shorter ones kept."""
     depth, nodes = len(levels) - 1, []
     for grams, n in levels:
         byte, context = grams & np.uint64(255), grams >> np.uint64(8)
-        keys, ones, counts = [], [], []
-        for t in range(8):
-            keys.append(context << np.uint64(8) | np.uint64(1 << t) | (byte >> np.uint64(8 - t)))
-            ones.append((byte >> np.uint64(7 - t)) & np.uint64(1))
-            counts.append(n)
-        unique, at = np.unique(np.concatenate(keys) if keys else np.empty(0, np.uint64), return_inverse=True)
-        one, n8 = np.concatenate(ones), np.concatenate(counts).astype(np.float64)
-        nodes.append({"key": unique, "b": np.bincount(at, one * n8, len(unique)),
-                      "a": np.bincount(at, (one == 0) * n8, len(unique))})
+        keys = np.concatenate([_bit_nodes(context, byte, t) for t in range(8)])
+        ones = np.concatenate([_bits(byte, t) for t in range(8)])
+        unique, at = np.unique(keys, return_inverse=True)
+        seen = np.tile(n, 8).astype(np.float64)
+        total = np.bincount(at, seen, len(unique))
+        seen *= ones
+        nodes.append({"key": unique, "b": np.bincount(at, seen, len(unique))})
+        nodes[-1]["a"] = total - nodes[-1]["b"]
+        del keys, ones, at, seen
     for d in range(depth, -1, -1):
         x = nodes[d]
         x["kt"] = (x["b"] + 0.5) / (x["a"] + x["b"] + 1)
@@ -233,30 +244,28 @@ def compile_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
         child = nodes[d + 1]
         context = (child["key"] >> np.uint64(8)) & np.uint64(low_bits(8 * d))
         child["parent"] = np.searchsorted(x["key"], context << np.uint64(8) | child["key"] & np.uint64(255))
-        total = {c: np.bincount(child["parent"], child[c], len(own)) for c in ("a", "b", "log")}
+        total = {c: np.bincount(child["parent"], child.pop(c), len(own)) for c in ("a", "b", "log")}
         a, b = x["a"] - total["a"], x["b"] - total["b"]
         below = total["log"] + log_kt(a, b)
         x["weight"] = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
         x["log"] = np.logaddexp(own, below) - math.log(2)
         x["rest"] = (b + 0.5) / (a + b + 1)
-    nodes[0]["base"], nodes[0]["share"] = np.zeros(len(nodes[0]["key"])), np.ones(len(nodes[0]["key"]))
-    for d in range(depth + 1):
-        x = nodes[d]
+    base, share = np.zeros(len(nodes[0]["key"])), np.ones(len(nodes[0]["key"]))
+    for d, x in enumerate(nodes):
         if d:
-            up = nodes[d - 1]
-            p = x["parent"]
-            x["base"] = up["base"][p] + up["share"][p] * up["weight"][p] * up["kt"][p]
-            x["share"] = up["share"][p] * (1 - up["weight"][p])
-        x["one"] = x["base"] + x["share"] * (x["weight"] * x["kt"] + (1 - x["weight"]) * x["rest"])
-        x["one"] = np.clip(x["one"], 1e-12, 1 - 1e-12).astype(np.float32).astype(np.float64)
+            # What the shorter contexts add, and the share left for this depth.
+            p = x.pop("parent")
+            base, share = (base + share * weight * kt)[p], (share * (1 - weight))[p]
+        weight, kt = x.pop("weight"), x.pop("kt")
+        one = base + share * (weight * kt + (1 - weight) * x.pop("rest"))
+        x["one"] = np.clip(one, 1e-12, 1 - 1e-12).astype(np.float32)
     gram_keys, gram_logs, context_keys = [], [], []
     for d, (grams, _) in enumerate(levels):
         byte, context = grams & np.uint64(255), grams >> np.uint64(8)
         logs = np.zeros(len(grams))
         for t in range(8):
-            at = np.searchsorted(nodes[d]["key"], context << np.uint64(8) | np.uint64(1 << t) | (byte >> np.uint64(8 - t)))
-            one = nodes[d]["one"][at]
-            logs += np.log2(np.where((byte >> np.uint64(7 - t)) & np.uint64(1) == 1, one, 1 - one))
+            one = nodes[d]["one"][np.searchsorted(nodes[d]["key"], _bit_nodes(context, byte, t))].astype(np.float64)
+            logs += np.log2(np.where(_bits(byte, t) == 1, one, 1 - one))
         gram_keys.append(node_key(d, context, byte))
         gram_logs.append(logs)
         context_keys.append(node_key(d, np.unique(context), np.uint64(0)))
@@ -328,6 +337,28 @@ def count_words(batches, most: int = 400_000):
     yield out(held)
 
 
+SCORE_FIELDS = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "tail": pa.list_(pa.binary()),
+                "score": pa.float64()}
+
+
+def _score_block(texts: list[bytes], tree: ContextTree, head) -> pa.StructArray:
+    """Of each text: tokens, known head words and the sum of their logs, the other words, and the tree's score."""
+    split = [t.lower().split() for t in texts]
+    known, logs, tails = [], [], []
+    for own in split:
+        values = list(map(head, own))
+        found = [v for v in values if v is not None]
+        known.append(len(found))
+        logs.append(math.fsum(found))
+        tails.append([w for w, v in zip(own, values) if v is None] if len(found) < len(own) else [])
+    score = np.zeros(len(split))
+    for own, gram in gram_windows([b" ".join(x) + b"\n" for x in split], tree.depth):
+        score += np.bincount(own, tree.score(gram), len(split))
+    columns = ([len(x) + 1 for x in split], known, logs, tails, score * LOG10_2)
+    return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, SCORE_FIELDS.values())],
+                                      list(SCORE_FIELDS))
+
+
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5,
                     max_grams: int = 1 << 19, head_words: int = 1 << 17) -> DataFrame:
     """One row per input row: ``id_col, n_tokens, n_known, train_tokens,
@@ -376,21 +407,14 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
                 table.bits, table.probes, table.keys, table.values = bits, probes, keys, values
                 tables.append(table)
             state["tree"] = ContextTree(state["depth"], *tables)
-        split = [(t or b"").lower().split() for t in texts.cast(pa.binary()).to_pylist()]
-        get, known, logs, tails = state["head"].get, [], [], []
-        for own in split:
-            values = list(map(get, own))
-            found = [v for v in values if v is not None]
-            known.append(len(found))
-            logs.append(math.fsum(found))
-            tails.append([w for w, v in zip(own, values) if v is None] if len(found) < len(own) else [])
-        score = np.zeros(len(split))
-        for own, gram in gram_windows([b" ".join(x) + b"\n" for x in split], state["depth"]):
-            score += np.bincount(own, state["tree"].score(gram), len(split))
-        return pa.StructArray.from_arrays(
-            [pa.array([len(x) + 1 for x in split], pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()),
-             pa.array(tails, pa.list_(pa.binary())), pa.array(score * LOG10_2)],
-            ["n_tokens", "known", "logs", "tail", "score"])
+        parts, block, size = [], [], 0
+        for text in texts.cast(pa.binary()).to_pylist():
+            block.append(text or b"")
+            size += len(block[-1])
+            if size > WINDOW:
+                parts.append(_score_block(block, state["tree"], state["head"].get))
+                block, size = [], 0
+        return pa.concat_arrays([*parts, _score_block(block, state["tree"], state["head"].get)])
 
     kind = "n_tokens long, known long, logs double, tail array<binary>, score double"
     scored = saved(rows.select("id", arrow_udf(batch, kind)("text").alias("s"))
