@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from journeykit.operators.sequence_facts import sequence_session_facts, with_sequence_facts
+from journeykit.operators.sequence_facts import sequence_session_facts
 from journeykit.operators.url_params import URL_PARAM_COLUMNS, url_params
 
 ENRICH_FACT_COLUMNS = [
@@ -23,34 +23,15 @@ CPC = "cpc"
 
 
 def enriched_events(navigation: DataFrame) -> DataFrame:
-    """C7: URL-parameter rows with the sequencing session facts.
-
-    Equal to a left join of the parameter rows with ``sequence_session_facts``
-    on ``session_id``, computed in one pass: the facts are window aggregates
-    on the navigation step's partitioning, then the parameter fan-out is a
-    narrow ``explode``. No second scan, no extra exchange, no join.
-
-    When ``navigation`` carries hot sessions (chunk columns, see
-    ``sequence``), a whole-session window would put each of them in one
-    task. Rows of the other sessions keep the one-pass form on their existing
-    partitioning (one session per chunk there); only the hot sessions' rows
-    are left-joined with their facts (aggregated map-side, fingerprints per
-    chunk), and AQE's skew-join handling splits them over several tasks.
-    ``_hot`` is part of the navigation partitioning, so each branch's filter
-    runs below the exchange and every row is shuffled in one branch only."""
-    if "_hot" in navigation.columns:
-        hot = F.col("_hot")
-        cold = with_sequence_facts(navigation.filter(~hot), ENRICH_FACT_COLUMNS,
-                                   partition=["session_id", "_hot", "_chunk"])
-        cold_rows = url_params(cold).select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS)
-        hot_nav = navigation.filter(hot)
-        facts = sequence_session_facts(hot_nav).select("session_id", *ENRICH_FACT_COLUMNS)
-        hot_rows = (url_params(hot_nav).select(*URL_PARAM_COLUMNS)
-                    .join(facts, "session_id", "left")
-                    .select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS))
-        return cold_rows.unionByName(hot_rows)
-    with_facts = with_sequence_facts(navigation, ENRICH_FACT_COLUMNS)
-    return url_params(with_facts).select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS)
+    """C7: URL-parameter rows left-joined with the sequencing session facts on
+    ``session_id`` (rows with a NULL id keep NULL facts).
+
+    The facts are built once per session, so the work is linear in a session's
+    length. Both sides are partitioned by session already, and AQE's skew-join
+    handling splits a hot session's rows over several tasks."""
+    facts = sequence_session_facts(navigation).select("session_id", *ENRICH_FACT_COLUMNS)
+    return (url_params(navigation).select(*URL_PARAM_COLUMNS)
+            .join(facts, "session_id", "left").select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS))
 
 
 def _flag(cond: F.Column) -> F.Column:

@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 from journeykit.session import ensure_checkpoint_dir
 
 DEFAULT_ROWS_PER_CHUNK = 1_000_000
-QUANTILES = 1024
 QUANTILE_ACCURACY = 10_000
 MAX_BROADCAST_CHUNKS = 100_000
 
@@ -54,44 +53,53 @@ class ChunkPlan:
         return F.broadcast(df) if self.n_chunks <= MAX_BROADCAST_CHUNKS else df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal ``keys``, where NULL equals NULL; the keys appear once."""
+    # (a hint on ``right`` passes through the projection)
+    other = right.select(*[F.col(k).alias(f"_key_{k}") for k in keys],
+                         *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return left.join(other, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def plan_chunks(df: DataFrame, keys: list[str], order: list[str],
                 rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> ChunkPlan:
     """Find groups larger than ``rows_per_chunk`` and their chunk boundaries.
 
-    Runs a row count, and when the input is larger than one chunk a small
-    aggregate job (how many groups are hot); only when there are hot groups,
-    two more (their sizes, then quantiles over their rows only),
-    whose small results are checkpointed into the shared checkpoint folder.
-    The returned plan is reused by every window and aggregate over the same
-    rows."""
+    One aggregate pass counts rows per group and checkpoints the groups above
+    the limit (a NULL key is a group like any other); only when there are some,
+    a second takes quantiles over their rows. Both results are small and go to
+    the shared checkpoint folder. The same passes run whatever the input's
+    size. The returned plan is reused by every window and aggregate over the
+    same rows. Boundaries follow the first order column, so rows equal in it
+    share a chunk."""
     plan = ChunkPlan(list(keys), list(order), rows_per_chunk=rows_per_chunk)
-    # No group is larger than the whole input: a row count (no column is
-    # read from a Parquet scan) settles the question for small inputs.
-    if df.count() <= rows_per_chunk:
-        return plan
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    # One small job answers "is there any hot group?"; the usual answer
-    # (no) leaves the plain window plan with nothing else computed.
-    n_hot = sizes.agg(F.count_if(F.col("_n") > F.lit(rows_per_chunk))).first()[0]
+    ensure_checkpoint_dir(df.sparkSession)
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") > F.lit(rows_per_chunk)).checkpoint(eager=True))
+    # The usual answer (no hot group) leaves the plain window plan.
+    n_hot, largest = hot.agg(F.count(F.lit(1)), F.max("_n")).first()
     if not n_hot:
         return plan
-    ensure_checkpoint_dir(df.sparkSession)
-    hot = sizes.filter(F.col("_n") > F.lit(rows_per_chunk)).checkpoint(eager=True)
     hot_keys = hot.select(*keys)
     if n_hot <= MAX_BROADCAST_CHUNKS:
         hot_keys = F.broadcast(hot_keys)
-    fractions = [i / QUANTILES for i in range(1, QUANTILES)]
-    quantiles = (df.join(hot_keys, list(keys), "left_semi")
+    # as many quantiles as the largest group has chunks, twice over
+    q = 2 * -(-largest // rows_per_chunk)
+    fractions = [i / q for i in range(1, q)]
+    quantiles = (null_safe_join(df, hot_keys, keys, "left_semi")
                  .groupBy(*keys)
-                 .agg(F.percentile_approx(order[0], fractions, QUANTILE_ACCURACY).alias("_q")))
-    n_chunks = F.least(F.ceil(F.col("_n") / F.lit(rows_per_chunk)), F.lit(QUANTILES)).cast("int")
-    # the j-th of n_chunks-1 boundaries is quantile floor(j * Q / n_chunks)
+                 .agg(F.percentile_approx(order[0], fractions, max(QUANTILE_ACCURACY, 10 * q)).alias("_q")))
+    n_chunks = F.ceil(F.col("_n") / F.lit(rows_per_chunk)).cast("int")
+    # the j-th of n_chunks-1 boundaries is quantile floor(j * q / n_chunks)
     picks = F.transform(
         F.sequence(F.lit(1), n_chunks - 1),
-        lambda j: F.get(F.col("_q"), (j * F.lit(QUANTILES) / n_chunks).cast("int") - 1),
+        lambda j: F.get(F.col("_q"), (j * F.lit(q) / n_chunks).cast("int") - 1),
     )
     bounds = F.array_distinct(F.filter(picks, lambda b: b.isNotNull()))
-    plan.hot = (quantiles.join(hot, list(keys))
+    plan.hot = (null_safe_join(quantiles, hot, keys)
                 .select(*keys, "_n", bounds.alias("_bounds"))
                 .checkpoint(eager=True))
     plan.n_hot = n_hot
@@ -118,7 +126,7 @@ def with_chunks(df: DataFrame, plan: ChunkPlan) -> DataFrame:
         return df.select("*", F.lit(0).alias("_chunk"), F.lit(False).alias("_hot"))
     side = plan.side(plan.hot.select(*plan.keys, "_bounds"))
     t = F.col(plan.order[0])
-    joined = df.join(side, plan.keys, "left")
+    joined = null_safe_join(df, side, plan.keys, "left")
     chunk = F.when(F.col("_bounds").isNull(), F.lit(0)) \
         .otherwise(F.size(F.filter("_bounds", lambda b: b <= t)))
     return joined.select(*df.columns, chunk.alias("_chunk"), F.col("_bounds").isNotNull().alias("_hot"))
@@ -210,20 +218,20 @@ def ordered_context(df: DataFrame, plan: ChunkPlan, *, row_number: str | None =
         # per chunk, its (at most 2 * depth) edge repairs as a map position → values
         edge_maps = edge_fix.groupBy(*part).agg(F.map_from_entries(F.collect_list(
             F.struct("_lrn", F.struct(*fix_names)))).alias("_fixes"))
-        repair = repair.join(plan.side(edge_maps), part, "left")
+        repair = null_safe_join(repair, plan.side(edge_maps), part, "left")
     if firsts or lasts:
         ordering = F.struct(*order)
         group_ends = edge.groupBy(*keys).agg(
             *[F.min_by(c, ordering).alias(f"_first_{n}") for n, c in firsts],
             *[F.max_by(c, ordering).alias(f"_last_{n}") for n, c in lasts],
         )
-        repair = repair.join(plan.side(group_ends), keys, "left")
+        repair = null_safe_join(repair, plan.side(group_ends), keys, "left")
 
     # One repair row per hot chunk, joined on the main data's own partitioning
     # (group, hot, chunk) — ``_hot`` comes from the saved edge rows, so it is a
     # join key, not a constant: broadcast when the counted size allows,
     # otherwise only the small side moves.
-    joined = local.join(plan.side(repair), part, "left")
+    joined = null_safe_join(local, plan.side(repair), part, "left")
     hot, lrn = F.col("_hot"), F.col("_lrn")
     for name in fix_names:
         joined = joined.withColumn(name, F.try_element_at(F.col("_fixes"), lrn)[name])

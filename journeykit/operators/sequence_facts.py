@@ -1,18 +1,13 @@
 """C6 — session facts over refresh-free events (the sequencing view).
 
-The same facts are offered two ways:
-
-* ``sequence_session_facts`` — one row per session, a ``groupBy`` on top of
-  the navigation step (already hash-partitioned by ``session_id``, so no new
-  exchange; all aggregates but the fingerprint merge map-side);
-* ``with_sequence_facts`` — the facts attached to every event as window
-  aggregates over the whole session, evaluated on the navigation step's own
-  partitioning: the enrichment needs no second pass and no join.
+One row per session: a ``groupBy`` on top of the navigation step, which is
+hash-partitioned by ``session_id`` already, so no new exchange; all aggregates
+but the fingerprint merge map-side.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from journeykit.functions.columns import first_by_order, majority_value
@@ -36,24 +31,20 @@ def refresh_free(navigation: DataFrame) -> DataFrame:
     return navigation.filter(~(F.col("url_lag") == F.col("url")))
 
 
-def _facts(fingerprint: Column, over: Window | None = None) -> dict[str, Column]:
-    """Fact expressions by name, as aggregates (``over`` None) or as window
-    aggregates over ``over``."""
-    def w(c: Column) -> Column:
-        return c if over is None else c.over(over)
-
+def _facts(fingerprint: Column) -> dict[str, Column]:
+    """Fact aggregates by name."""
     return {
-        "event_cnt": w(F.count(F.lit(1))),
+        "event_cnt": F.count(F.lit(1)),
         "journey_fingerprint_str": fingerprint,
-        "entry_page_template": w(first_by_order("page_template", *BY_TIME)),
-        "entry_page_traffic_source_session_lvl": w(first_by_order("entry_page_traffic_source_raw", *BY_TIME)),
-        "entry_page_source": w(first_by_order("traffic_source", *BY_TIME)),
-        "entry_page_medium": w(first_by_order("traffic_medium", *BY_TIME)),
-        "primary_device_type": majority_value("device_type", over),
-        "primary_traffic_source": majority_value("traffic_source_grouped", over),
-        "saw_product_detail": w(F.bool_or(F.lower("page_template") == "productdetail")),
-        "had_conversion": w(F.bool_or(F.col("is_conversion"))),
-        "conversion_cnt": w(F.sum(F.when(F.col("is_conversion"), 1).otherwise(0))).cast("bigint"),
+        "entry_page_template": first_by_order("page_template", *BY_TIME),
+        "entry_page_traffic_source_session_lvl": first_by_order("entry_page_traffic_source_raw", *BY_TIME),
+        "entry_page_source": first_by_order("traffic_source", *BY_TIME),
+        "entry_page_medium": first_by_order("traffic_medium", *BY_TIME),
+        "primary_device_type": majority_value("device_type"),
+        "primary_traffic_source": majority_value("traffic_source_grouped"),
+        "saw_product_detail": F.bool_or(F.lower("page_template") == "productdetail"),
+        "had_conversion": F.bool_or(F.col("is_conversion")),
+        "conversion_cnt": F.sum(F.when(F.col("is_conversion"), 1).otherwise(0)).cast("bigint"),
     }
 
 
@@ -84,21 +75,3 @@ def sequence_session_facts(navigation: DataFrame) -> DataFrame:
             "journey_fingerprint_str", F.coalesce("_hot_path", "journey_fingerprint_str"))
     return (facts.withColumn("journey_fingerprint_first_five_str", _first_five(F.col("journey_fingerprint_str")))
             .select(*SEQUENCE_FACT_COLUMNS))
-
-
-def with_sequence_facts(navigation: DataFrame, names: list[str],
-                        partition: list[str] | None = None) -> DataFrame:
-    """Every refresh-free event with the session facts ``names`` attached.
-
-    Window aggregates over the session, on the partitioning and sort the
-    navigation windows already produced (no exchange, no sort). ``partition``
-    is that partitioning when it has more columns than the session id but
-    each session still lies in one partition. Facts are NULL for a NULL
-    session id, which a join on the id would not match."""
-    ws = Window.partitionBy(*(partition or ["session_id"]))
-    steps = F.array_sort(F.collect_list(F.struct("event_seq_num", "page_template")).over(ws))
-    fingerprint = F.array_join(F.transform(steps, lambda s: s["page_template"]), STEP_SEPARATOR)
-    exprs = _facts(fingerprint, ws)
-    exprs["journey_fingerprint_first_five_str"] = _first_five(fingerprint)
-    known = F.col("session_id").isNotNull()
-    return refresh_free(navigation).select("*", *[F.when(known, exprs[n]).alias(n) for n in names])

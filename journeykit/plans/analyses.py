@@ -87,7 +87,8 @@ def source_medium_single_product(facts: DataFrame) -> DataFrame:
     """Q2: "source / medium" of sessions whose whole path is one product page."""
     sm = F.concat(F.coalesce("traffic_source_first", F.lit("(direct)")), F.lit(" / "),
                   F.coalesce("traffic_medium_first", F.lit("(none)")))
-    out = (facts.filter(F.col("journey_path") == "ProductDetail")
+    # one step, and the entry page is that step: no path string is built
+    out = (facts.filter((F.col("journey_steps") == 1) & (F.col("entry_page_template") == "ProductDetail"))
            .groupBy(sm.alias("source_medium")).agg(_count("session_count")))
     return _ranked(out, "session_count", "source_medium")
 
@@ -105,7 +106,8 @@ def traffic_source_frequency(facts: DataFrame) -> DataFrame:
 def journey_frequency_by_device(facts: DataFrame) -> DataFrame:
     """Q5: per journey path — sessions, mean duration, steps, device split."""
     out = facts.groupBy("journey_path").agg(
-        F.count_distinct("session_id").alias("session_count"),
+        # the facts hold one row per session
+        F.count("session_id").alias("session_count"),
         _avg_duration_sec().alias("avg_duration_sec"),
         # the step count is a function of the path: any value of the group
         F.min("journey_steps").alias("steps"),
@@ -226,8 +228,9 @@ def single_product_journeys_by_source(seq_facts: DataFrame) -> DataFrame:
     """Q23: single-product-page journeys by entry source (primary source as
     fallback)."""
     src = F.coalesce("entry_page_traffic_source_session_lvl", "primary_traffic_source")
-    out = (seq_facts.filter(F.col("journey_fingerprint_str") == "ProductDetail")
-           .groupBy("journey_fingerprint_str", src.alias("entry_page_traffic_source"))
+    # one step, and the entry page is that step: no fingerprint is built
+    out = (seq_facts.filter((F.col("event_cnt") == 1) & (F.col("entry_page_template") == "ProductDetail"))
+           .groupBy(F.lit("ProductDetail").alias("journey_fingerprint_str"), src.alias("entry_page_traffic_source"))
            .agg(_count()))
     return _ranked(out, "cnt", "entry_page_traffic_source")
 
@@ -250,9 +253,13 @@ def entry_traffic_by_source(enriched: DataFrame) -> DataFrame:
     return _ranked(out, "cnt", "primary_source", "entry_page_medium")
 
 
-def sessions_by_journey(enriched: DataFrame) -> DataFrame:
-    """Q26."""
-    out = enriched.groupBy("journey_fingerprint_str").agg(F.count_distinct("session_id").alias("cnt"))
+def sessions_by_journey(seq_facts: DataFrame) -> DataFrame:
+    """Q26: distinct sessions of the enriched rows per fingerprint, counted
+    from the facts, which hold one row per session. Rows with a NULL session
+    id have no fingerprint there: a NULL group that counts no session."""
+    fingerprint = F.when(F.col("session_id").isNotNull(), F.col("journey_fingerprint_str"))
+    out = (seq_facts.groupBy(fingerprint.alias("journey_fingerprint_str"))
+           .agg(F.count("session_id").alias("cnt")))
     return _ranked(out, "cnt", "journey_fingerprint_str")
 
 

@@ -2,8 +2,9 @@
 
 ``JourneyData`` wires the layers lazily — nested visits → flat events (C1) →
 session facts (C3) / navigation step (C4) → parameters (C5), sequencing
-facts (C6), enrichment (C7), flags (C8). Nothing is executed until a result
-is collected; each key is one Catalyst plan.
+facts (C6), enrichment (C7), flags (C8). Building a query that needs sessions
+in order runs one aggregate job over the session sizes, and two more if a
+session is hot; everything else runs when a result is collected.
 """
 
 from __future__ import annotations
@@ -13,12 +14,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from journeykit.functions.columns import EVENT_ORDER
 from journeykit.functions.rules import page_template
 from journeykit.operators.enrich import enriched_events, session_source_flags
 from journeykit.operators.flatten import preprocess_hits
 from journeykit.operators.navigation import NAVIGATION_COLUMNS, navigation_context
-from journeykit.operators.sequence import ChunkPlan, no_chunks, session_plan
+from journeykit.operators.sequence import ChunkPlan, session_plan
 from journeykit.operators.sequence_facts import sequence_session_facts
 from journeykit.operators.sessions import first_touch, session_facts
 from journeykit.operators.transitions import page_transitions
@@ -43,9 +43,6 @@ class JourneyData:
     date_from: str | None = None
     date_to: str | None = None
     rows_per_chunk: int | None = None
-    # True when the source guarantees that no session exceeds the chunk size
-    # (then the session-level hot check is skipped).
-    sessions_bounded: bool = False
     _cache: dict = field(default_factory=dict, repr=False)
 
     @classmethod
@@ -68,8 +65,7 @@ class JourneyData:
     @classmethod
     def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "JourneyData":
         sessions, visit_plan = load_visits(spark, sf_dir, with_plan=True)
-        return cls(sessions, rows_per_chunk=visit_plan.rows_per_chunk,
-                   sessions_bounded=not visit_plan.active)
+        return cls(sessions, rows_per_chunk=visit_plan.rows_per_chunk)
 
     def _get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._cache:
@@ -91,11 +87,8 @@ class JourneyData:
     @property
     def plan(self) -> ChunkPlan:
         """Hot sessions and their chunk boundaries, computed once per data set
-        (a row count or small aggregate jobs; results checkpointed). Skipped
-        when the source already bounds every session."""
+        by a pass over the session sizes (results checkpointed)."""
         rpc = self.rows_per_chunk or rows_per_chunk(self.flat.sparkSession)
-        if self.sessions_bounded:
-            return self._get("plan", lambda: no_chunks(["session_id"], list(EVENT_ORDER)))
         return self._get("plan", lambda: session_plan(self.flat, rpc))
 
     @property
@@ -172,7 +165,7 @@ QUERY_BUILDERS: dict[str, Callable[[JourneyData], DataFrame]] = {
     "single_product_journeys_by_source": lambda d: A.single_product_journeys_by_source(d.seq_facts),
     "traffic_by_source": lambda d: A.traffic_by_source(d.enriched),
     "entry_traffic_by_source": lambda d: A.entry_traffic_by_source(d.enriched),
-    "sessions_by_journey": lambda d: A.sessions_by_journey(d.enriched),
+    "sessions_by_journey": lambda d: A.sessions_by_journey(d.seq_facts),
     "sample_session": lambda d: A.sample_session(d.params),
 }
 

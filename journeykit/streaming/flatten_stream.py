@@ -2,33 +2,31 @@
 
 C1 is row-local (explode + projections), so the same function runs on a
 streaming ``DataFrame`` unchanged: new visit files arriving in the source
-folder become flat events in the sink, exactly once via the checkpoint.
+folder become flat events in the sink, exactly once as long as a restart
+names the same checkpoint folder.
 Per-session steps are batch work on the saved flat table (sessions are
 given by the visit id; nothing is sessionized on the stream).
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from journeykit.operators.flatten import preprocess_hits
-from journeykit.session import ensure_checkpoint_dir
 from journeykit.sources.visits import VISITS_DDL
 
 
 def stream_flat_events(spark: SparkSession, source_path: str, sink_path: str,
-                       checkpoint_path: str | None = None, available_now: bool = True,
+                       checkpoint_path: str, available_now: bool = True,
                        date_from: str | None = None, date_to: str | None = None) -> StreamingQuery:
     """Start a stream: nested visit Parquet files → flat event Parquet files.
 
-    ``checkpoint_path`` defaults to a folder under the session's shared
-    ``spark.checkpoint.dir``. ``available_now`` processes what is there and
-    stops (incremental batch); otherwise the stream keeps running."""
-    if checkpoint_path is None:
-        checkpoint_path = os.path.join(ensure_checkpoint_dir(spark), "flat_events_stream")
+    ``checkpoint_path`` holds the stream's offsets: a durable folder that
+    belongs to this one source and sink, and the same one at every restart
+    (a new folder would number its batches from 0 again, which the sink has
+    already committed and would skip). ``available_now`` processes what is
+    there and stops (incremental batch); otherwise the stream keeps running."""
     visits = spark.readStream.schema(VISITS_DDL).parquet(source_path)
     flat = preprocess_hits(visits, date_from, date_to)
     writer = (flat.writeStream.format("parquet")

@@ -21,13 +21,16 @@ def _plan(df) -> str:
 @pytest.mark.parametrize("key", KEYS)
 def test_plan_shape(spark, key):
     plan = _plan(entry.queries()[key](spark, SF_SMALL))
+    # the enrichment joins the parameter rows with the session facts, both
+    # partitioned by session: the navigation step is planned on either side
+    joins = key in ("enriched_events", "traffic_by_source", "entry_traffic_by_source")
     for op in FORBIDDEN:
-        assert op not in plan, (key, op)
+        assert op not in plan or (joins and op == "SortMergeJoin"), (key, op)
     # keys with a scalar subquery show its scan too (for the category total
     # AQE reuses the main query's shuffle stages at run time); the session
     # filter of sample_session is also pushed into the scan, so the plan text
     # prints the same subquery (one id, run once) twice
-    scans = {"category_frequency": 2, "sample_session": 3}.get(key, 1)
+    scans = {"category_frequency": 2, "sample_session": 3}.get(key, 2 if joins else 1)
     assert plan.count("FileScan parquet") == scans, key
     assert plan.count("Exchange hashpartitioning(session_id") <= scans, key
     assert plan.count("Exchange hashpartitioning(user_id") <= scans, key
