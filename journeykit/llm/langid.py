@@ -19,7 +19,9 @@ from pyspark.sql.functions import arrow_udf
 
 UNDETERMINED = "und"
 HASHES = 3
-WINDOW = 1 << 20
+WINDOW = 1 << 19
+#: Characters that are looked at together.
+BLOCK = 1 << 19
 
 
 @dataclass
@@ -74,6 +76,19 @@ def ngram_windows(codes: np.ndarray, orders: tuple[int, ...]):
             yield where + at, value ^ (value >> np.uint64(32))
 
 
+def blocks(texts: list[str | None]):
+    """The texts in order, in lists of about ``BLOCK`` characters."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text or "") + 2
+        if size > BLOCK:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def count_ngrams(batches, orders: tuple[int, ...]):
     """Arrow batches (language number, text) to batches (language number,
     n-gram, count), summed within a batch and window."""
@@ -82,9 +97,10 @@ def count_ngrams(batches, orders: tuple[int, ...]):
         numbers = batch.column(0).to_numpy(zero_copy_only=False)
         texts = batch.column(1).to_pylist()
         for number in np.unique(numbers):
-            codes, _ = letter_stream([texts[i] for i in np.nonzero(numbers == number)[0]], letters)
-            for _, grams in ngram_windows(codes, orders):
-                gram, n = np.unique(grams, return_counts=True)
+            for block in blocks([texts[i] for i in np.nonzero(numbers == number)[0]]):
+                codes, _ = letter_stream(block, letters)
+                found = [grams for _, grams in ngram_windows(codes, orders)]
+                gram, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(gram), number, np.int32)), pa.array(gram.view(np.int64)),
                      pa.array(n.astype(np.int64))], ["number", "gram", "n"])
@@ -183,11 +199,13 @@ def predict_language(text: Column, filters: NgramFilters, spark) -> Column:
         state = shared.value
         if "letters" not in state:
             state["letters"] = letter_table()
-        best, score = classify(texts.to_pylist(), state, state["letters"])
+        told = [classify(block, state, state["letters"]) for block in blocks(texts.to_pylist())]
+        best, score = (np.concatenate(x) for x in zip(*told)) if told else (np.empty(0, int), np.empty(0))
         return pa.StructArray.from_arrays([pa.array(names).take(pa.array(best % len(names))), pa.array(score)],
                                           ["lang", "score"])
 
-    return arrow_udf(batch, "lang string, score double")(text)
+    # Called non-deterministic so that a filter on the result is not pushed below it, which would compute it twice.
+    return arrow_udf(batch, "lang string, score double").asNondeterministic()(text)
 
 
 def identify_language(docs: DataFrame, filters: NgramFilters, text_col: str = "text",
