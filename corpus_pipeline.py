@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from journeykit.llm import langid, line_dedup, mixing, simhash, sp_bpe
-from journeykit.llm.storage import id_bucket, saved
+from journeykit.llm.storage import bounded_batches, id_bucket, saved
 
 #: Documents whose best language has a smaller corrected share of n-grams are rejected.
 LEAST_LANGUAGE_SCORE = 0.3
@@ -26,6 +26,7 @@ def _columns(result: DataFrame, docs: DataFrame) -> DataFrame:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``lang`` becomes the predicted language; documents without a letter, or
     that no learned language explains, go."""
+    bounded_batches(spark)
     filters = langid.learn_filters(docs, train=id_bucket("doc_id", 3) != 1)
     told = langid.identify_language(docs, filters, lang_out="_lang", score_out="_score")
     kept = told.where((F.col("_lang") != langid.UNDETERMINED) & (F.col("_score") >= LEAST_LANGUAGE_SCORE))
@@ -39,6 +40,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
+    bounded_batches(spark)
     return simhash.simhash_dedup(docs, shingle_words=3, max_bits=2)
 
 
@@ -50,6 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, and whether decoding them gives the text's bytes back."""
+    bounded_batches(spark)
     codec = sp_bpe.share_codec(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     rows = docs.select("doc_id", "lang", "source", "text", sp_bpe.encode(F.col("text"), codec).alias("ids"))
     back = sp_bpe.decode(F.col("ids"), codec) == F.coalesce("text", F.lit("")).cast("binary")
