@@ -152,6 +152,7 @@ def mixed_documents(mixed: DataFrame, text_col: str = "text") -> DataFrame:
     pieces = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     first = F.slice(pieces, (F.col("cut_from") + 1).cast("int"), F.col("cut_size").cast("int"))
     round_again = F.greatest(F.lit(0), F.col("cut_from") + F.col("cut_size") - F.col("size")).cast("int")
-    cut = F.ltrim(F.concat(F.array_join(first, ""), F.array_join(F.slice(pieces, F.lit(1), round_again), "")))
+    gap = F.when(round_again > 0, F.lit(" ")).otherwise(F.lit(""))
+    cut = F.ltrim(F.concat(F.array_join(first, ""), gap, F.array_join(F.slice(pieces, F.lit(1), round_again), "")))
     return (rows.withColumn(text_col, F.when(F.col("__part"), cut).otherwise(F.col(text_col)))
             .drop("__part", *NEW))
