@@ -99,7 +99,7 @@ def count_ngrams(batches, orders: tuple[int, ...]):
         for number in np.unique(numbers):
             for block in blocks([texts[i] for i in np.nonzero(numbers == number)[0]]):
                 codes, _ = letter_stream(block, letters)
-                found = [grams for _, grams in ngram_windows(codes, orders)]
+                found = [np.empty(0, np.uint64), *(grams for _, grams in ngram_windows(codes, orders))]
                 gram, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(gram), number, np.int32)), pa.array(gram.view(np.int64)),
