@@ -9,13 +9,15 @@ rows, that task holds a large share of the job. Here:
    keeps the groups above ``rows_per_chunk`` — at most N / rows_per_chunk of
    them. For those it takes approximate quantiles of the first order column
    (``percentile_approx`` also merges map-side) as chunk boundaries, and
-   checkpoints the small result into the shared checkpoint folder. Its size is
-   counted before it is broadcast; beyond the limit it is joined normally.
+   within a block of one equal (or NULL) value above the limit those of the
+   second. The small results are checkpointed into the shared checkpoint
+   folder. Their size is measured before they are broadcast; beyond the limit
+   they are joined by a shuffle, and rows are dealt by (group, chunk) after it.
 2. ``ordered_context`` windows each (group, chunk) separately — the hot group
    is spread over many tasks — then repairs what crosses chunk edges: row
    offsets (prefix sums of chunk sizes), lag / lead at chunk edges (a window
    over the few edge rows of each chunk), group-wide first / last / count.
-   Those repair tables have a few rows per chunk and are broadcast.
+   Those repair tables have a few rows per chunk; the same measure decides.
 
 Without hot groups (the usual case) the plan is the plain window: one
 exchange on the group key, one sort. Results are identical either way.
@@ -32,25 +34,34 @@ from journeykit.session import ensure_checkpoint_dir
 
 DEFAULT_ROWS_PER_CHUNK = 1_000_000
 QUANTILE_ACCURACY = 10_000
-MAX_BROADCAST_CHUNKS = 100_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
 @dataclass
 class ChunkPlan:
     keys: list[str]
     order: list[str]
-    hot: DataFrame | None = None      # keys, _n, _bounds (checkpointed)
+    hot: DataFrame | None = None      # keys, _n, _bounds, _coarse, _step (checkpointed)
     n_hot: int = 0
     n_chunks: int = 0
     rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK
+    small: bool = True                # the boundaries may be broadcast
 
     @property
     def active(self) -> bool:
         return self.hot is not None
 
-    def side(self, df: DataFrame) -> DataFrame:
-        """Broadcast a repair table when its checked size allows it."""
-        return F.broadcast(df) if self.n_chunks <= MAX_BROADCAST_CHUNKS else df
+
+def is_small(rows: DataFrame, copies: int = 1) -> bool:
+    """Whether a saved table, with every row as long as its longest and
+    ``copies`` times over, stays below the broadcast limit."""
+    length = F.octet_length(F.to_json(F.struct(*rows.columns)))
+    n, longest = rows.agg(F.count(F.lit(1)), F.max(length)).first()
+    return n * (longest or 0) * copies <= MAX_BROADCAST_BYTES
+
+
+def hinted(df: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(df) if small else df
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -70,11 +81,13 @@ def plan_chunks(df: DataFrame, keys: list[str], order: list[str],
 
     One aggregate pass counts rows per group and checkpoints the groups above
     the limit (a NULL key is a group like any other); only when there are some,
-    a second takes quantiles over their rows. Both results are small and go to
-    the shared checkpoint folder. The same passes run whatever the input's
-    size. The returned plan is reused by every window and aggregate over the
-    same rows. Boundaries follow the first order column, so rows equal in it
-    share a chunk."""
+    a second takes quantiles of the first order column over their rows, and a
+    third quantiles of the second order column over their blocks of one equal
+    or NULL value above the limit. All results are small and go to the shared
+    checkpoint folder. The same passes run whatever the input's size. The
+    returned plan is reused by every window and aggregate over the same rows.
+    The first two order columns are numbers or times; only rows equal in both
+    are sure to share a chunk."""
     plan = ChunkPlan(list(keys), list(order), rows_per_chunk=rows_per_chunk)
     ensure_checkpoint_dir(df.sparkSession)
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -83,27 +96,56 @@ def plan_chunks(df: DataFrame, keys: list[str], order: list[str],
     n_hot, largest = hot.agg(F.count(F.lit(1)), F.max("_n")).first()
     if not n_hot:
         return plan
-    hot_keys = hot.select(*keys)
-    if n_hot <= MAX_BROADCAST_CHUNKS:
-        hot_keys = F.broadcast(hot_keys)
     # as many quantiles as the largest group has chunks, twice over
     q = 2 * -(-largest // rows_per_chunk)
     fractions = [i / q for i in range(1, q)]
-    quantiles = (null_safe_join(df, hot_keys, keys, "left_semi")
-                 .groupBy(*keys)
-                 .agg(F.percentile_approx(order[0], fractions, max(QUANTILE_ACCURACY, 10 * q)).alias("_q")))
-    n_chunks = F.ceil(F.col("_n") / F.lit(rows_per_chunk)).cast("int")
-    # the j-th of n_chunks-1 boundaries is quantile floor(j * q / n_chunks)
-    picks = F.transform(
-        F.sequence(F.lit(1), n_chunks - 1),
-        lambda j: F.get(F.col("_q"), (j * F.lit(q) / n_chunks).cast("int") - 1),
-    )
-    bounds = F.array_distinct(F.filter(picks, lambda b: b.isNotNull()))
-    plan.hot = (null_safe_join(quantiles, hot, keys)
-                .select(*keys, "_n", bounds.alias("_bounds"))
-                .checkpoint(eager=True))
+
+    def quantiles(c: str) -> Column:
+        return F.percentile_approx(c, fractions, max(QUANTILE_ACCURACY, 10 * q))
+
+    def boundaries(points: str, n: str) -> Column:
+        """The j-th of n_chunks - 1 boundaries is quantile floor(j * q / n_chunks)."""
+        n_chunks = F.ceil(F.col(n) / F.lit(rows_per_chunk)).cast("int")
+        picks = F.transform(F.sequence(F.lit(1), n_chunks - 1),
+                            lambda j: F.get(F.col(points), (j * F.lit(q) / n_chunks).cast("int") - 1))
+        return F.filter(picks, lambda b: b.isNotNull())
+
+    first, second = order[0], order[1] if len(order) > 1 else None
+    rows = null_safe_join(df, hinted(hot.select(*keys), is_small(hot)), keys, "left_semi")
+    points = (rows.groupBy(*keys)
+              .agg(quantiles(first).alias("_q"), F.count_if(F.col(first).isNull()).alias("_nulls"))
+              .checkpoint(eager=True))
+    types = {c: df.schema[c].dataType for c in order[:2]}
+    second_type = types[second] if second else "int"
+    found = null_safe_join(points, hot, keys).select(*keys, "_n", F.transform(
+        boundaries("_q", "_n"),
+        lambda b: F.struct(b.alias("t"), F.lit(None).cast(second_type).alias("s"))).alias("_bounds"))
+    if second:
+        # a value above the limit fills the space between two quantiles
+        repeated = (points.select(*keys, F.explode("_q").alias("_value")).groupBy(*keys, "_value")
+                    .agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select(*keys, "_value")
+                    .unionByName(points.where(F.col("_nulls") > rows_per_chunk)
+                                 .select(*keys, F.lit(None).cast(types[first]).alias("_value")))
+                    .checkpoint(eager=True))
+        blocks = (null_safe_join(rows.withColumn("_value", F.col(first)), hinted(repeated, is_small(repeated)),
+                                 [*keys, "_value"], "left_semi")
+                  .groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_bn"), quantiles(second).alias("_bq"))
+                  .where(F.col("_bn") > rows_per_chunk))
+        within = blocks.select(*keys, F.explode(boundaries("_bq", "_bn")).alias("_s"), "_value")
+        more = within.groupBy(*keys).agg(F.collect_list(F.struct(
+            F.col("_value").alias("t"), F.col("_s").alias("s"))).alias("_more"))
+        found = null_safe_join(found, more, keys, "left").select(
+            *keys, "_n", F.concat("_bounds", F.coalesce("_more", F.array().cast(found.schema["_bounds"].dataType)))
+            .alias("_bounds"))
+    # every _step-th boundary is tried first, then the ones after it
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_bounds")))).cast("int")
+    found = found.select(*keys, "_n", F.sort_array(F.array_distinct("_bounds")).alias("_bounds"))
+    found = found.select("*", step.alias("_step"))
+    plan.hot = found.select("*", F.filter("_bounds", lambda b, i: i % F.col("_step") == 0).alias("_coarse")).checkpoint(
+        eager=True)
     plan.n_hot = n_hot
     plan.n_chunks = int(plan.hot.agg(F.sum(F.size("_bounds") + 1)).first()[0] or 0)
+    plan.small = is_small(plan.hot)
     return plan
 
 
@@ -120,16 +162,21 @@ def no_chunks(keys: list[str], order: list[str]) -> ChunkPlan:
 def with_chunks(df: DataFrame, plan: ChunkPlan) -> DataFrame:
     """Add ``_chunk`` (0 outside hot groups) and ``_hot``.
 
-    Chunks follow the first order column, so rows with equal values stay
-    together and chunk order is row order."""
+    Chunks follow the first two order columns (NULL first), so chunk order is
+    row order."""
     if not plan.active:
         return df.select("*", F.lit(0).alias("_chunk"), F.lit(False).alias("_hot"))
-    side = plan.side(plan.hot.select(*plan.keys, "_bounds"))
-    t = F.col(plan.order[0])
+    side = hinted(plan.hot.select(*plan.keys, "_bounds", "_coarse", "_step"), plan.small)
     joined = null_safe_join(df, side, plan.keys, "left")
-    chunk = F.when(F.col("_bounds").isNull(), F.lit(0)) \
-        .otherwise(F.size(F.filter("_bounds", lambda b: b <= t)))
-    return joined.select(*df.columns, chunk.alias("_chunk"), F.col("_bounds").isNotNull().alias("_hot"))
+    second = F.col(plan.order[1]) if len(plan.order) > 1 else F.lit(None).cast("int")
+    at = F.struct(F.col(plan.order[0]).alias("t"), second.alias("s"))
+    tried = F.size(F.filter("_coarse", lambda b: b <= at))
+    base = (F.greatest(tried, F.lit(1)) - 1) * F.col("_step")
+    chunk = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
+        base + F.size(F.filter(F.slice("_bounds", base + 1, F.col("_step")), lambda b: b <= at)))
+    out = joined.select(*df.columns, chunk.alias("_chunk"), F.col("_bounds").isNotNull().alias("_hot"))
+    # The shuffled join leaves a hot group in one place: deal its chunks out.
+    return out if plan.small else out.repartition(*plan.keys, "_hot", "_chunk")
 
 
 def ordered_context(df: DataFrame, plan: ChunkPlan, *, row_number: str | None = None,
@@ -198,6 +245,8 @@ def ordered_context(df: DataFrame, plan: ChunkPlan, *, row_number: str | None =
     edge = local.filter(F.col("_hot") & at_edge).select(
         *part, "_lrn", "_lcnt", *[c for c in order if c not in sources and c not in ck], *sources,
         *[w_(n) for n, _ in counts]).checkpoint(eager=True)
+    # the repair rows hold a value of the edge rows for each lag, lead, first and last
+    small = is_small(edge, 1 + len(lags) + len(leads) + len(firsts) + len(lasts))
     wg = Window.partitionBy(*keys).orderBy(*order)
     fix_names = [f"_fix_{n}" for n, _, _, _ in (*lags, *leads)]
     edge_fix = edge.select(
@@ -218,20 +267,20 @@ def ordered_context(df: DataFrame, plan: ChunkPlan, *, row_number: str | None =
         # per chunk, its (at most 2 * depth) edge repairs as a map position → values
         edge_maps = edge_fix.groupBy(*part).agg(F.map_from_entries(F.collect_list(
             F.struct("_lrn", F.struct(*fix_names)))).alias("_fixes"))
-        repair = null_safe_join(repair, plan.side(edge_maps), part, "left")
+        repair = null_safe_join(repair, hinted(edge_maps, small), part, "left")
     if firsts or lasts:
         ordering = F.struct(*order)
         group_ends = edge.groupBy(*keys).agg(
             *[F.min_by(c, ordering).alias(f"_first_{n}") for n, c in firsts],
             *[F.max_by(c, ordering).alias(f"_last_{n}") for n, c in lasts],
         )
-        repair = null_safe_join(repair, plan.side(group_ends), keys, "left")
+        repair = null_safe_join(repair, hinted(group_ends, small), keys, "left")
 
     # One repair row per hot chunk, joined on the main data's own partitioning
     # (group, hot, chunk) — ``_hot`` comes from the saved edge rows, so it is a
-    # join key, not a constant: broadcast when the counted size allows,
+    # join key, not a constant: broadcast when the measured size allows,
     # otherwise only the small side moves.
-    joined = null_safe_join(local, plan.side(repair), part, "left")
+    joined = null_safe_join(local, hinted(repair, small), part, "left")
     hot, lrn = F.col("_hot"), F.col("_lrn")
     for name in fix_names:
         joined = joined.withColumn(name, F.try_element_at(F.col("_fixes"), lrn)[name])

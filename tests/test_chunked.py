@@ -111,7 +111,7 @@ def test_chunked_without_broadcast(spark, monkeypatch):
     results are the same."""
     import journeykit.operators.sequence as seq
 
-    monkeypatch.setattr(seq, "MAX_BROADCAST_CHUNKS", 0)
+    monkeypatch.setattr(seq, "MAX_BROADCAST_BYTES", 0)
     rows = [("h", i // 4, i, f"v{i % 3}") for i in range(120)] + [("s", 1, 1, "x")]
     df = spark.createDataFrame(rows, "g STRING, t BIGINT, h BIGINT, v STRING")
     spec = dict(row_number="rn", lags=[("l1", "v", 1, None), ("l2", "v", 2, "none")],

@@ -36,6 +36,17 @@ def test_null_group_is_split(spark):
     assert _rows(chunked.drop("_chunk", "_hot")) == _rows(ordered_context(df, no_chunks(["g"], ["t", "h"]), **spec))
 
 
+@pytest.mark.parametrize("time", [None, 7])
+def test_block_of_one_time_is_split(spark, time):
+    rows = [("h", time, i, f"v{i % 5}") for i in range(300)] + [("h", 8 + i, i, "x") for i in range(30)] + [("s", 1, 1, "x")]
+    df = spark.createDataFrame(rows, "g STRING, t BIGINT, h BIGINT, v STRING")
+    spec = dict(row_number="rn", lags=[("l", "v", 2, "start")], leads=[("n", "v", 1, "end")], firsts=[("f", "v")],
+                lasts=[("z", "v")], counts=[("c", "v")])
+    chunked = ordered_context(df, plan_chunks(df, ["g"], ["t", "h"], rows_per_chunk=20), keep_chunk=True, **spec)
+    assert chunked.groupBy("g", "_chunk").count().agg(F.max("count")).first()[0] <= 60
+    assert _rows(chunked.drop("_chunk", "_hot")) == _rows(ordered_context(df, no_chunks(["g"], ["t", "h"]), **spec))
+
+
 def test_long_session_enrichment_is_a_join(spark):
     one = preprocess_hits(load_visits(spark, SF_SMALL)).limit(1)
     flat = (one.crossJoin(spark.range(8000)).withColumn("trace_time", F.col("trace_time") + F.col("id"))
