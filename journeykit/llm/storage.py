@@ -41,12 +41,14 @@ def id_bucket(id_col: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 4 << 20) -> None:
     """Let Arrow batches of the session's Python functions hold at most ``rows``
-    rows, so that a worker holds a few MB of documents at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    rows and about ``size`` bytes, so that a worker holds a few MB of documents
+    at a time, however long they are."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows),
+                      ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 #: A word, and what separates words, as the contracts state them.
