@@ -34,6 +34,9 @@ SESSION_FACT_COLUMNS = [
     "has_conversion",
 ]
 
+#: First and last daily shard that ``preprocess_hits_date_range`` reads.
+DATE_RANGE = ("20240103", "20240112")
+
 
 @dataclass
 class JourneyData:
@@ -54,6 +57,15 @@ class JourneyData:
         data._cache["flat"] = flat
         return data
 
+    @classmethod
+    def from_saved(cls, flat: DataFrame, navigation: DataFrame) -> "JourneyData":
+        """Start from saved flat events and the navigation step saved from
+        them (``nav_chunked``, chunk columns included): the session windows
+        are then computed once for all sequencing keys."""
+        data = cls.from_flat(flat)
+        data._cache["nav_chunked"] = navigation
+        return data
+
     @classmethod
     def from_visits(cls, spark: SparkSession, path: str, date_from: str | None = None,
                     date_to: str | None = None) -> "JourneyData":
@@ -63,9 +75,10 @@ class JourneyData:
         return cls(read_visits(spark, path), date_from=date_from, date_to=date_to)
 
     @classmethod
-    def from_testdata(cls, spark: SparkSession, sf_dir: str) -> "JourneyData":
+    def from_testdata(cls, spark: SparkSession, sf_dir: str, date_from: str | None = None,
+                      date_to: str | None = None) -> "JourneyData":
         sessions, visit_plan = load_visits(spark, sf_dir, with_plan=True)
-        return cls(sessions, rows_per_chunk=visit_plan.rows_per_chunk)
+        return cls(sessions, date_from, date_to, rows_per_chunk=visit_plan.rows_per_chunk)
 
     def _get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if name not in self._cache:
@@ -174,4 +187,7 @@ def query_catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """key → callable(spark, sf_dir) → DataFrame, reading the test tables."""
     def make(builder):
         return lambda spark, sf_dir: builder(JourneyData.from_testdata(spark, sf_dir))
-    return {key: make(builder) for key, builder in QUERY_BUILDERS.items()}
+    catalog = {key: make(builder) for key, builder in QUERY_BUILDERS.items()}
+    catalog["preprocess_hits_date_range"] = lambda spark, sf_dir: JourneyData.from_testdata(
+        spark, sf_dir, *DATE_RANGE).flat
+    return catalog

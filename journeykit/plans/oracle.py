@@ -1,7 +1,8 @@
 """Oracle SQL (DuckDB dialect) for every catalog key.
 
-Written independently of the Spark code path: the flat events are derived
-straight from the ``events`` view with the fixture formulas of FIXTURES.md
+The classification rules are generated from the values in ``functions.rules``
+(tests/test_rules.py pins each value); the rest is written apart from the Spark
+code: the flat events are derived straight from the ``events`` view with the fixture formulas of FIXTURES.md
 §3, and each analysis is plain SQL over those rows. Ordered aggregates use
 the same order as the Spark side: time, then hit number, NULLs first.
 Integer sums and ``count_if`` are cast to BIGINT (DuckDB widens them).
@@ -212,7 +213,7 @@ params AS (
 )"""
 
 _SEQ = """
-seq_steps AS (SELECT * FROM nav WHERE NOT url_lag = url),
+seq_steps AS (SELECT * FROM nav),
 seq_device AS (
   SELECT session_id, device_type,
     row_number() OVER (PARTITION BY session_id ORDER BY count(*) DESC, device_type ASC NULLS FIRST) AS rk
@@ -286,6 +287,7 @@ _LAYERS = {
 
 
 def _with(layer: str, select: str) -> str:
+    """The layers and a query over them; ``select`` may add relations of its own after a comma."""
     return "WITH " + ",".join(_LAYERS[layer]) + "\n" + select.strip()
 
 
@@ -355,11 +357,10 @@ SELECT journey_path, count(DISTINCT session_id) AS session_count,
   min(journey_steps) AS steps, {_DEVICES}
 FROM facts GROUP BY journey_path"""),
     "sessions_by_source_type": _with("flat", """
-SELECT CASE WHEN lower(traffic_source_grouped) = 'google' THEN 'google-touched'
-            WHEN traffic_source_grouped IS NULL OR traffic_source_grouped = 'direct' THEN 'direct'
-            ELSE 'other source' END AS source_type,
-  count(DISTINCT session_id) AS cnt
-FROM flat GROUP BY 1"""),
+SELECT source_type, count(DISTINCT session_id) AS cnt
+FROM (SELECT session_id, CASE lower(traffic_source_grouped) WHEN 'google' THEN 'google-touched'
+        ELSE if(traffic_source_grouped = 'direct', 'direct', 'other source') END AS source_type FROM flat)
+GROUP BY ALL"""),
     "bounce_non_google": _with("facts", f"""
 SELECT count(*) AS source_count, {_cnt('journey_steps = 1')} AS bounce,
   {_cnt('journey_steps > 1')} AS not_bounce
@@ -394,16 +395,14 @@ SELECT CASE WHEN traffic_medium_first = 'cpc' THEN 'Paid Search'
   {_pct('has_conversion = TRUE')} AS conversion_rate_pct
 FROM facts GROUP BY 1"""),
     "bigram_transitions": _with("nav", """
-SELECT prev_page_template || ' > ' || page_template AS page_template_transition,
+SELECT concat_ws(' > ', prev_page_template, page_template) AS page_template_transition,
   count(*) AS transitions_count
-FROM nav WHERE session_event_cnt >= 2 AND NOT url_lag = url GROUP BY 1"""),
+FROM nav WHERE session_event_cnt > 1 GROUP BY ALL"""),
     "trigram_transitions": _with("nav", """
-SELECT two_ahead_page_template || ' > ' || prev_page_template || ' > ' ||
-  CASE WHEN (traffic_source IS NOT NULL AND traffic_source NOT IN ('(direct)', '(not set)'))
-            AND traffic_source_grouped != 'direct'
-       THEN '(external) ' || page_template ELSE page_template END AS page_template_transition,
+SELECT concat_ws(' > ', two_ahead_page_template, prev_page_template,
+    if(traffic_source_grouped <> 'direct', '(external) ', '') || page_template) AS page_template_transition,
   count(*) AS transitions_count
-FROM nav WHERE session_event_cnt >= 3 AND NOT url_lag = url GROUP BY 1"""),
+FROM nav WHERE session_event_cnt > 2 GROUP BY ALL"""),
     "enriched_event_count": _with("enriched", "SELECT count(*) AS cnt FROM enriched"),
     "session_google_flags": _with("flags", "SELECT * FROM flags"),
     "google_traffic_totals": _with("flags", """
@@ -417,10 +416,10 @@ FROM flags"""),
 SELECT journey_fingerprint_str, count(*) AS cnt FROM seq_facts GROUP BY 1"""),
     "entry_source_medium": _with("seq", """
 SELECT entry_page_source, entry_page_medium, count(*) AS cnt FROM seq_facts GROUP BY 1, 2"""),
-    "category_frequency": _with("enriched", """
-SELECT product_category, cnt, cnt / sum(cnt) OVER () AS cnt_pct
-FROM (SELECT product_category, count(*) AS cnt FROM enriched
-      WHERE page_template = 'ProductDetail' AND NOT url_lag = url GROUP BY 1)
+    "category_frequency": _with("enriched", """,
+products AS (SELECT product_category FROM enriched WHERE page_template = 'ProductDetail')
+SELECT product_category, count(*) AS cnt, count(*) / (SELECT count(*) FROM products) AS cnt_pct
+FROM products GROUP BY product_category
 ORDER BY cnt DESC, product_category ASC NULLS FIRST LIMIT 100"""),
     "single_product_journeys_by_source": _with("seq", """
 SELECT journey_fingerprint_str,
@@ -440,4 +439,8 @@ SELECT journey_fingerprint_str, count(DISTINCT session_id) AS cnt FROM enriched
     "sample_session": _with("params", """
 SELECT epoch_ms(trace_time) AS trace_timestamp_millis, *
 FROM params WHERE session_id = (SELECT min(session_id) FROM params)"""),
+    # hit rows of the visits that start on the days of the range
+    "preprocess_hits_date_range": _with("flat", "SELECT * FROM flat").replace(
+        "  FROM ev_num\n", "  FROM ev_num WHERE strftime(make_timestamp(vst * 1000000), '%Y%m%d') "
+        "BETWEEN '20240103' AND '20240112'\n"),
 }

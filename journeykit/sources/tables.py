@@ -21,17 +21,20 @@ def read_table(spark: SparkSession, source: DataFrame | str) -> DataFrame:
     return spark.table(source)
 
 
-def write_flat_events(flat: DataFrame, table: str, buckets: int = DEFAULT_BUCKETS,
-                      path: str | None = None, mode: str = "overwrite") -> None:
-    """Save flat events as a table bucketed by ``session_id``.
+def write_by_session(rows: DataFrame, table: str, buckets: int = DEFAULT_BUCKETS,
+                     path: str | None = None, mode: str = "overwrite") -> None:
+    """Save flat events, or the navigation step, as a table bucketed by ``session_id``.
 
     The rows are dealt by the bucket key first, so each bucket is one task's
     and at most ``buckets`` files are written, whatever the number of input
     tasks. A hot session is one bucket's, as bucketing defines it.
     ``buckets`` should grow with the data (about one bucket per 256 MB of
     compressed events); ``path`` places the table in a shared folder."""
-    writer = (flat.repartition(buckets, "session_id").write.mode(mode).format("parquet")
+    writer = (rows.repartition(buckets, "session_id").write.mode(mode).format("parquet")
               .bucketBy(buckets, "session_id").sortBy("session_id", "trace_time", "event_seq_num"))
     if path is not None:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
+
+
+write_flat_events = write_by_session

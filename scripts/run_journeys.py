@@ -4,7 +4,8 @@ session → analyses written as Parquet.
     spark-submit scripts/run_journeys.py --visits PATH --table NAME --out DIR \
         [--from 20170101 --to 20170108] [--buckets 4096] [--flat-path PATH] [KEY ...]
 
-KEY defaults to every analysis of the catalog. ``spark.checkpoint.dir`` must
+The navigation step, from which the sequencing analyses start, is saved once as
+NAME_navigation. KEY defaults to every analysis of the catalog. ``spark.checkpoint.dir`` must
 name a shared folder when hot sessions may occur.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from journeykit.operators.flatten import preprocess_hits  # noqa: E402
 from journeykit.plans.catalog import QUERY_BUILDERS, JourneyData  # noqa: E402
-from journeykit.sources.tables import read_table, write_flat_events  # noqa: E402
+from journeykit.sources.tables import read_table, write_by_session  # noqa: E402
 from journeykit.sources.visits import read_visits  # noqa: E402
 
 
@@ -38,8 +39,12 @@ def main() -> None:
 
     spark = SparkSession.builder.appName("journeykit").getOrCreate()
     flat = preprocess_hits(read_visits(spark, args.visits), args.date_from, args.date_to)
-    write_flat_events(flat, args.table, buckets=args.buckets, path=args.flat_path)
-    data = JourneyData.from_flat(read_table(spark, args.table))
+    write_by_session(flat, args.table, buckets=args.buckets, path=args.flat_path)
+    flat = read_table(spark, args.table)
+    steps = f"{args.table}_navigation"
+    write_by_session(JourneyData.from_flat(flat).nav_chunked, steps, buckets=args.buckets,
+                     path=args.flat_path and f"{args.flat_path.rstrip('/')}_navigation")
+    data = JourneyData.from_saved(flat, read_table(spark, steps))
     for key in args.keys or list(QUERY_BUILDERS):
         QUERY_BUILDERS[key](data).write.mode("overwrite").parquet(os.path.join(args.out, key))
 

@@ -18,6 +18,18 @@ TEMPLATE_CASES = [
     ("/index.html", "TopCategory"), ("/home?x=1", "TopCategory"), ("/?x=1", "TopCategory"),
     ("/", "Homepage"), ("/home", "Homepage"), ("/home/", "Homepage"), ("/HOME", "Other"),
     ("/a//b", "Other"), ("/a/research/x", "Other"), (None, "Other"),
+    # one row per value of the word lists not met above
+    *[(f"/x/app.{e}", "Asset") for e in ("axd", "js", "css", "png", "jpg", "jpeg", "gif", "svg", "ico", "woff", "woff2",
+                                         "ttf", "eot")],
+    ("/p/cart", "Cart"), ("/p/payment", "Checkout"), ("/p/revieworder", "Checkout"),
+    ("/p/orderconfirm", "OrderConfirmation"), ("/p/order-confirm", "OrderConfirmation"),
+    ("/p/thankyou", "OrderConfirmation"), ("/p/thank-you", "OrderConfirmation"),
+    ("/p?a=b&q=c", "SearchResults"), ("/p?query=a", "SearchResults"), ("/p?a=b&search=c", "SearchResults"),
+    ("/p/quick-view", "ProductQuickview"), ("/p/storelocator", "StoreLocator"), ("/p/store-locator", "StoreLocator"),
+    ("/p/findstore", "StoreLocator"), ("/p/find-store", "StoreLocator"),
+    *[(f"/p/{w}", "Account") for w in ("signin", "sign-in", "login", "log-in", "account", "myaccount", "my-account",
+                                       "register", "signup")],
+    ("/home/x", "CategoryPage"),
     # Java "$" would also match before a final newline: the asset rule must not
     # fire; the one-segment rule then matches ("[^/]" takes the newline).
     ("/a.js\n", "TopCategory"),
