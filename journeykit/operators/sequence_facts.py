@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from journeykit.functions.columns import first_by_order, majority_value
+from journeykit.operators.sequence import null_safe_join
 from journeykit.operators.sessions import chunked_path, ordered_path
 
 STEP_SEPARATOR = " > "
@@ -71,7 +72,7 @@ def sequence_session_facts(navigation: DataFrame) -> DataFrame:
     facts = steps.groupBy("session_id").agg(*[c.alias(n) for n, c in _facts(fingerprint).items()])
     if hot:
         paths = chunked_path(steps, "page_template", STEP_SEPARATOR, ("event_seq_num",), "_hot_path")
-        facts = facts.join(paths, "session_id", "left").withColumn(
+        facts = null_safe_join(facts, paths, ["session_id"], "left").withColumn(
             "journey_fingerprint_str", F.coalesce("_hot_path", "journey_fingerprint_str"))
     return (facts.withColumn("journey_fingerprint_first_five_str", _first_five(F.col("journey_fingerprint_str")))
             .select(*SEQUENCE_FACT_COLUMNS))

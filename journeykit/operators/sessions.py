@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from journeykit.functions.columns import EVENT_ORDER, first_by_order, majority_value
-from journeykit.operators.sequence import ChunkPlan, no_chunks, ordered_context, with_chunks
+from journeykit.operators.sequence import ChunkPlan, no_chunks, null_safe_join, ordered_context, with_chunks
 
 PATH_SEPARATOR = " -> "
 
@@ -82,9 +82,8 @@ def session_facts(flat: DataFrame, with_duration_ms: bool = False,
     facts = rows.groupBy("session_id").agg(*cols)
     if not hot:
         return facts
-    # Hot paths are few but long: joined on the session key (both sides are
-    # already partitioned by it), not broadcast.
+    # Hot paths are few but long: joined on the session key (NULL is one), not broadcast.
     paths = chunked_path(rows, "page_template", PATH_SEPARATOR, EVENT_ORDER, "_hot_path")
-    out = facts.join(paths, "session_id", "left")
+    out = null_safe_join(facts, paths, ["session_id"], "left")
     return out.select(*[F.coalesce("_hot_path", "journey_path").alias(c) if c == "journey_path" else c
                         for c in facts.columns])

@@ -89,15 +89,16 @@ ev_num AS (
 ),
 hit_rows AS (
   SELECT
-    CAST(user_id AS VARCHAR) AS full_visitor_id,
+    CASE WHEN user_id <> 7 THEN CAST(user_id AS VARCHAR) END AS full_visitor_id,
     b AS visit_id,
     vst,
     hit_number,
-    ms - vst * 1000 AS hit_time,
+    ms - ms % 14400000 - vst * 1000 AS hit_time,
     CASE WHEN event_type = 'error' THEN 'EVENT'
          WHEN event_type = 'purchase' AND event_id % 2 = 0 THEN 'TRANSACTION'
          ELSE 'PAGE' END AS hit_type,
     CASE WHEN event_type = 'purchase' THEN '/ordercompleted.html'
+         WHEN event_id % 29 = 0 THEN NULL
          ELSE ['/home', '/', '/store.html', '/google+redesign/apparel',
                '/google+redesign/apparel/mens', '/google+redesign/apparel/mens/tee.axd',
                '/google+redesign/bags/backpacks/home?utm_source=feed&color=dark+blue',
@@ -106,7 +107,7 @@ hit_rows AS (
                '/quickview/x', '/store-locator', '/home?ref=x&page=2', '/index.html', '/HOME',
                '/bags//sale'][path_idx + 1] END AS page_path,
     'h.example' AS hostname,
-    ['desktop', 'mobile', 'tablet'][user_id % 3 + 1] AS device_category,
+    ['desktop', 'mobile', 'tablet', NULL][(user_id + b) % 4 + 1] AS device_category,
     ['(direct)', 'google', 'google', 'youtube.com', 'm.facebook.com', 'bing', 't.co',
      '(not set)', NULL, 'Partners'][src_idx + 1] AS source,
     ['(none)', 'organic', 'cpc', 'referral', 'referral', 'organic', 'referral',

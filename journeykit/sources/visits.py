@@ -55,7 +55,10 @@ FIXTURE_SOURCES = [  # (source, medium)
     ("youtube.com", "referral"), ("m.facebook.com", "referral"), ("bing", "organic"),
     ("t.co", "referral"), ("(not set)", "(not set)"), (None, None), ("Partners", "affiliate"),
 ]
-FIXTURE_DEVICES = ["desktop", "mobile", "tablet"]
+FIXTURE_DEVICES = ["desktop", "mobile", "tablet", None]
+FIXTURE_NULL_PATH_EVERY = 29              # of the event ids
+FIXTURE_TIME_MS = 14400000                # hits of four hours share a time
+FIXTURE_NULL_VISITOR = 7                  # the user whose visitor id is NULL
 FIXTURE_CATEGORIES = ["Home/Apparel/Kid's/Kids-Youth/", "Home/Electronics/Audio/",
                       "(not set)", "Home/Bags/"]
 # ---------------------------------------------------------------------------
@@ -102,13 +105,14 @@ def visits_from_events(events: DataFrame,
 
     hit = F.struct(
         F.col("hit_number").alias("hitNumber"),
-        (F.col("ms") - vst * 1000).alias("time"),
+        (F.col("ms") - F.pmod(F.col("ms"), F.lit(FIXTURE_TIME_MS)) - vst * 1000).alias("time"),
         F.when(F.col("event_type") == "error", "EVENT")
         .when(purchase & even_id, "TRANSACTION")
         .otherwise("PAGE").alias("type"),
         F.struct(
             F.when(purchase, F.lit("/ordercompleted.html"))
-            .otherwise(_pick(FIXTURE_PATHS, path_idx)).alias("pagePath"),
+            .when(F.pmod(F.col("event_id"), F.lit(FIXTURE_NULL_PATH_EVERY)) != 0, _pick(FIXTURE_PATHS, path_idx))
+            .alias("pagePath"),
             F.lit(FIXTURE_HOST).alias("hostname"),
         ).alias("page"),
         F.when(
@@ -120,13 +124,13 @@ def visits_from_events(events: DataFrame,
         .alias("eCommerceAction"),
     )
     visit_attrs = [
-        F.col("user_id").cast("string").alias("fullVisitorId"),
+        F.when(F.col("user_id") != FIXTURE_NULL_VISITOR, F.col("user_id").cast("string")).alias("fullVisitorId"),
         F.col("b").cast("bigint").alias("visitId"),
         vst.cast("bigint").alias("visitStartTime"),
         # formatted from a zone-less timestamp: the shard name does not
         # depend on the session time zone
         F.date_format(F.timestamp_add("SECOND", vst, _epoch_ntz()), "yyyyMMdd").alias("date"),
-        F.struct(_pick(FIXTURE_DEVICES, F.pmod(F.col("user_id"), F.lit(3))).alias("deviceCategory"))
+        F.struct(_pick(FIXTURE_DEVICES, F.pmod(F.col("user_id") + F.col("b"), F.lit(4))).alias("deviceCategory"))
         .alias("device"),
         F.struct(
             source.alias("source"),
