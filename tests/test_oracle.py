@@ -34,3 +34,21 @@ def test_entry_smoke(spark):
                           "avg_duration_sec", "conversion_rate_pct"]
     res = compare(df, duck_connect(SF_SMALL), entry.oracle_sql()["channel_group_performance"])
     assert res["hash_match"], res
+
+
+@pytest.mark.parametrize("key,rule,instead", [
+    ("session_facts", "event_seq_num ASC NULLS FIRST", "event_seq_num DESC"),         # ties on time
+    ("session_facts", "ORDER BY count(*) DESC, device_type", "ORDER BY count(device_type) DESC, device_type"),
+    ("navigation_context", "WHERE keep_row", "WHERE keep_row IS NOT FALSE"),          # NULL URLs are dropped
+    ("navigation_context", "WHERE keep_row", ""),                                     # so are refreshes
+    ("session_facts", "GROUP BY f.session_id", "WHERE f.session_id IS NOT NULL GROUP BY f.session_id"),
+])
+def test_fixture_tells_rules_apart(duck, key, rule, instead):
+    """Without the rule the expected rows are others: the fixture can fail it."""
+    sql = entry.oracle_sql()[key]
+    assert rule in sql
+    names = [d[0] for d in duck.execute(sql).description]
+    wanted = ", ".join(f"CAST({n} AS VARCHAR)" for n in names)
+    found = [sorted(duck.execute(f"SELECT {wanted} FROM ({s})").fetchall(), key=repr)
+             for s in (sql, sql.replace(rule, instead))]
+    assert found[0] != found[1]
