@@ -14,7 +14,7 @@ from journeykit.operators.flatten import preprocess_hits
 from journeykit.operators.sequence import no_chunks, ordered_context, plan_chunks
 from journeykit.plans import analyses
 from journeykit.plans.catalog import JourneyData
-from journeykit.sources.tables import write_flat_events
+from journeykit.sources.tables import write_by_session, write_flat_events
 from journeykit.sources.visits import load_visits, write_visits
 from journeykit.streaming import stream_flat_events
 
@@ -94,3 +94,15 @@ def test_production_entries_give_the_same_rows(spark, build):
     flat = JourneyData.from_flat(preprocess_hits(visits))
     want = _rows(getattr(direct, build))
     assert _rows(getattr(data, build)) == want and _rows(getattr(flat, build)) == want
+
+
+@pytest.mark.parametrize("rows_per_chunk", [None, 3])
+def test_saved_navigation_serves_the_sequencing_keys(spark, rows_per_chunk):
+    base, table = tempfile.mkdtemp(prefix="jk-saved-", dir="/tmp"), f"saved_steps_{rows_per_chunk}"
+    direct = JourneyData.from_flat(preprocess_hits(load_visits(spark, SF_SMALL)), rows_per_chunk)
+    write_by_session(direct.nav_chunked, table, buckets=4, path=os.path.join(base, "t"))
+    data = JourneyData.from_saved(direct.flat, spark.table(table))
+    for layer in ("navigation", "seq_facts", "enriched"):
+        assert _rows(getattr(data, layer)) == _rows(getattr(direct, layer))
+    assert "hashpartitioning(session_id" not in data.seq_facts._jdf.queryExecution().executedPlan().toString() or rows_per_chunk
+    spark.sql(f"DROP TABLE {table}")
