@@ -10,18 +10,22 @@ probability of all that a node has seen,
 
 so a prediction mixes the estimates of all depths along the context, weighted
 by how well each depth has coded the training text. The tree has the contexts
-that occur at least as often as a threshold; what a node has seen in rarer
-contexts is one more child, used for those and for contexts never seen.
-
-Counting covers every training byte and is distributed. The tree is bounded
-(``max_grams`` pairs of a context and a next byte), which is what may be
-broadcast; the driver compiles it to hash tables. A text's score is the sum of
-its bytes' log probabilities, most of them one look-up.
+that occur at least ``least`` times; what a node has seen in rarer contexts is
+one more child, used for those and for contexts never seen.
+
+The tree grows with the corpus and is nowhere held whole. Its grams (a byte
+and its context) are dealt by the nearest ``SPLIT`` bytes of context, so a
+part holds whole subtrees. One pass over the parts sums the subtrees' P_w; the
+driver weighs the contexts above them, whose number is bounded by the bytes
+there are; a second pass takes the mixture down again and gives the
+probability of every gram that is asked for. Texts are scored with the
+probabilities of the most frequent grams, a bounded table that is broadcast;
+a text's other grams are counted and joined with theirs. Where a gram is
+looked up changes its score by rounding only.
 """
 
 import math
 from collections import Counter
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,10 @@ from journeykit.llm.storage import saved
 WINDOW = 1 << 19
 EMPTY = np.uint64((1 << 64) - 1)
 LOG10_2 = math.log10(2)
+#: Subtrees begin at contexts of so many bytes.
+SPLIT = 3
+#: Units of log2 in which probabilities are stored.
+UNIT = 1 << 20
 
 
 # ---- byte grams -------------------------------------------------------------
@@ -98,7 +106,7 @@ def low_bits(n: int) -> int:
     return (1 << n) - 1
 
 
-# ---- the tree, compiled on the driver from a bounded table -------------------
+# ---- the tree, in arrays ------------------------------------------------------
 
 def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural log of the Krichevsky-Trofimov probability of so many zeros and ones."""
@@ -119,95 +127,45 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - shift
 
 
-class HashTable:
-    """Open addressing over uint64 keys, looked up an array at a time."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(8, int(1.5 * len(keys)).bit_length())
-        self.keys = np.full(1 << self.bits, EMPTY, np.uint64)
-        self.values = np.zeros(1 << self.bits, np.float32)
-        self.probes, left, slots = 0, np.arange(len(keys)), self.slot(keys)
-        while len(left):
-            at = (slots[left] + self.probes) & low_bits(self.bits)
-            free = self.keys[at] == EMPTY
-            self.keys[at[free]] = keys[left[free]]
-            placed = self.keys[at] == keys[left]
-            self.values[at[placed]] = values[left[placed]]
-            left = left[~placed]
-            self.probes += 1
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        mixed = keys ^ (keys >> np.uint64(31))
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values (0 where absent) and whether each key is there."""
-        at = self.slot(keys)
-        got = self.keys[at]
-        found = got == keys
-        values = np.where(found, self.values[at], np.float32(0))
-        left = np.nonzero(~found & (got != EMPTY))[0]
-        for probe in range(1, self.probes):
-            if not len(left):
-                break
-            at_left = (at[left] + probe) & low_bits(self.bits)
-            got = self.keys[at_left]
-            hit = got == keys[left]
-            found[left[hit]] = True
-            values[left[hit]] = self.values[at_left[hit]]
-            left = left[~hit & (got != EMPTY)]
-        return values, found
-
-
-def node_key(depth: int, context: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return np.uint64(depth << 56) | (context << np.uint64(8)) | low
-
-
-@dataclass
-class ContextTree:
-    """Compiled tree: the log2 probability of each (context, byte) seen, which
-    contexts are kept, and each node's probability of a 1 if it is the deepest
-    that a decision reaches."""
-
-    depth: int
-    grams: HashTable
-    contexts: HashTable
-    nodes: HashTable
-
-    def score(self, gram: np.ndarray) -> np.ndarray:
-        """log2 probability of each gram's byte after its context."""
-        out, left, rare = np.zeros(len(gram)), np.arange(len(gram)), []
-        for d in range(self.depth, -1, -1):
-            part = gram[left]
-            context, byte = (part >> np.uint64(8)) & np.uint64(low_bits(8 * d)), part & np.uint64(255)
-            value, seen = self.grams.find(node_key(d, context, byte))
-            out[left[seen]] = value[seen]
-            left, context = left[~seen], context[~seen]
-            _, kept = self.contexts.find(node_key(d, context, np.uint64(0)))
-            rare.append((left[kept], d))
-            left = left[~kept]
-        rare.append((left, 0))
-        for where, d in rare:
-            if len(where):
-                out[where] = self._by_bits(gram[where], d)
-        return out
-
-    def _by_bits(self, gram: np.ndarray, depth: int) -> np.ndarray:
-        byte, total = gram & np.uint64(255), np.zeros(len(gram))
-        for t in range(8):
-            node = np.uint64(1 << t) | (byte >> np.uint64(8 - t))
-            one, left = np.full(len(gram), 0.5), np.arange(len(gram))
-            for d in range(depth, -1, -1):
-                context = (gram[left] >> np.uint64(8)) & np.uint64(low_bits(8 * d))
-                value, seen = self.nodes.find(node_key(d, context, node[left]))
-                one[left[seen]] = value[seen]
-                left = left[~seen]
-                if not len(left):
-                    break
-            bit = (byte >> np.uint64(7 - t)) & np.uint64(1)
-            total += np.log2(np.where(bit == 1, one, 1 - one))
-        return total
+def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    mixed = (keys ^ (keys >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def hash_table(keys: np.ndarray, values: np.ndarray) -> tuple:
+    """Open addressing over distinct uint64 keys: plain arrays, so that a worker needs no class to load them."""
+    bits = max(8, int(1.5 * len(keys)).bit_length())
+    held, stored = np.full(1 << bits, EMPTY, np.uint64), np.zeros(1 << bits, np.float32)
+    probes, left, first = 0, np.arange(len(keys)), slots(keys, bits)
+    while len(left):
+        at = (first[left] + probes) & low_bits(bits)
+        free = held[at] == EMPTY
+        held[at[free]] = keys[left[free]]
+        placed = held[at] == keys[left]
+        stored[at[placed]] = values[left[placed]]
+        left = left[~placed]
+        probes += 1
+    return bits, probes, held, stored
+
+
+def find(table: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values (0 where absent) and whether each key is there, an array of keys at a time."""
+    bits, probes, held, stored = table
+    at = slots(keys, bits)
+    got = held[at]
+    found = got == keys
+    values = np.where(found, stored[at], np.float32(0))
+    left = np.nonzero(~found & (got != EMPTY))[0]
+    for probe in range(1, probes):
+        if not len(left):
+            break
+        at_left = (at[left] + probe) & low_bits(bits)
+        got = held[at_left]
+        hit = got == keys[left]
+        found[left[hit]] = True
+        values[left[hit]] = stored[at_left[hit]]
+        left = left[~hit & (got != EMPTY)]
+    return values, found
 
 
 def _bit_nodes(context: np.ndarray, byte: np.ndarray, t: int) -> np.ndarray:
@@ -219,104 +177,169 @@ def _bits(byte: np.ndarray, t: int) -> np.ndarray:
     return (byte >> np.uint64(7 - t)) & np.uint64(1)
 
 
-def compile_tree(levels: list[tuple[np.ndarray, np.ndarray]]) -> ContextTree:
-    """The tree of ``levels[d]``: the grams of d + 1 bytes of the kept contexts
-    of d bytes, and their counts. A context that is kept has its shorter ones kept."""
-    depth, nodes = len(levels) - 1, []
-    for grams, n in levels:
+def shorter(key: np.ndarray, depth: int) -> np.ndarray:
+    """Keys of the same decisions in the last ``depth`` bytes of their contexts."""
+    return key & np.uint64(low_bits(8 * (depth + 1)))
+
+
+def kept_levels(grams: np.ndarray, n: np.ndarray, low: int, depth: int, least: int) -> list[tuple]:
+    """(d, grams of d + 1 bytes, counts) for d from ``low`` to ``depth``, of the
+    contexts of d bytes that occur at least ``least`` times (the empty one
+    always). A context that is kept has its shorter ones kept."""
+    out = []
+    for d in range(low, depth + 1):
+        own, at = np.unique(shorter(grams, d), return_inverse=True)
+        count = np.bincount(at, n, len(own))
+        contexts, of = np.unique(own >> np.uint64(8), return_inverse=True)
+        kept = (np.bincount(of, count, len(contexts)) >= least)[of] | (d == 0)
+        if not kept.any():
+            break
+        out.append((d, own[kept], count[kept]))
+    return out
+
+
+def sums_by_parent(x: dict) -> tuple:
+    """Keys of the nodes one byte up, and their children's zeros, ones and log P_w."""
+    key, at = np.unique(shorter(x["key"], x["depth"] - 1), return_inverse=True)
+    return key, *[np.bincount(at, x[c], len(key)) for c in ("a", "b", "log")]
+
+
+def climb(levels: list[tuple], children: tuple | None = None) -> list[dict]:
+    """The nodes of consecutive levels, weighed from the deepest up.
+    ``children`` are the sums below the deepest level, if any are elsewhere."""
+    nodes = []
+    for d, grams, n in levels:
         byte, context = grams & np.uint64(255), grams >> np.uint64(8)
-        keys = np.concatenate([_bit_nodes(context, byte, t) for t in range(8)])
-        ones = np.concatenate([_bits(byte, t) for t in range(8)])
-        unique, at = np.unique(keys, return_inverse=True)
-        seen = np.tile(n, 8).astype(np.float64)
-        total = np.bincount(at, seen, len(unique))
-        seen *= ones
-        nodes.append({"key": unique, "b": np.bincount(at, seen, len(unique))})
-        nodes[-1]["a"] = total - nodes[-1]["b"]
-        del keys, ones, at, seen
-    for d in range(depth, -1, -1):
-        x = nodes[d]
-        x["kt"] = (x["b"] + 0.5) / (x["a"] + x["b"] + 1)
+        key, at = np.unique(np.concatenate([_bit_nodes(context, byte, t) for t in range(8)]), return_inverse=True)
+        seen, ones = np.tile(n, 8), np.concatenate([_bits(byte, t) for t in range(8)])
+        b = np.bincount(at, seen * ones, len(key))
+        nodes.append({"depth": d, "key": key, "a": np.bincount(at, seen, len(key)) - b, "b": b})
+    for x in reversed(nodes):
+        a, b, below = x["a"].copy(), x["b"].copy(), np.zeros(len(x["key"]))
+        if children is not None:
+            at = np.searchsorted(x["key"], children[0])
+            a[at] -= children[1]
+            b[at] -= children[2]
+            below[at] = children[3]
         own = log_kt(x["a"], x["b"])
-        if d == depth:
-            x["weight"], x["log"], x["rest"] = np.ones(len(own)), own, x["kt"]
-            continue
-        child = nodes[d + 1]
-        context = (child["key"] >> np.uint64(8)) & np.uint64(low_bits(8 * d))
-        child["parent"] = np.searchsorted(x["key"], context << np.uint64(8) | child["key"] & np.uint64(255))
-        total = {c: np.bincount(child["parent"], child.pop(c), len(own)) for c in ("a", "b", "log")}
-        a, b = x["a"] - total["a"], x["b"] - total["b"]
-        below = total["log"] + log_kt(a, b)
+        below += log_kt(a, b)
+        x["kt"], x["rest"] = (x["b"] + 0.5) / (x["a"] + x["b"] + 1), (b + 0.5) / (a + b + 1)
         x["weight"] = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
         x["log"] = np.logaddexp(own, below) - math.log(2)
-        x["rest"] = (b + 0.5) / (a + b + 1)
-    base, share = np.zeros(len(nodes[0]["key"])), np.ones(len(nodes[0]["key"]))
-    for d, x in enumerate(nodes):
-        if d:
-            # What the shorter contexts add, and the share left for this depth.
-            p = x.pop("parent")
-            base, share = (base + share * weight * kt)[p], (share * (1 - weight))[p]
-        weight, kt = x.pop("weight"), x.pop("kt")
-        one = base + share * (weight * kt + (1 - weight) * x.pop("rest"))
-        x["one"] = np.clip(one, 1e-12, 1 - 1e-12).astype(np.float32)
-    gram_keys, gram_logs, context_keys = [], [], []
-    for d, (grams, _) in enumerate(levels):
-        byte, context = grams & np.uint64(255), grams >> np.uint64(8)
-        logs = np.zeros(len(grams))
-        for t in range(8):
-            one = nodes[d]["one"][np.searchsorted(nodes[d]["key"], _bit_nodes(context, byte, t))].astype(np.float64)
-            logs += np.log2(np.where(_bits(byte, t) == 1, one, 1 - one))
-        gram_keys.append(node_key(d, context, byte))
-        gram_logs.append(logs)
-        context_keys.append(node_key(d, np.unique(context), np.uint64(0)))
-    contexts = np.concatenate(context_keys)
-    return ContextTree(depth, HashTable(np.concatenate(gram_keys), np.concatenate(gram_logs)),
-                       HashTable(contexts, np.zeros(len(contexts))),
-                       HashTable(np.concatenate([np.uint64(d << 56) | x["key"] for d, x in enumerate(nodes)]),
-                                 np.concatenate([x["one"] for x in nodes])))
-
-
-def learn_tree(texts: DataFrame, text_col: str, depth: int = 5, max_grams: int = 1 << 19) -> ContextTree:
-    """Count all grams of the training texts and compile the tree of the
-    contexts that are frequent enough for ``max_grams`` grams in all.
-
-    The threshold is the smallest power of sqrt(2) by which the kept contexts'
-    grams fit, so it follows the corpus; nothing else depends on its size.
-    """
+        children = sums_by_parent(x) if x["depth"] else None
+    return nodes
+
+
+def descend(nodes: list[dict], start: tuple | None = None) -> tuple[list, tuple | None]:
+    """``(d, keys, probability of a 1)`` of the nodes, if each is the deepest
+    that a decision reaches; and what the levels below start from: the keys of
+    the last level, what the contexts so far add, and the share that is left."""
+    tables = []
+    for x in nodes:
+        if start is None:
+            base, share = np.zeros(len(x["key"])), np.ones(len(x["key"]))
+        else:
+            at = np.searchsorted(start[0], shorter(x["key"], x["depth"] - 1))
+            base, share = start[1][at], start[2][at]
+        one = base + share * (x["weight"] * x["kt"] + (1 - x["weight"]) * x["rest"])
+        tables.append((x["depth"], x["key"], np.clip(one, 1e-12, 1 - 1e-12)))
+        start = x["key"], base + share * x["weight"] * x["kt"], share * (1 - x["weight"])
+    return tables, start
+
+
+def log2_probability(gram: np.ndarray, tables: list) -> np.ndarray:
+    """log2 probability of each gram's byte after its context; one half a bit where no level has a node."""
+    total = np.zeros(len(gram))
+    for t in range(8):
+        node = _bit_nodes(gram >> np.uint64(8), gram & np.uint64(255), t)
+        one, left = np.full(len(gram), 0.5), np.arange(len(gram))
+        for d, keys, ones in reversed(tables):
+            key = shorter(node[left], d)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            seen = keys[at] == key
+            one[left[seen]] = ones[at[seen]]
+            left = left[~seen]
+        total += np.log2(np.where(_bits(gram & np.uint64(255), t) == 1, one, 1 - one))
+    return total
+
+
+# ---- the tree over Spark ------------------------------------------------------
+
+def unsigned(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_numpy().astype(np.int64).view(np.uint64)
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of ``counts`` with the largest ``n``, as many as fit in ``most``
+    without telling near counts apart."""
+    step, least, held = F.floor(F.log2("n") * 4), None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True):
+        held += r["rows"]
+        if held > most:
+            break
+        least = r["step"]
+    return counts.limit(0) if least is None else counts.where(step >= least)
+
+
+class ContextTree:
+    """The tree of the counted grams ``(gram, n)``: the contexts shorter than
+    ``SPLIT`` bytes weighed here, the others in parts of about ``part_grams`` grams."""
+
+    def __init__(self, counted: DataFrame, depth: int, least: int, part_grams: int = 1 << 17):
+        self.counted, self.depth, self.least = counted, depth, least
+        self.parts = max(256, -(-counted.count() // part_grams))
+        # At most 256 ** SPLIT rows reach the driver, here and in the children's sums.
+        last = min(depth, SPLIT - 1)
+        tops = (counted.groupBy(F.col("gram").bitwiseAND(F.lit(low_bits(8 * (last + 1)))).alias("gram"))
+                .agg(F.sum("n").alias("n")).toArrow())
+        top_levels = kept_levels(unsigned(tops["gram"]), tops["n"].to_numpy(), 0, last, least)
+        children = None
+        if depth >= SPLIT:
+            # Exact decimal sums, so that they do not depend on the order of the parts.
+            exact = F.sum(F.col("log").cast("decimal(30,6)")).cast("double")
+            summed = (self._dealt(counted).groupBy("part").applyInArrow(
+                          lambda table: subtree_sums(table, depth, least), "key long, a long, b long, log double")
+                      .groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), exact.alias("log")).toArrow())
+            children = (unsigned(summed["key"]), *[summed[c].to_numpy().astype(np.float64) for c in ("a", "b", "log")])
+        tables, start = descend(climb(top_levels, children))
+        self.shared = counted.sparkSession.sparkContext.broadcast((tables, start))
+
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        nearest = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(low_bits(8 * SPLIT)))
+        return rows.withColumn("part", F.pmod(F.xxhash64(nearest), F.lit(self.parts)))
+
+    def probabilities(self, grams: DataFrame) -> DataFrame:
+        """``(gram, value)`` for the distinct grams of column ``gram``: log2 of
+        the probability in units of 1 / ``UNIT``, an integer so that sums are exact."""
+        depth, least, shared = self.depth, self.least, self.shared
+
+        def part(counted: pa.Table, wanted: pa.Table) -> pa.Table:
+            gram, (tables, start) = unsigned(wanted["gram"]), shared.value
+            if len(gram) and depth >= SPLIT:
+                levels = kept_levels(unsigned(counted["gram"]), counted["n"].to_numpy(), SPLIT, depth, least)
+                tables = tables + descend(climb(levels), start)[0]
+            value = np.rint(log2_probability(gram, tables) * UNIT).astype(np.int64)
+            return pa.table({"gram": gram.view(np.int64), "value": value})
+
+        return (self._dealt(self.counted).groupBy("part").cogroup(self._dealt(grams).groupBy("part"))
+                .applyInArrow(part, "gram long, value long"))
+
+
+def subtree_sums(table: pa.Table, depth: int, least: int) -> pa.Table:
+    """A part's zeros, ones and log P_w of the contexts of ``SPLIT`` bytes, summed by the node above."""
+    levels = kept_levels(unsigned(table["gram"]), table["n"].to_numpy(), SPLIT, depth, least)
+    key, a, b, log = sums_by_parent(climb(levels)[0]) if levels else (np.empty(0, np.uint64), *[np.empty(0)] * 3)
+    return pa.table({"key": key.view(np.int64), "a": a.astype(np.int64), "b": b.astype(np.int64), "log": log})
+
+
+def learn_tree(texts: DataFrame, text_col: str, depth: int = 6, least: int = 2) -> ContextTree:
+    """Count all grams of the training texts and weigh the tree of the contexts
+    that occur at least ``least`` times."""
     if not 0 <= depth <= 6:
         raise ValueError("depth must be 0 to 6")
     counted = saved(texts.select(text_col).mapInArrow(lambda batches: count_grams(batches, depth), "gram long, n long")
                     .groupBy("gram").agg(F.sum("n").alias("n")), "byte-grams")
-    levels = [counted]
-    for d in range(depth - 1, -1, -1):
-        shorter = F.col("gram").bitwiseAND(F.lit(low_bits(8 * (d + 1))))
-        levels.insert(0, saved(levels[0].groupBy(shorter.alias("gram")).agg(F.sum("n").alias("n")), "byte-grams"))
-    steps = []
-    for d, level in enumerate(levels):
-        contexts = level.groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(
-            F.sum("n").alias("total"), F.count(F.lit(1)).alias("grams"))
-        step = F.floor(2 * F.log2("total")).cast("int") if d else F.lit(1 << 20)
-        steps += contexts.groupBy(step.alias("step")).agg(F.sum("grams").alias("grams")).collect()
-    # Steps from the most frequent contexts down, as long as their grams fit; depth 0 always does.
-    sums, cut, total = Counter(), 1 << 20, 0
-    for r in steps:
-        sums[r["step"]] += r["grams"]
-    for step in sorted(sums, reverse=True):
-        total += sums[step]
-        if total > max_grams and step < 1 << 20:
-            break
-        cut = step
-    tables = []
-    for d, level in enumerate(levels):
-        context = F.shiftrightunsigned("gram", 8)
-        totals = level.groupBy(context.alias("context")).agg(F.sum("n").alias("total"))
-        kept = totals.where(F.floor(2 * F.log2("total")) >= cut) if d else totals
-        table = level.join(kept, context == F.col("context")).select("gram", "n").toArrow()
-        grams = table["gram"].to_numpy().astype(np.int64).view(np.uint64)
-        tables.append((grams, table["n"].to_numpy()))
-    while len(tables) > 1 and not len(tables[-1][0]):
-        tables.pop()
-    return compile_tree(tables)
+    return ContextTree(counted, depth, least)
 
 
 # ---- words ------------------------------------------------------------------
@@ -338,11 +361,21 @@ def count_words(batches, most: int = 400_000):
 
 
 SCORE_FIELDS = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "tail": pa.list_(pa.binary()),
-                "score": pa.float64()}
+                "grams": pa.list_(pa.int64()), "times": pa.list_(pa.int64()), "score": pa.float64()}
 
 
-def _score_block(texts: list[bytes], tree: ContextTree, head) -> pa.StructArray:
-    """Of each text: tokens, known head words and the sum of their logs, the other words, and the tree's score."""
+def _counted_by_text(own: np.ndarray, gram: np.ndarray, texts: int) -> tuple[list, list]:
+    """Each text's distinct grams and how often it has them."""
+    order = np.lexsort((gram, own))
+    own, gram = own[order], gram[order]
+    first = np.nonzero(np.r_[True, (own[1:] != own[:-1]) | (gram[1:] != gram[:-1])][:len(own)])[0]
+    cuts = np.searchsorted(own[first], np.arange(1, texts))
+    return np.split(gram[first].view(np.int64), cuts), np.split(np.diff(np.r_[first, len(own)]), cuts)
+
+
+def _score_block(texts: list[bytes], depth: int, frequent: tuple, head) -> pa.StructArray:
+    """Of each text: tokens, known head words and the sum of their logs, the
+    other words, the grams that are not frequent, and the others' log2 probability."""
     split = [t.lower().split() for t in texts]
     known, logs, tails = [], [], []
     for own in split:
@@ -351,16 +384,19 @@ def _score_block(texts: list[bytes], tree: ContextTree, head) -> pa.StructArray:
         known.append(len(found))
         logs.append(math.fsum(found))
         tails.append([w for w, v in zip(own, values) if v is None] if len(found) < len(own) else [])
-    score = np.zeros(len(split))
-    for own, gram in gram_windows([b" ".join(x) + b"\n" for x in split], tree.depth):
-        score += np.bincount(own, tree.score(gram), len(split))
-    columns = ([len(x) + 1 for x in split], known, logs, tails, score * LOG10_2)
+    score, rare = np.zeros(len(split)), [(np.empty(0, np.int64), np.empty(0, np.uint64))]
+    for own, gram in gram_windows([b" ".join(x) + b"\n" for x in split], depth):
+        value, found = find(frequent, gram)
+        score += np.bincount(own, value, len(split))
+        rare.append((own[~found], gram[~found]))
+    grams, times = _counted_by_text(*[np.concatenate(x) for x in zip(*rare)], len(split))
+    columns = ([len(x) + 1 for x in split], known, logs, tails, grams, times, score)
     return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, SCORE_FIELDS.values())],
                                       list(SCORE_FIELDS))
 
 
-def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 5,
-                    max_grams: int = 1 << 19, head_words: int = 1 << 17) -> DataFrame:
+def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6,
+                    least: int = 2, head_grams: int = 1 << 20, head_words: int = 1 << 17) -> DataFrame:
     """One row per input row: ``id_col, n_tokens, n_known, train_tokens,
     base_score, score``; the model and the word counts are learned from the
     rows where ``train`` holds.
@@ -372,59 +408,51 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     every bit has probability one half. Rows that repeat are scored each.
     Other columns are not read.
 
-    The ``head_words`` most frequent words are broadcast; a document's other
-    words are joined with the full counts.
+    The ``head_grams`` most frequent grams and ``head_words`` most frequent
+    words are broadcast; a document's others are joined with the full tables.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     taught = rows.where("train")
-    tree = learn_tree(taught, "text", depth, max_grams)
+    tree = learn_tree(taught, "text", depth, least)
     words = saved(taught.select("text").mapInArrow(count_words, "word binary, n long")
                   .groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     ends = taught.count()
     row = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, distinct = row[0] + ends, row[1] + (ends > 0)
     unit = math.log10(total + distinct + 1)
-    by_count = sorted(((r["n"], r["words"]) for r in words.groupBy(F.floor(F.log2("n") * 4).alias("n"))
-                       .agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
-    least, held = None, 0
-    for step, n in by_count:
-        held += n
-        if held > head_words:
-            break
-        least = step
-    head = {} if least is None else {
-        r["word"]: math.log10(r["n"] + 1) for r in words.where(F.floor(F.log2("n") * 4) >= least).toArrow().to_pylist()}
-    shared = spark.sparkContext.broadcast({"head": {bytes(w): v for w, v in head.items()}, "depth": tree.depth, "tables": [
-        (t.bits, t.probes, t.keys, t.values) for t in (tree.grams, tree.contexts, tree.nodes)]})
+    head = {bytes(r["word"]): math.log10(r["n"] + 1) for r in most_frequent(words, head_words).toArrow().to_pylist()}
+    known = tree.probabilities(most_frequent(tree.counted, head_grams).select("gram")).toArrow()
+    frequent = hash_table(unsigned(known["gram"]), known["value"].to_numpy() / UNIT)
+    shared = spark.sparkContext.broadcast((head, frequent))
 
     def batch(texts: pa.Array) -> pa.Array:
-        state = shared.value
-        if "tree" not in state:
-            tables = []
-            for bits, probes, keys, values in state["tables"]:
-                table = object.__new__(HashTable)
-                table.bits, table.probes, table.keys, table.values = bits, probes, keys, values
-                tables.append(table)
-            state["tree"] = ContextTree(state["depth"], *tables)
+        head, frequent = shared.value
         parts, block, size = [], [], 0
         for text in texts.cast(pa.binary()).to_pylist():
             block.append(text or b"")
             size += len(block[-1])
             if size > WINDOW:
-                parts.append(_score_block(block, state["tree"], state["head"].get))
+                parts.append(_score_block(block, depth, frequent, head.get))
                 block, size = [], 0
-        return pa.concat_arrays([*parts, _score_block(block, state["tree"], state["head"].get)])
+        if block:
+            parts.append(_score_block(block, depth, frequent, head.get))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(SCORE_FIELDS.items())))
 
-    kind = "n_tokens long, known long, logs double, tail array<binary>, score double"
+    kind = ("n_tokens long, known long, logs double, tail array<binary>, grams array<bigint>, times array<bigint>, "
+            "score double")
     scored = saved(rows.select("id", arrow_udf(batch, kind)("text").alias("s"))
                    .select("id", "s.*", F.monotonically_increasing_id().alias("rid")), "scored")
     tail = (scored.select("rid", F.explode("tail").alias("word")).join(words, "word")
             .groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs")))
+    rare = scored.select("rid", F.explode(F.arrays_zip("grams", "times")).alias("g")).select(
+        "rid", F.col("g.grams").alias("gram"), F.col("g.times").alias("times"))
+    values = saved(tree.probabilities(rare.select("gram").distinct()), "gram-values")
+    rare = rare.join(values, "gram").groupBy("rid").agg((F.sum(F.col("times") * F.col("value")) / UNIT).alias("rare"))
     end_log, end_known = (math.log10(ends + 1), 1) if ends else (0.0, 0)
-    return scored.join(tail, "rid", "left").select(
+    return scored.join(tail, "rid", "left").join(rare, "rid", "left").select(
         F.col("id").alias(id_col), "n_tokens",
         (F.col("known") + F.coalesce("more", F.lit(0)) + end_known).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + end_log - F.col("n_tokens") * unit).alias("base_score"),
-        "score")
+        ((F.col("score") + F.coalesce("rare", F.lit(0.0))) * LOG10_2).alias("score"))

@@ -276,10 +276,8 @@ def test_context_tree_brute_force():
     assert np.allclose(ctw.log_kt(np.array([0, 3, 5]), np.array([0, 1, 9])), [math.log(_kt(*x)) for x in ((0, 0), (3, 1), (5, 9))])
     depth, texts = 2, [ctw.model_bytes(t) for t in (b"abab abba", b"abc", b"bb a")]
     grams = np.concatenate([g for _, g in ctw.gram_windows(texts, depth)])
-    levels = []
-    for d in range(depth + 1):
-        levels.append(np.unique(grams & np.uint64((1 << 8 * (d + 1)) - 1), return_counts=True))
-    tree = ctw.compile_tree(levels)
+    own, n = np.unique(grams, return_counts=True)
+    tables, _ = ctw.descend(ctw.climb(ctw.kept_levels(own, n, 0, depth, 1)))
     counts = {}
     for g in grams.tolist():
         byte = g & 255
@@ -311,11 +309,27 @@ def test_context_tree_brute_force():
     for gram in [*np.unique(grams).tolist(), *[a << 16 | b << 8 | c for a in (97, 120) for b in (98, 121) for c in (97, 122)]]:
         byte = gram & 255
         want = sum(math.log2(probability(0, gram >> 8, 1 << t | byte >> 8 - t, byte >> 7 - t & 1)) for t in range(8))
-        assert abs(tree.score(np.array([gram], np.uint64))[0] - want) < 1e-5
-    total = sum(2 ** tree.score(np.array([97 << 16 | 98 << 8 | x], np.uint64))[0] for x in range(256))
+        assert abs(ctw.log2_probability(np.array([gram], np.uint64), tables)[0] - want) < 1e-5
+    total = sum(2 ** ctw.log2_probability(np.array([97 << 16 | 98 << 8 | x], np.uint64), tables)[0] for x in range(256))
     assert abs(total - 1) < 1e-5
 
 
+@pytest.mark.parametrize("depth", [1, 3, 5])
+def test_context_tree_in_parts(spark, depth):
+    """Dealt into parts, the tree gives what it gives in one piece, for grams seen, rare and never seen; looked up
+    in the broadcast table or joined, the scores are those of the texts' bytes."""
+    texts = [PROSE["en"] * 2 + "xyz", PROSE["de"], "the hat of the cat", None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    learned = [ctw.model_bytes((t or "").encode()) for t in texts[:2]]
+    own, n = np.unique(np.concatenate([g for _, g in ctw.gram_windows(learned, depth)]), return_counts=True)
+    tables, _ = ctw.descend(ctw.climb(ctw.kept_levels(own, n, 0, depth, 2)))
+    want = [sum(ctw.log2_probability(g, tables).sum() for _, g in ctw.gram_windows([ctw.model_bytes((t or "").encode())], depth))
+            * math.log10(2) for t in texts]
+    for head in (0, 40, 1 << 20):
+        got = ctw.score_documents(docs, F.col("doc_id") < 2, depth=depth, least=2, head_grams=head).orderBy("doc_id").collect()
+        assert [r["score"] for r in got] == pytest.approx(want, abs=1e-3)
+
+
 def test_scores(spark, odd):
     rows = [(i, PROSE["en"] * 3 if i % 2 else PROSE["de"] * 2, "en", "s", 1) for i in range(20, 60)]
     docs = odd.unionByName(spark.createDataFrame(rows, DOCS))
