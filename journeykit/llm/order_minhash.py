@@ -11,6 +11,7 @@ Everything is array work within a row: no shuffle, whatever the text's length.
 """
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,41 +78,51 @@ def likeness(a: str | Column, b: str | Column) -> Column:
     return F.when(most == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
-def with_next(df: DataFrame, id_col: str, columns: dict[str, str], tie: list[str], buckets: int) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, columns: dict[str, str], tie: list[str], buckets: int,
+              spread: str | None = None) -> DataFrame:
     """``df`` with, for each ``name: new name`` of ``columns``, the value in the
     next row by descending id (after the last row: the first).
 
     Rows are dealt by id into ranges; a range is ordered by one task. The first
-    row of a range is also sent to the range before, so one shuffle serves. The
-    boundaries and each range's largest id are all that the driver gets (at
-    most ``buckets`` numbers). Null ids come last; ids that repeat are ordered
-    by ``tie``, and rows equal in it are alike to the result.
+    row of a range is also sent to the range before, so one shuffle serves.
+    Null ids come last; rows of equal ids are ordered by ``spread``, a hash of
+    the row as a long, then by ``tie``; rows equal in these are alike to the
+    result. With ``spread``, the rows without an id, and those of an id that
+    fills more than a range, are dealt by it into ranges of their own; without
+    it they stay in one. The boundaries and each range's first key are all that
+    the driver gets (at most three times ``buckets`` rows).
     """
-    id_ = F.col(id_col)
-    cuts = df.agg(F.percentile_approx(id_, [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets)).first()[0]
-    cuts = sorted(set(cuts or []))
+    spark, id_ = df.sparkSession, F.col(id_col)
+    found = df.agg(F.percentile_approx(id_, [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets)).first()[0]
+    fills = Counter(found or [])
+    cuts = sorted(fills)
     # Of n boundaries every sqrt(n)-th is tried first, then those after the last that fits.
     step = max(1, math.isqrt(len(cuts)))
     coarse, fine = (F.array(*[F.lit(c) for c in x]).cast("array<bigint>") for x in (cuts[::step], cuts))
     block = F.size(F.filter(coarse, lambda c: c <= id_))
     rest = F.size(F.filter(F.slice(fine, (F.greatest(block, F.lit(1)) - 1) * step + 1, F.lit(step)), lambda c: c <= id_))
-    bucket = F.when(id_.isNull(), F.lit(-1)).otherwise((F.greatest(block, F.lit(1)) - 1) * step + rest)
-    dealt = df.withColumn("__bucket", bucket)
-    heads = sorted((r[0] for r in dealt.select("__bucket").distinct().collect()), reverse=True)
-    # The range read after this one, going down and round.
-    before = {b: heads[(i - 1) % len(heads)] for i, b in enumerate(heads)}
-    if not heads:
-        return df.select("*", *[F.col(c).alias(n) for c, n in columns.items()])
-    order = [id_.desc_nulls_last(), *[F.col(c) for c in tie]]
-    tops = dealt.groupBy("__bucket").agg(F.max(F.struct(id_.alias("i"))).alias("top"))
-    top_id = {r[0]: r[1]["i"] for r in tops.collect()}
-    previous = F.create_map(*[F.lit(x) for b in heads for x in (b, before[b])])
-    first = F.create_map(*[x for b in heads for x in (F.lit(b), F.lit(top_id[b]).cast("bigint"))])
-    leads = id_.eqNullSafe(F.element_at(first, F.col("__bucket")))
-    sent = dealt.withColumn("__at", F.explode(F.when(leads, F.array(
-        F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("guest")),
-        F.struct(F.element_at(previous, F.col("__bucket")).alias("b"), F.lit(1).alias("guest"))))
-        .otherwise(F.array(F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("guest"))))))
-    w = Window.partitionBy("__at.b").orderBy(F.col("__at.guest"), *order)
+    at = F.when(id_.isNull(), F.lit(-1)).otherwise((F.greatest(block, F.lit(1)) - 1) * step + rest)
+    bucket, first_key, order = at * (buckets + 2), [F.bitwise_not(id_).alias("id")], [id_.desc_nulls_last()]
+    if spread:
+        hash_ = F.col(spread)
+        hot = [x for c, n in fills.items() if n > 1 for x in (F.lit(c).cast("bigint"), F.lit(n))]
+        ranges = F.when(id_.isNull(), F.lit(buckets)).when(id_.isNotNull(), F.element_at(F.create_map(*hot), id_) if hot else None)
+        # Such an id is the smallest of its range: its own ranges come after the others.
+        own = F.least(F.floor((hash_ / F.lit(2.0 ** 64) + 0.5) * ranges), ranges - 1) + 1
+        bucket, first_key = bucket - F.coalesce(own, F.lit(0)), [*first_key, hash_.alias("hash")]
+        order.append(hash_)
+    dealt = df.withColumn("__bucket", bucket.cast("bigint"))
+    first = F.struct(*first_key)
+    tops = sorted((tuple([r[0], *r[1]]) for r in dealt.groupBy("__bucket").agg(F.min(first)).collect()), reverse=True,
+                  key=lambda r: r[0])
+    # Beside each range its first key and the range read before it, going down and round.
+    plan = spark.createDataFrame([(r[0], tops[i - 1][0], tuple(r[1:])) for i, r in enumerate(tops)],
+                                 f"__bucket long, __before long, __first struct<{', '.join(f'k{i} long' for i in range(len(first_key)))}>")
+    own_key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(first_key)])
+    here = F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("guest"))
+    guest = F.struct(F.col("__before").alias("b"), F.lit(1).alias("guest"))
+    sent = dealt.join(F.broadcast(plan), "__bucket").withColumn("__at", F.explode(
+        F.when(own_key.eqNullSafe(F.col("__first")), F.array(here, guest)).otherwise(F.array(here))))
+    w = Window.partitionBy("__at.b").orderBy(F.col("__at.guest"), *order, *[F.col(c) for c in tie])
     return (sent.select("*", *[F.lead(c).over(w).alias(n) for c, n in columns.items()])
-            .where("__at.guest = 0").drop("__at", "__bucket"))
+            .where("__at.guest = 0").drop("__at", "__bucket", "__before", "__first"))

@@ -52,7 +52,7 @@ def op5_order_minhash(spark, sf_dir):
     rows = docs.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("tie", F.xxhash64("text"))
     rows = order_minhash.add_fingerprint(rows, "text", "own")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = order_minhash.with_next(rows, "doc_id", {"text": "next_text", "own": "next_own"}, ["tie", "text"], buckets)
+    rows = order_minhash.with_next(rows, "doc_id", {"text": "next_text", "own": "next_own"}, ["text"], buckets, spread="tie")
     # The last document's next is the first: with_next goes round.
     take = F.expr("n_chars div 3").cast("int")
     edited = F.concat(F.expr("left(text, cast(n_chars - n_chars div 3 as int))"),

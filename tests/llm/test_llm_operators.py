@@ -182,6 +182,17 @@ def test_order_minhash_next(spark):
     assert order_minhash.with_next(df.limit(0), "doc_id", {"text": "after"}, ["text"], 5).count() == 0
 
 
+@pytest.mark.parametrize("ids", [[*range(0, 40, 2), 101, 100, 100, None], [None] * 40 + [7] * 50 + [*range(30)], [None] * 9, [5] * 30,
+                                 [3], [-2 ** 63, 2 ** 63 - 1, None, 0]])
+def test_order_minhash_next_spread(spark, ids):
+    """Rows without an id and rows of one hot id lie in several ranges and still follow each other."""
+    df = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    line = sorted(df.collect(), key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"]))
+    want = {line[k]["text"]: line[(k + 1) % len(line)]["text"] for k in range(len(line))}
+    got = order_minhash.with_next(df, "doc_id", {"text": "after"}, ["text"], 5, "h").collect()
+    assert len(got) == len(ids) and {r["text"]: r["after"] for r in got} == want
+
+
 def test_archives(spark):
     big = "<p>" + "ä" * 900 + "</p>"
     rows = [(1, "http://a/x y", big), (2, None, big), (3, "http://c", None), (4, "http://d", "small"), (5, "http://e", "small"),
