@@ -18,14 +18,15 @@ and its context) are dealt by the nearest ``SPLIT`` bytes of context, so a
 part holds whole subtrees. One pass over the parts sums the subtrees' P_w; the
 driver weighs the contexts above them, whose number is bounded by the bytes
 there are; a second pass takes the mixture down again and gives the
-probability of every gram that is asked for. Texts are scored with the
-probabilities of the most frequent grams, a bounded table that is broadcast;
-a text's other grams are counted and joined with theirs. Where a gram is
-looked up changes its score by rounding only.
+probability of every gram that any text has. Texts are scored with those of
+the most frequent grams, a bounded table that is broadcast; a text's other
+grams are counted and joined with theirs. Where a gram is looked up changes
+its score by rounding only.
 """
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +34,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from journeykit.llm.storage import saved
+from journeykit.llm.storage import bounded_batches, saved
 
 WINDOW = 1 << 19
 EMPTY = np.uint64((1 << 64) - 1)
 LOG10_2 = math.log10(2)
 #: Subtrees begin at contexts of so many bytes.
 SPLIT = 3
+#: Spreads contexts over parts; a product with SPLIT bytes stays below 2 ** 56.
+MIX = 2654435761
+#: Grams in a packed array.
+PACKED = 4096
 #: Units of log2 in which probabilities are stored.
 UNIT = 1 << 20
 
@@ -78,28 +83,80 @@ def _sum_grams(held: list) -> tuple[np.ndarray, np.ndarray]:
     return grams, np.bincount(first, np.concatenate([n for _, n in held])).astype(np.int64)
 
 
-def count_grams(batches, depth: int, most: int = 1 << 20):
-    """Arrow batches of texts to batches (gram, n), summed within a task as far
-    as ``most`` distinct grams fit."""
+def part_of(gram: np.ndarray, bits: int) -> np.ndarray:
+    """One of 2 ** ``bits`` parts, by the nearest ``SPLIT`` bytes of a gram's context."""
+    nearest = (gram >> np.uint64(8)) & np.uint64(low_bits(8 * SPLIT))
+    return ((nearest * np.uint64(MIX) >> np.uint64(32 - bits)) & np.uint64(low_bits(bits))).astype(np.int32)
+
+
+def part_column(bits: int) -> Column:
+    """``part_of`` for the column ``gram``."""
+    nearest = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(low_bits(8 * SPLIT)))
+    return F.shiftrightunsigned(nearest * F.lit(MIX), 32 - bits).bitwiseAND(F.lit(low_bits(bits))).cast("int")
+
+
+def count_grams(batches, depth: int, bits: int, most: int = 1 << 20):
+    """Arrow batches (text, whether it teaches) to batches (part, grams, n):
+    arrays of at most ``PACKED`` grams of a part and of their counts in
+    teaching texts, as bytes; summed within a task as far as ``most`` distinct
+    grams fit."""
     def out(held):
         grams, n = _sum_grams(held)
-        return pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(n)], ["gram", "n"])
+        part = part_of(grams, bits)
+        order = np.argsort(part, kind="stable")
+        grams, n, part = grams[order], n[order], part[order]
+        cuts = np.nonzero(np.diff(part))[0] + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
+            for at in range(lo, hi, PACKED):
+                yield int(part[at]), grams[at:min(at + PACKED, hi)].tobytes(), n[at:min(at + PACKED, hi)].tobytes()
+
+    def packed(held):
+        rows = list(out(held))
+        for at in range(0, len(rows), 256):
+            columns = zip(*rows[at:at + 256])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))],
+                                             ["part", "grams", "n"])
 
     held, size = [], 0
     for batch in batches:
         texts = [model_bytes(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-        for _, gram in gram_windows(texts, depth):
-            grams, n = np.unique(gram, return_counts=True)
-            held.append((grams, n))
-            size += len(grams)
-            if size > most:
-                held = [_sum_grams(held)]
-                size = len(held[0][0])
-                if size > most // 2:
-                    yield out(held)
-                    held, size = [], 0
-    if held:
-        yield out(held)
+        taught = batch.column(1).to_pylist()
+        for teaches in (True, False):
+            for _, gram in gram_windows([t for t, own in zip(texts, taught) if own == teaches], depth):
+                grams, n = np.unique(gram, return_counts=True)
+                held.append((grams, n * teaches))
+                size += len(grams)
+                if size > most:
+                    held = [_sum_grams(held)]
+                    size = len(held[0][0])
+                    if size > most // 2:
+                        yield from packed(held)
+                        held, size = [], 0
+    if size:
+        yield from packed(held)
+
+
+def merge_grams(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """A part's packed arrays, one batch after the other, to its distinct grams and their counts."""
+    held, size, most = [], 0, 1 << 20
+    for batch in batches:
+        for grams, n in zip(batch.column("grams").to_pylist(), batch.column("n").to_pylist()):
+            held.append((np.frombuffer(grams, np.uint64), np.frombuffer(n, np.int64)))
+            size += len(held[-1][0])
+        if size > 2 * most:
+            held = [_sum_grams(held)]
+            size = most = max(most, len(held[0][0]))
+    return _sum_grams(held)
+
+
+def columns_of(names: str, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Batches of the columns ``names``, null where not given."""
+    size = len(next(iter(columns.values())))
+    for at in range(0, size, 1 << 16):
+        rows = min(1 << 16, size - at)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(columns[c][at:at + rows]) if c in columns else pa.nulls(rows, pa.float64() if c == "log" else pa.int64())
+            for c in names.split()], names.split())
 
 
 def low_bits(n: int) -> int:
@@ -186,7 +243,8 @@ def kept_levels(grams: np.ndarray, n: np.ndarray, low: int, depth: int, least: i
     """(d, grams of d + 1 bytes, counts) for d from ``low`` to ``depth``, of the
     contexts of d bytes that occur at least ``least`` times (the empty one
     always). A context that is kept has its shorter ones kept."""
-    out = []
+    out, taught = [], n > 0
+    grams, n = grams[taught], n[taught]
     for d in range(low, depth + 1):
         own, at = np.unique(shorter(grams, d), return_inverse=True)
         count = np.bincount(at, n, len(own))
@@ -281,65 +339,54 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return counts.limit(0) if least is None else counts.where(step >= least)
 
 
-class ContextTree:
-    """The tree of the counted grams ``(gram, n)``: the contexts shorter than
-    ``SPLIT`` bytes weighed here, the others in parts of about ``part_grams`` grams."""
-
-    def __init__(self, counted: DataFrame, depth: int, least: int, part_grams: int = 1 << 17):
-        self.counted, self.depth, self.least = counted, depth, least
-        self.parts = max(256, -(-counted.count() // part_grams))
-        # At most 256 ** SPLIT rows reach the driver, here and in the children's sums.
-        last = min(depth, SPLIT - 1)
-        tops = (counted.groupBy(F.col("gram").bitwiseAND(F.lit(low_bits(8 * (last + 1)))).alias("gram"))
-                .agg(F.sum("n").alias("n")).toArrow())
-        top_levels = kept_levels(unsigned(tops["gram"]), tops["n"].to_numpy(), 0, last, least)
-        children = None
-        if depth >= SPLIT:
-            # Exact decimal sums, so that they do not depend on the order of the parts.
-            exact = F.sum(F.col("log").cast("decimal(30,6)")).cast("double")
-            summed = (self._dealt(counted).groupBy("part").applyInArrow(
-                          lambda table: subtree_sums(table, depth, least), "key long, a long, b long, log double")
-                      .groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), exact.alias("log")).toArrow())
-            children = (unsigned(summed["key"]), *[summed[c].to_numpy().astype(np.float64) for c in ("a", "b", "log")])
-        tables, start = descend(climb(top_levels, children))
-        self.shared = counted.sparkSession.sparkContext.broadcast((tables, start))
-
-    def _dealt(self, rows: DataFrame) -> DataFrame:
-        nearest = F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(low_bits(8 * SPLIT)))
-        return rows.withColumn("part", F.pmod(F.xxhash64(nearest), F.lit(self.parts)))
-
-    def probabilities(self, grams: DataFrame) -> DataFrame:
-        """``(gram, value)`` for the distinct grams of column ``gram``: log2 of
-        the probability in units of 1 / ``UNIT``, an integer so that sums are exact."""
-        depth, least, shared = self.depth, self.least, self.shared
-
-        def part(counted: pa.Table, wanted: pa.Table) -> pa.Table:
-            gram, (tables, start) = unsigned(wanted["gram"]), shared.value
-            if len(gram) and depth >= SPLIT:
-                levels = kept_levels(unsigned(counted["gram"]), counted["n"].to_numpy(), SPLIT, depth, least)
-                tables = tables + descend(climb(levels), start)[0]
-            value = np.rint(log2_probability(gram, tables) * UNIT).astype(np.int64)
-            return pa.table({"gram": gram.view(np.int64), "value": value})
-
-        return (self._dealt(self.counted).groupBy("part").cogroup(self._dealt(grams).groupBy("part"))
-                .applyInArrow(part, "gram long, value long"))
-
-
-def subtree_sums(table: pa.Table, depth: int, least: int) -> pa.Table:
-    """A part's zeros, ones and log P_w of the contexts of ``SPLIT`` bytes, summed by the node above."""
-    levels = kept_levels(unsigned(table["gram"]), table["n"].to_numpy(), SPLIT, depth, least)
-    key, a, b, log = sums_by_parent(climb(levels)[0]) if levels else (np.empty(0, np.uint64), *[np.empty(0)] * 3)
-    return pa.table({"key": key.view(np.int64), "a": a.astype(np.int64), "b": b.astype(np.int64), "log": log})
-
-
-def learn_tree(texts: DataFrame, text_col: str, depth: int = 6, least: int = 2) -> ContextTree:
-    """Count all grams of the training texts and weigh the tree of the contexts
-    that occur at least ``least`` times."""
+COUNTED = "gram n key a b log"
+
+
+def gram_probabilities(texts: DataFrame, text_col: str, train_col: str, depth: int = 6, least: int = 2) -> DataFrame:
+    """``(gram, n, value)``: every distinct gram of all texts, how often the
+    texts that teach (``train_col``) have it, and log2 of its probability in
+    units of 1 / ``UNIT`` (an integer, so that sums are exact).
+
+    Parts follow the number of texts, from 256 to 65536. Of the tree only what
+    is above contexts of ``SPLIT`` bytes reaches the driver and is broadcast,
+    at most 256 ** SPLIT rows.
+    """
     if not 0 <= depth <= 6:
         raise ValueError("depth must be 0 to 6")
-    counted = saved(texts.select(text_col).mapInArrow(lambda batches: count_grams(batches, depth), "gram long, n long")
-                    .groupBy("gram").agg(F.sum("n").alias("n")), "byte-grams")
-    return ContextTree(counted, depth, least)
+    bits = min(16, max(8, (texts.count() >> 10).bit_length()))
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, n = merge_grams(batches)
+        yield from columns_of(COUNTED, gram=grams.view(np.int64), n=n)
+        if levels := kept_levels(grams, n, SPLIT, depth, least):
+            key, a, b, log = sums_by_parent(climb(levels)[0])
+            yield from columns_of(COUNTED, key=key.view(np.int64), a=a.astype(np.int64), b=b.astype(np.int64), log=log)
+
+    packed = texts.select(text_col, train_col).mapInArrow(lambda batches: count_grams(batches, depth, bits),
+                                                          "part int, grams binary, n binary")
+    found = saved(packed.groupBy("part").applyInArrow(merged, "gram long, n long, key long, a long, b long, log double"),
+                  "byte-grams")
+    counted = found.where("gram is not null").select("gram", "n")
+    last = min(depth, SPLIT - 1)
+    tops = (counted.groupBy(F.col("gram").bitwiseAND(F.lit(low_bits(8 * (last + 1)))).alias("gram"))
+            .agg(F.sum("n").alias("n")).toArrow())
+    # Exact decimal sums, so that they do not depend on the order of the parts.
+    exact = F.sum(F.col("log").cast("decimal(30,6)")).cast("double")
+    summed = (found.where("key is not null").groupBy("key")
+              .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), exact.alias("log")).toArrow())
+    children = (unsigned(summed["key"]), *[summed[c].to_numpy().astype(np.float64) for c in ("a", "b", "log")])
+    levels = kept_levels(unsigned(tops["gram"]), tops["n"].to_numpy(), 0, last, least)
+    shared = texts.sparkSession.sparkContext.broadcast(descend(climb(levels, children if summed.num_rows else None)))
+
+    def valued(table: pa.Table) -> pa.Table:
+        (tables, start), grams, n = shared.value, unsigned(table["gram"]), table["n"].to_numpy()
+        if levels := kept_levels(grams, n, SPLIT, depth, least):
+            tables = tables + descend(climb(levels), start)[0]
+        value = np.rint(log2_probability(grams, tables) * UNIT).astype(np.int64)
+        return pa.table({"gram": grams.view(np.int64), "n": n, "value": value})
+
+    return saved(counted.withColumn("part", part_column(bits)).groupBy("part")
+                 .applyInArrow(valued, "gram long, n long, value long"), "gram-values")
 
 
 # ---- words ------------------------------------------------------------------
@@ -396,7 +443,7 @@ def _score_block(texts: list[bytes], depth: int, frequent: tuple, head) -> pa.St
 
 
 def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = 6,
-                    least: int = 2, head_grams: int = 1 << 20, head_words: int = 1 << 17) -> DataFrame:
+                    least: int = 2, head_grams: int = 1 << 21, head_words: int = 1 << 17) -> DataFrame:
     """One row per input row: ``id_col, n_tokens, n_known, train_tokens,
     base_score, score``; the model and the word counts are learned from the
     rows where ``train`` holds.
@@ -412,9 +459,10 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     words are broadcast; a document's others are joined with the full tables.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     taught = rows.where("train")
-    tree = learn_tree(taught, "text", depth, least)
+    grams = gram_probabilities(rows, "text", "train", depth, least)
     words = saved(taught.select("text").mapInArrow(count_words, "word binary, n long")
                   .groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     ends = taught.count()
@@ -422,7 +470,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
     total, distinct = row[0] + ends, row[1] + (ends > 0)
     unit = math.log10(total + distinct + 1)
     head = {bytes(r["word"]): math.log10(r["n"] + 1) for r in most_frequent(words, head_words).toArrow().to_pylist()}
-    known = tree.probabilities(most_frequent(tree.counted, head_grams).select("gram")).toArrow()
+    known = most_frequent(grams.where("n > 0"), head_grams).select("gram", "value").toArrow()
     frequent = hash_table(unsigned(known["gram"]), known["value"].to_numpy() / UNIT)
     shared = spark.sparkContext.broadcast((head, frequent))
 
@@ -447,8 +495,7 @@ def score_documents(docs: DataFrame, train: Column, id_col: str = "doc_id", text
             .groupBy("rid").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("more_logs")))
     rare = scored.select("rid", F.explode(F.arrays_zip("grams", "times")).alias("g")).select(
         "rid", F.col("g.grams").alias("gram"), F.col("g.times").alias("times"))
-    values = saved(tree.probabilities(rare.select("gram").distinct()), "gram-values")
-    rare = rare.join(values, "gram").groupBy("rid").agg((F.sum(F.col("times") * F.col("value")) / UNIT).alias("rare"))
+    rare = rare.join(grams, "gram").groupBy("rid").agg((F.sum(F.col("times") * F.col("value")) / UNIT).alias("rare"))
     end_log, end_known = (math.log10(ends + 1), 1) if ends else (0.0, 0)
     return scored.join(tail, "rid", "left").join(rare, "rid", "left").select(
         F.col("id").alias(id_col), "n_tokens",
