@@ -16,6 +16,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from journeykit.llm.storage import saved
+
 #: A selected k-mer is one long: 39 bits of hash beside 24 bits of position.
 POSITION_BITS, HASH_BITS = 24, 39
 POSITION_MASK, HASH_MASK = (1 << POSITION_BITS) - 1, (1 << HASH_BITS) - 1
@@ -89,10 +91,10 @@ def with_next(df: DataFrame, id_col: str, columns: dict[str, str], tie: list[str
     the row as a long, then by ``tie``; rows equal in these are alike to the
     result. With ``spread``, the rows without an id, and those of an id that
     fills more than a range, are dealt by it into ranges of their own; without
-    it they stay in one. The boundaries and each range's first key are all that
-    the driver gets (at most three times ``buckets`` rows).
+    it they stay in one. The driver gets the boundaries; each range's first key
+    is joined (at most three times ``buckets`` rows).
     """
-    spark, id_ = df.sparkSession, F.col(id_col)
+    id_ = F.col(id_col)
     found = df.agg(F.percentile_approx(id_, [i / buckets for i in range(1, buckets)] or [0.5], 100 * buckets)).first()[0]
     fills = Counter(found or [])
     cuts = sorted(fills)
@@ -113,16 +115,14 @@ def with_next(df: DataFrame, id_col: str, columns: dict[str, str], tie: list[str
         order.append(hash_)
     dealt = df.withColumn("__bucket", bucket.cast("bigint"))
     first = F.struct(*first_key)
-    tops = sorted((tuple([r[0], *r[1]]) for r in dealt.groupBy("__bucket").agg(F.min(first)).collect()), reverse=True,
-                  key=lambda r: r[0])
     # Beside each range its first key and the range read before it, going down and round.
-    plan = spark.createDataFrame([(r[0], tops[i - 1][0], tuple(r[1:])) for i, r in enumerate(tops)],
-                                 f"__bucket long, __before long, __first struct<{', '.join(f'k{i} long' for i in range(len(first_key)))}>")
-    own_key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(first_key)])
+    tops = saved(dealt.groupBy("__bucket").agg(F.min(first).alias("__first")), "range-keys")
+    before = F.lag("__bucket").over(Window.orderBy(F.col("__bucket").desc()))
+    plan = tops.withColumn("__before", F.coalesce(before, F.min("__bucket").over(Window.partitionBy())))
     here = F.struct(F.col("__bucket").alias("b"), F.lit(0).alias("guest"))
     guest = F.struct(F.col("__before").alias("b"), F.lit(1).alias("guest"))
     sent = dealt.join(F.broadcast(plan), "__bucket").withColumn("__at", F.explode(
-        F.when(own_key.eqNullSafe(F.col("__first")), F.array(here, guest)).otherwise(F.array(here))))
+        F.when(first.eqNullSafe(F.col("__first")), F.array(here, guest)).otherwise(F.array(here))))
     w = Window.partitionBy("__at.b").orderBy(F.col("__at.guest"), *order, *[F.col(c) for c in tie])
     return (sent.select("*", *[F.lead(c).over(w).alias(n) for c, n in columns.items()])
             .where("__at.guest = 0").drop("__at", "__bucket", "__before", "__first"))
