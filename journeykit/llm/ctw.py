@@ -95,6 +95,15 @@ def part_column(bits: int) -> Column:
     return F.shiftrightunsigned(nearest * F.lit(MIX), 32 - bits).bitwiseAND(F.lit(low_bits(bits))).cast("int")
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """8-byte numbers as eight planes of bytes, which compress well: the high ones are mostly runs."""
+    return numbers.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unplaned(data: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(kind)[:, 0]
+
+
 def count_grams(batches, depth: int, bits: int, most: int = 1 << 20):
     """Arrow batches (text, whether it teaches) to batches (part, grams, n):
     arrays of at most ``PACKED`` grams of a part and of their counts in
@@ -108,7 +117,7 @@ def count_grams(batches, depth: int, bits: int, most: int = 1 << 20):
         cuts = np.nonzero(np.diff(part))[0] + 1
         for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(part)]):
             for at in range(lo, hi, PACKED):
-                yield int(part[at]), grams[at:min(at + PACKED, hi)].tobytes(), n[at:min(at + PACKED, hi)].tobytes()
+                yield int(part[at]), planes(grams[at:min(at + PACKED, hi)]), planes(n[at:min(at + PACKED, hi)])
 
     def packed(held):
         rows = list(out(held))
@@ -141,7 +150,7 @@ def merge_grams(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarr
     held, size, most = [], 0, 1 << 20
     for batch in batches:
         for grams, n in zip(batch.column("grams").to_pylist(), batch.column("n").to_pylist()):
-            held.append((np.frombuffer(grams, np.uint64), np.frombuffer(n, np.int64)))
+            held.append((unplaned(grams, np.uint64), unplaned(n, np.int64)))
             size += len(held[-1][0])
         if size > 2 * most:
             held = [_sum_grams(held)]
