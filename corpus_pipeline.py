@@ -35,7 +35,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines of a source go from its texts; every document stays."""
-    return _columns(line_dedup.drop_boilerplate_lines(docs, max_ratio=0.1, min_pages=3), docs)
+    return _columns(line_dedup.drop_boilerplate_lines(docs, max_ratio=0.01, min_pages=3), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

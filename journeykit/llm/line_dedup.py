@@ -38,14 +38,15 @@ def boilerplate_lines(docs: DataFrame, text_col: str, site_col: str, max_ratio:
     return over.groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", max_ratio: float = 0.1,
+def drop_boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: str = "source", max_ratio: float = 0.01,
                            min_pages: int = 3) -> DataFrame:
     """``docs`` with the text's boilerplate lines dropped, and two columns more:
     ``n_lines`` and ``n_dropped`` (columns of those names are replaced).
 
     A line (text between newlines, compared as it is) is boilerplate on a site
     if more than ``max_ratio`` of the site's pages contain it, and at least
-    ``min_pages`` pages do. Every occurrence goes, also repeated ones within a
+    ``min_pages`` pages do: a line that one page in a hundred repeats was put
+    there by the site, and few pages may repeat one by chance. Every occurrence goes, also repeated ones within a
     page. Blank lines never count and stay. A null site is a site of its own.
     A null text stays null with no lines; an empty text has one line. No row
     goes: a text may become empty. An empty table gives an empty result.

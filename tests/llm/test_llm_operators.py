@@ -154,6 +154,16 @@ def test_lines_odd(spark, odd):
     assert line_dedup.drop_boilerplate_lines(docs.limit(0)).count() == 0
 
 
+def test_lines_of_one_page_in_fifty(spark):
+    """A line on 2 % of a site's pages is boilerplate, to the operator and to the pipeline; one on two pages is not."""
+    rows = [(i, f"own {i}\n" + ("advert" if i % 50 == 0 else "chance" if i in (1, 2) else f"more {i}"), "en", "x", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    stage = dict(corpus_pipeline.STAGES)["line_dedup"](spark, docs, SF_SMALL)
+    for out in (line_dedup.drop_boilerplate_lines(docs), stage):
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+        assert all(got[i] == (f"own {i}" if i % 50 == 0 else t) for i, t, *_ in rows)
+
+
 def _tuples(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     return {r["i"]: r["fp"] for r in order_minhash.add_fingerprint(df, "text", "fp").collect()}
