@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from journeykit.llm.storage import saved
 
+#: A run of up to 16 characters without white space, whole; of a longer run every 16 characters that follow each other.
+PIECE = (r"(?=((?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D]{1,16}+(?![^\\x20\\x09-\\x0D])|[^\\x20\\x09-\\x0D]{16}))"
+         r"(?:\\1(?![^\\x20\\x09-\\x0D])|[^\\x20\\x09-\\x0D])")
+
 #: A selected k-mer is one long: 39 bits of hash beside 24 bits of position.
 POSITION_BITS, HASH_BITS = 24, 39
 POSITION_MASK, HASH_MASK = (1 << POSITION_BITS) - 1, (1 << HASH_BITS) - 1
@@ -28,7 +32,9 @@ def add_fingerprint(df: DataFrame, text: str, out: str, kmer_words: int = 3, sel
     """``df`` with ``out``: the array of tuple hashes (longs below 2^32) of the
     text column ``text``.
 
-    Word pieces are runs of up to 16 characters without white space. A text
+    Word pieces are runs of up to 16 characters without white space; a longer
+    run has a piece of 16 at each of its characters that has so many left, so an
+    edit changes only the pieces that it lies in. A text
     with fewer pieces than a k-mer is one k-mer, fewer selected k-mers than a
     tuple are one tuple, no piece gives an empty array; null counts as empty.
     Positions past 2^24 pieces count as that position.
@@ -44,7 +50,7 @@ def add_fingerprint(df: DataFrame, text: str, out: str, kmer_words: int = 3, sel
 
     # A column that a lambda reads is read outside it as well: it is then
     # computed once a row, not once for each element.
-    df = step(df, "w", rf"regexp_extract_all(coalesce(`{text}`, ''), '[^\\x20\\x09-\\x0D]{{1,16}}', 0)")
+    df = step(df, "w", f"regexp_extract_all(coalesce(`{text}`, ''), '{PIECE}', 1)")
     df = step(df, "p", f"""
         CASE WHEN size(`{t}w`) >= {k} THEN sort_array(transform(sequence(0, size(`{t}w`) - {k}),
                i -> shiftleft(xxhash64({pieces}) & {HASH_MASK}L, {POSITION_BITS}) | least(i, {POSITION_MASK})))

@@ -182,6 +182,23 @@ def test_order_minhash(spark):
     assert got[9] != got[10]  # occurrences are numbered
 
 
+def test_order_minhash_unspaced(spark):
+    """An edit in a text without spaces leaves the k-mers it does not touch, beyond the BMP as well."""
+    rng = np.random.default_rng(9)
+    for first in (0x4E00, 0x20000):
+        text = "".join(chr(first + int(c)) for c in rng.integers(0, 3000, 6000))
+        edits = ["X" + text, text[:3000] + "X" + text[3000:], text[:3000] + text[3001:]]
+        got = _tuples(spark, [text, *edits])
+        assert all(len(set(got[0]) & set(got[i])) / 64 > 0.9 for i in (1, 2, 3))
+    wide = "".join(chr(0x20000 + i) for i in range(20))
+    texts = ["", " one  sixteencharacters sixteencharacter\x1c x\ny ", wide, "a" * 16, "a" * 17, "日本 " + wide[:16]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = df.select("i", F.expr(f"regexp_extract_all(text, '{order_minhash.PIECE}', 1)").alias("p")).collect()
+    for r in got:
+        runs = re.findall(r"[^\x20\x09-\x0D]+", texts[r["i"]])
+        assert r["p"] == [w[k:k + 16] for w in runs for k in range(max(1, len(w) - 15))]
+
+
 def test_order_minhash_next(spark):
     ids = [*range(0, 40, 2), 101, 100, 100, None]
     df = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "doc_id long, text string")
