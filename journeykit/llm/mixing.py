@@ -1,11 +1,11 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
-The mix is dealt in blocks of equal numbers of tokens (here: words). Sources
-get blocks by the highest quotients target / (2 k + 1), then each source's
-blocks go to its shards in the same way, so every shard has an integer quota.
+The mix is dealt in tokens (here: words). Sources get tokens by the highest
+quotients target / (2 k + 1), then each source's tokens go to its shards in the
+same way, so every shard has an integer quota, however small its source.
 Within a shard the documents lie end to end in a seeded order, as a ring; the
-quota's whole rounds take everything, and the blocks left are taken from a
-seeded block on. So a quota is met to the token, whole documents are taken but
+quota's whole rounds take everything, and the tokens left are taken from a
+seeded block of ``block`` tokens on. So a quota is met to the token, whole documents are taken but
 for two at the ends of the cut, and nothing depends on partitions.
 """
 
@@ -97,22 +97,21 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
               for i, r in enumerate(found)]
     sizes = [r["size"] for r in found]
     targets = capped_targets(sizes, shares) if sum(shares) else [0.0] * len(sizes)
-    blocks = sainte_lague(targets, round(sum(targets) / block), [-(-MAX_REPEATS * s // block) for s in sizes])
+    dealt = sainte_lague(targets, round(sum(targets)), [MAX_REPEATS * s for s in sizes])
     plan = spark.createDataFrame(
-        [(r["src"], r["size"], t, b, max(1, -(-r["n"] // shard_docs))) for r, t, b in zip(found, targets, blocks)],
-        "src string, source_size long, target double, blocks long, shards int")
+        [(r["src"], r["size"], t, d, max(1, -(-r["n"] // shard_docs))) for r, t, d in zip(found, targets, dealt)],
+        "src string, source_size long, target double, dealt long, shards int")
     rows = (rows.join(small_side(plan, len(found)), "src")
             .withColumn("shard", F.pmod(F.xxhash64("h"), F.col("shards")).cast("int")))
     quotas = saved(
-        rows.groupBy("src", "shard").agg(F.sum("size").alias("ring"), F.first("blocks").alias("blocks"))
-        .groupBy("src").applyInPandas(
-            lambda part: _shard_quotas(part, block), "src string, shard int, ring long, quota long"), "quotas")
+        rows.groupBy("src", "shard").agg(F.sum("size").alias("ring"), F.first("dealt").alias("dealt"))
+        .groupBy("src").applyInPandas(_shard_quotas, "src string, shard int, ring long, quota long"), "quotas")
     rows = rows.join(small_side(quotas, quotas.count()), ["src", "shard"])
 
     ring = F.greatest("ring", F.lit(1))
     w = Window.partitionBy("src", "shard").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.select("doc", "size", "source_size", "target", F.coalesce(F.sum("size").over(w), F.lit(0)).alias("at"),
-                       ring.alias("ring"), F.least(F.col("quota") * block, F.col("ring") * MAX_REPEATS).alias("tokens"),
+                       ring.alias("ring"), F.least(F.col("quota"), F.col("ring") * MAX_REPEATS).alias("tokens"),
                        F.pmod(F.xxhash64(F.lit(seed), "src", "shard"), F.ceil(ring / block)).alias("start"))
     # The cut begins at a block's first token and runs for what the whole rounds leave.
     rows = rows.select("doc", "size", "source_size", "target", "ring", "at",
@@ -132,12 +131,12 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                        begin.cast("bigint").alias("cut_from"), (straight + wrapped).cast("bigint").alias("cut_size"))
 
 
-def _shard_quotas(part: pd.DataFrame, block: int) -> pd.DataFrame:
-    """A source's blocks over its shards (one row a shard)."""
+def _shard_quotas(part: pd.DataFrame) -> pd.DataFrame:
+    """A source's tokens over its shards (one row a shard)."""
     part = part.sort_values("shard")
     rings = [int(x) for x in part["ring"]]
-    caps = [-(-MAX_REPEATS * x // block) for x in rings]
-    return part[["src", "shard", "ring"]].assign(quota=sainte_lague(rings, int(part["blocks"].iloc[0]), caps))
+    caps = [MAX_REPEATS * x for x in rings]
+    return part[["src", "shard", "ring"]].assign(quota=sainte_lague(rings, int(part["dealt"].iloc[0]), caps))
 
 
 def mixed_documents(mixed: DataFrame, text_col: str = "text") -> DataFrame:

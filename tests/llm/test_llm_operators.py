@@ -302,6 +302,17 @@ def test_mixing(spark, odd):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
+def test_mixing_small_sources(spark):
+    """Sources of a few words are taken near their target, as the large ones are."""
+    rows = [(i, "w " * 40, "en", f"big{i % 3}", 1) for i in range(120)]
+    rows += [(1000 + i, "a b", "en", f"tiny{i % 6}", 1) for i in range(12)] + [(2000, "one", "en", "lone", 1)]
+    mixed = mixing.mix_sources(spark.createDataFrame(rows, DOCS))
+    got = mixed.groupBy("source").agg(F.max("target").alias("t"), F.sum("taken").alias("k")).collect()
+    assert len(got) == 10 and all(r["k"] > 0 and abs(r["k"] - r["t"]) <= 1 for r in got)
+    kept = mixing.mixed_documents(mixed)
+    assert kept.select("source").distinct().count() == 10
+
+
 def _kt(zeros, ones):
     p, a, b = 1.0, 0, 0
     for bit in [0] * zeros + [1] * ones:
