@@ -111,8 +111,9 @@ def learn_filters(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
                   relative: float = 0.1, slots: int = 1 << 20, max_languages: int = 1024) -> NgramFilters:
     """Fit the filters on the labelled rows where ``train`` holds.
 
-    Of a language with more than ``max_docs`` labelled rows a sample of about
-    that many is read, chosen by a hash of the text. An n-gram enters a
+    Equal texts of a language count once. Of a language with more than
+    ``max_docs`` distinct texts a sample of about that many is read, chosen by
+    a hash of the text. An n-gram enters a
     language's filter if it makes up at least ``min_rate`` of that language's
     n-grams (so a filter holds at most 1 / ``min_rate`` of each order) and at
     least ``relative`` of its largest rate in any language. The filters are the
@@ -121,8 +122,10 @@ def learn_filters(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = (rows if train is None else rows.where(train)).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    copies = rows.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("n"))
+    sizes = (copies.groupBy("lang").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("texts"))
+             .limit(max_languages + 1).collect())
     if len(sizes) > max_languages:
         raise ValueError(f"more than {max_languages} languages; raise max_languages")
     found = sorted(sizes, key=lambda r: (-r["n"], r["lang"]))  # ties go to the more frequent
@@ -131,10 +134,11 @@ def learn_filters(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     if found:
         spark = docs.sparkSession
         share = spark.createDataFrame(
-            [(r["lang"], i, int(min(1.0, max_docs / r["n"]) * 1_000_000)) for i, r in enumerate(found)],
+            [(r["lang"], i, int(min(1.0, max_docs / r["texts"]) * 1_000_000)) for i, r in enumerate(found)],
             "lang string, number int, share int")
         sample = (rows.join(F.broadcast(share), "lang")
-                  .where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.col("share")).select("number", "text"))
+                  .where(F.pmod("h", F.lit(1_000_000)) < F.col("share"))
+                  .groupBy("number", "h").agg(F.first("text").alias("text")).select("number", "text"))
         grams = (sample.mapInArrow(lambda batches: count_ngrams(batches, orders), "number int, gram long, n long")
                  .groupBy("number", "gram").agg(F.sum("n").alias("n")))
         total = grams.groupBy("number").agg(F.sum("n").alias("total"))

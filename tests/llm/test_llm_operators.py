@@ -133,6 +133,32 @@ def test_language(spark, odd):
     assert np.mean([r["lang_pred"] == r["lang"] for r in real]) > 0.97
 
 
+def test_language_sample_of_distinct_texts(spark, monkeypatch):
+    """A hot copy is read once, within the bound, and does not crowd out the n-grams of the other texts."""
+    words = ["".join(chr(97 + (7 * i + 11 * j + i * j) % 26) for j in range(6)) for i in range(200)]
+    hot = "zzyzx qqvqq " * 40
+    rows = [(f"{w} {v}", "en") for w in words[:20] for v in words[:20]] + [(hot, "en")] * 400
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    asked = spark.createDataFrame([(" ".join(words[:20]),)], "text string")
+    seen = []
+    for docs in (docs, docs.distinct()):
+        filters = langid.learn_filters(docs, min_rate=2e-3)
+        seen.append((filters.slots.tolist(), langid.identify_language(asked, filters).first()["score"]))
+    assert seen[0] == seen[1] and seen[0][1] > 0.5
+    # All hashes of a language's sample are below the share: with half the rows copies, the share is of distinct texts.
+    read = spark.sparkContext.accumulator(0)
+    count = langid.count_ngrams
+
+    def counted(batches, orders):
+        held = list(batches)
+        read.add(sum(b.num_rows for b in held))
+        return count(held, orders)
+
+    monkeypatch.setattr(langid, "count_ngrams", counted)
+    langid.learn_filters(spark.createDataFrame(rows + [(f"{w} x", "en") for w in words] * 3, "text string, lang string"), max_docs=100)
+    assert 0 < read.value <= 150
+
+
 def test_many_languages(spark):
     rng = np.random.default_rng(2)
     words = {f"l{i:02d}": ["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(20)] for i in range(70)}
