@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from journeykit.llm import (arc_warc, ctw, embedding_dedup, langid, line_dedup, mixing, order_minhash, sharding, simhash,
-                            sp_bpe)
+from journeykit.llm import (arc_warc, ctw, embedding_dedup, langid, lexical_search, line_dedup, mixing, order_minhash,
+                            sharding, simhash, sp_bpe, spelling, toxicity)
 from journeykit.llm.storage import id_bucket
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,6 +107,25 @@ def op10_stratified_shards(spark, sf_dir):
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op11_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = id_bucket("doc_id", 5) == 0
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), rows=~held_out)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(F.col("text"), model, spark).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), min_length=5, min_count=3, ratio=2, every=97)
+
+
+@query
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 LLM_ORACLE_SQL = {
     "op1_embedding_near_dedup": """
         WITH RECURSIVE v AS (
@@ -145,4 +164,23 @@ LLM_ORACLE_SQL = {
         SELECT page_id, n AS payload_bytes, digest AS payload_digest,
                CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM w""",
+    "op13_lexical_search": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS terms FROM documents),
+        total AS (SELECT count(*) FILTER (len(terms) > 0) AS N, sum(len(terms))::BIGINT AS L FROM d),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+        weight AS (SELECT term, floor(1000 * ln((2 * N + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+                   FROM tf, total GROUP BY term, N),
+        item AS (
+            SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                       'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark),
+        m AS (SELECT doc_id, 25 + (75 * len(terms) * N) // L AS m FROM d, total WHERE len(terms) > 0),
+        scored AS (
+            SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+            FROM (SELECT item_id, term, count(*) AS times FROM item GROUP BY ALL)
+            JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+                   FROM scored WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
