@@ -79,25 +79,28 @@ def word_grams(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def text_bag(text: str | None, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
     """A text's distinct buckets, how often it has each, and its number of n-grams."""
-    counts = np.zeros(1 << bits, np.int64)
+    held = np.empty(0, np.int32), np.empty(0, np.int64)
     for words in words_of(text):
         if words:
-            counts += np.bincount(word_grams(words, bits)[1], minlength=1 << bits)
-    bucket = np.nonzero(counts)[0]
-    return bucket.astype(np.int32), counts[bucket].astype(np.int32), int(counts.sum())
+            own, times = np.unique(word_grams(words, bits)[1], return_counts=True)
+            bucket, at = np.unique(np.concatenate([held[0], own]), return_inverse=True)
+            held = bucket, np.bincount(at, np.concatenate([held[1], times])).astype(np.int64)
+    return *held, int(held[1].sum())
 
 
 # ---- training -----------------------------------------------------------------
 
 def train(texts: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray, size: int = 8, rounds: int = 60,
-          steps: tuple[float, float] = (20.0, 0.1), momentum: float = 0.9, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+          patience: int = 15, steps: tuple[float, float] = (10.0, 0.05), momentum: float = 0.9,
+          seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
     """``(buckets, logit of each, bias)``, class 1 less class 0.
 
     ``texts`` are the buckets of each text, ``weights`` their weighted shares
     of the text's n-grams. Embeddings (``size`` numbers a bucket) and the softmax over
     the two classes take joint steps over all texts, with momentum; a step's
     length is ``steps`` over the gradient's largest norm so far. Every fifth
-    text is kept back, and the round that codes these best counts."""
+    text is kept back, and the round that codes these best counts; after
+    ``patience`` rounds without a better one it ends."""
     n = len(texts)
     prior = math.log((labels.sum() + 0.5) / (n - labels.sum() + 0.5))
     buckets, at = np.unique(np.concatenate(texts), return_inverse=True) if n else (np.empty(0, np.int32), np.empty(0, int))
@@ -113,13 +116,15 @@ def train(texts: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray
     bias = np.array([0.0, prior])
     moving = [np.zeros_like(embedding), np.zeros_like(softmax), np.zeros(2)]
     norms = [0.0, 0.0]
-    best = math.inf, None, prior
-    for _ in range(rounds):
+    best, since = (math.inf, None, prior), 0
+    for at_round in range(rounds):
         logit = embedding @ (softmax[:, 1] - softmax[:, 0])
         margin = np.bincount(own, share * logit[at], minlength=n) + bias[1] - bias[0]
         loss = np.logaddexp(0, np.where(labels == 1, -margin, margin))
         if (held := loss[kept_back if kept_back.any() else slice(None)].mean()) < best[0]:
-            best = held, logit, bias[1] - bias[0]
+            best, since = (held, logit, bias[1] - bias[0]), at_round
+        elif at_round - since >= patience:
+            break
         error = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels) * part
         per_bucket = np.bincount(at, share * error[own], minlength=len(buckets))
         slopes = [np.outer(per_bucket, softmax[:, 1] - softmax[:, 0]),
@@ -137,9 +142,10 @@ def _sampled_bags(bits: int):
         for batch in batches:
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 bucket, count, n = text_bag(text, bits)
+                ends = pa.array([0, len(bucket)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([label], pa.int32()), pa.array([bucket.tolist()], pa.list_(pa.int32())),
-                     pa.array([(count / max(n, 1)).tolist()], pa.list_(pa.float64()))], ["label", "bucket", "share"])
+                    [pa.array([label], pa.int32()), pa.ListArray.from_arrays(ends, pa.array(bucket)),
+                     pa.ListArray.from_arrays(ends, pa.array((count / max(n, 1)).astype(np.float32)))], ["label", "bucket", "share"])
     return run
 
 
@@ -169,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_i
     texts = (docs.where(rows).select(text.alias("text"), F.xxhash64(text).alias("hash"))
              .join(F.broadcast(sample), "hash").groupBy("hash", "label").agg(F.first("text").alias("text")))
     bags = saved(texts.select("hash", "label", "text").select("label", "text").mapInArrow(
-        _sampled_bags(bits), "label int, bucket array<int>, share array<double>"), "label-bags")
+        _sampled_bags(bits), "label int, bucket array<int>, share array<float>"), "label-bags")
     n = bags.count()
     least, most = max(least_docs, math.ceil(least_share * n)), max(least_docs, int(most_share * n))
     used = (bags.select(F.explode("bucket").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("docs"))
@@ -181,11 +187,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_i
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for label, bucket, share in zip(*[c.to_pylist() for c in batch.columns]):
-                bucket, share = np.array(bucket, np.int32), np.array(share, np.float32)
-                share = share * shared.value[bucket]
+            for label, bucket, share in zip(*batch.columns):
+                bucket = bucket.values.to_numpy()
+                share = share.values.to_numpy() * shared.value[bucket]
                 some = share > 0
-                rows.append((label, bucket[some].tobytes(), share[some].tobytes()))
+                rows.append((label.as_py(), bucket[some].tobytes(), share[some].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))],
                                              ["label", "bucket", "share"])
 
