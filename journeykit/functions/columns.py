@@ -31,10 +31,13 @@ def first_by_order(value: str | Column, *order: str) -> Column:
     return F.min_by(v, F.struct(*[F.col(c) for c in order]))
 
 
-def majority_value(value: str, over: WindowSpec | None = None) -> Column:
+def majority_value(value: str, over: WindowSpec | None = None, where: Column | None = None) -> Column:
     """Most frequent value with NULL counted as a value; ties go to the
-    smallest value, NULL first. ``mode`` keeps a bounded value→count map per
-    group and merges map-side, so a hot group is pre-aggregated. With
-    ``over`` it is evaluated as a window aggregate."""
-    agg = F.mode(F.struct(F.col(value).alias("v")), deterministic=True)
-    return (agg if over is None else agg.over(over))["v"]
+    smallest value, NULL first. ``mode`` keeps a value→count map per group and
+    merges map-side, so a hot group is pre-aggregated. With ``over`` it is
+    evaluated as a window aggregate; only rows satisfying ``where`` count."""
+    # As text, NULL the empty one and any other behind a letter: ``mode`` finds
+    # a struct that was spilled and one that was not different, though equal.
+    held = F.coalesce(F.concat(F.lit("v"), F.col(value).cast("string")), F.lit(""))
+    agg = F.mode(held if where is None else F.when(where, held), deterministic=True)
+    return F.substr(F.nullif(agg if over is None else agg.over(over), F.lit("")), F.lit(2))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from journeykit.operators.sequence_facts import sequence_session_facts
+from journeykit.operators.sequence_facts import sequence_session_facts, with_session_facts
 from journeykit.operators.url_params import URL_PARAM_COLUMNS, url_params
 
 ENRICH_FACT_COLUMNS = [
@@ -22,16 +22,26 @@ ORGANIC = "organic"
 CPC = "cpc"
 
 
+def events_with_facts(navigation: DataFrame) -> DataFrame:
+    """Events with the sequencing facts of their session (rows with a NULL id
+    have NULL facts).
+
+    The facts are windows over the navigation step's own partitioning and sort:
+    one scan, one exchange, no join. The rows of hot sessions, which
+    ``navigation`` marks, are joined with their facts instead: these are built
+    per chunk, and adaptive execution splits a hot session's rows."""
+    facts = ENRICH_FACT_COLUMNS
+    if "_hot" not in navigation.columns:
+        return with_session_facts(navigation, facts)
+    cold = with_session_facts(navigation.where(~F.col("_hot")), facts)
+    hot = navigation.where("_hot")
+    joined = hot.join(sequence_session_facts(hot).select("session_id", *facts), "session_id", "left")
+    return cold.unionByName(joined.select(*cold.columns))
+
+
 def enriched_events(navigation: DataFrame) -> DataFrame:
-    """C7: URL-parameter rows left-joined with the sequencing session facts on
-    ``session_id`` (rows with a NULL id keep NULL facts).
-
-    The facts are built once per session, so the work is linear in a session's
-    length. Both sides are partitioned by session already, and AQE's skew-join
-    handling splits a hot session's rows over several tasks."""
-    facts = sequence_session_facts(navigation).select("session_id", *ENRICH_FACT_COLUMNS)
-    return (url_params(navigation).select(*URL_PARAM_COLUMNS)
-            .join(facts, "session_id", "left").select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS))
+    """C7: one row per event and URL parameter with the session's facts."""
+    return url_params(events_with_facts(navigation)).select(*URL_PARAM_COLUMNS, *ENRICH_FACT_COLUMNS)
 
 
 def _flag(cond: F.Column) -> F.Column:

@@ -29,6 +29,20 @@ FLAT_COLUMNS = [
 ]
 
 
+def session_id() -> Column:
+    """The session id of a visit, NULL if one of its parts is."""
+    return F.concat(F.col("fullVisitorId"), F.lit("-"), F.col("visitId").cast("string"))
+
+
+def kept_hits(hit_filter: Callable[[Column], Column] | None = None) -> Column:
+    """The hits of a visit that become events (and satisfy ``hit_filter``)."""
+    def keep(h: Column) -> Column:
+        cond = h["type"].isin(*KEPT_HIT_TYPES)
+        return cond if hit_filter is None else cond & hit_filter(h)
+
+    return F.filter("hits", keep)
+
+
 def preprocess_hits(sessions: DataFrame, date_from: str | None = None,
                     date_to: str | None = None,
                     hit_filter: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -46,17 +60,13 @@ def preprocess_hits(sessions: DataFrame, date_from: str | None = None,
     if date_to is not None:
         df = df.filter(F.col("date") <= F.lit(date_to))
 
-    def keep(h: Column) -> Column:
-        cond = h["type"].isin(*KEPT_HIT_TYPES)
-        return cond if hit_filter is None else cond & hit_filter(h)
-
-    kept = F.filter("hits", keep)
+    kept = kept_hits(hit_filter)
     source = F.col("trafficSource.source")
     # Visit-level columns (session id, grouped source, ...) are computed once
     # per visit row in their own projection, before the hits are generated:
     # in one select with ``explode`` the analyzer would evaluate them per hit.
     df = df.select(
-        F.concat(F.col("fullVisitorId"), F.lit("-"), F.col("visitId").cast("string")).alias("_session_id"),
+        session_id().alias("_session_id"),
         (F.col("visitStartTime") * 1000).alias("_start_ms"),
         F.col("device.deviceCategory").alias("_device_type"),
         source.alias("_source"),

@@ -32,7 +32,7 @@ NAVIGATION_COLUMNS = [
 
 
 def navigation_context(flat: DataFrame, plan: ChunkPlan | None = None,
-                       keep_chunk: bool = False) -> DataFrame:
+                       keep_chunk: bool = False, keep_hit: bool = False) -> DataFrame:
     """Per-event navigation context on refresh-free events.
 
     ``event_seq_num`` is replaced by the 1-based position in the session
@@ -40,6 +40,8 @@ def navigation_context(flat: DataFrame, plan: ChunkPlan | None = None,
     event is dropped when its URL equals the previous one, or when either URL
     is NULL (NULL comparison), but not when it is the first of its session.
     ``plan`` defaults to a fresh chunk plan of ``flat`` (one small job).
+    ``keep_hit`` keeps the raw hit number as ``_hit``: with the time it is the
+    order in which the rows are left.
     """
     plan = plan if plan is not None else session_plan(flat)
     ctx = ordered_context(
@@ -71,4 +73,6 @@ def navigation_context(flat: DataFrame, plan: ChunkPlan | None = None,
         else:
             cols.append(F.col(c))
     extra = ["_chunk", "_hot"] if keep_chunk else []
+    if keep_hit:
+        extra.append(F.col("event_seq_num").alias("_hit"))
     return ctx.filter(prev_or_missing != F.col("url")).select(*cols, *extra)

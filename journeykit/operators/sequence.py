@@ -5,14 +5,16 @@ A plain ``Window.partitionBy(session)`` sends a whole session to one task.
 When one session (a crawler, a stuck client) holds a large share of all
 rows, that task holds a large share of the job. Here:
 
-1. ``plan_chunks`` counts rows per group (a map-side-combined aggregate) and
-   keeps the groups above ``rows_per_chunk`` — at most N / rows_per_chunk of
-   them. For those it takes approximate quantiles of the first order column
-   (``percentile_approx`` also merges map-side) as chunk boundaries, and
-   within a block of one equal (or NULL) value above the limit those of the
-   second. The small results are checkpointed into the shared checkpoint
-   folder. Their size is measured before they are broadcast; beyond the limit
-   they are joined by a shuffle, and rows are dealt by (group, chunk) after it.
+1. ``plan_chunks`` counts rows per group (a map-side-combined aggregate; a
+   manifest of sizes or a saved layout may stand in for it) and keeps the groups
+   above ``rows_per_chunk`` — at most N / rows_per_chunk of them. Of those it
+   samples the first two order columns, orders the sample by Spark's range
+   partitioning and takes every k-th sampled position as a chunk boundary, so a
+   block of one equal (or NULL) first value is cut too. Boundaries are rows until
+   they are gathered per group, one for every ``rows_per_chunk`` rows. The small
+   results are checkpointed into the shared checkpoint folder. Their size is
+   measured before they are broadcast; beyond the limit they are joined by a
+   shuffle, and rows are dealt by (group, chunk) after it.
 2. ``ordered_context`` windows each (group, chunk) separately — the hot group
    is spread over many tasks — then repairs what crosses chunk edges: row
    offsets (prefix sums of chunk sizes), lag / lead at chunk edges (a window
@@ -33,7 +35,11 @@ from pyspark.sql import functions as F
 from journeykit.session import ensure_checkpoint_dir
 
 DEFAULT_ROWS_PER_CHUNK = 1_000_000
-QUANTILE_ACCURACY = 10_000
+#: Sampled rows for each chunk of a hot group.
+SAMPLES_PER_CHUNK = 64
+#: Steps of the binary search in an array of boundaries (below 2 ** 16 entries,
+#: that is 2 ** 32 chunks a group, as boundaries are kept in two levels).
+SEARCH_STEPS = [1 << i for i in range(15, -1, -1)]
 MAX_BROADCAST_BYTES = 64 << 20
 
 
@@ -41,15 +47,17 @@ MAX_BROADCAST_BYTES = 64 << 20
 class ChunkPlan:
     keys: list[str]
     order: list[str]
-    hot: DataFrame | None = None      # keys, _n, _bounds, _coarse, _step (checkpointed)
+    hot: DataFrame | None = None      # keys, _n, _coarse, _step (checkpointed)
+    pages: DataFrame | None = None    # keys, _page, _bounds (checkpointed)
     n_hot: int = 0
     n_chunks: int = 0
     rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK
     small: bool = True                # the boundaries may be broadcast
+    stored: bool = False              # the rows are of hot groups and carry their ``_chunk``
 
     @property
     def active(self) -> bool:
-        return self.hot is not None
+        return self.hot is not None or self.stored
 
 
 def is_small(rows: DataFrame, copies: int = 1) -> bool:
@@ -75,83 +83,81 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(other, same, how).drop(*[f"_key_{k}" for k in keys])
 
 
+def ranked_in_groups(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``_rank``, the position in their group from 0, and
+    ``_size``, the group's rows. A group may be of any size: rows are put in
+    order by range partitioning, numbered within each range, and shifted by the
+    rows of the group in the ranges before."""
+    ranges = (rows.repartitionByRange(*[F.asc_nulls_first(c) for c in (*keys, *order)])
+              .withColumn("_range", F.spark_partition_id()).checkpoint(eager=True))
+    at = F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)) - 1
+    sizes = ranges.groupBy("_range", *keys).agg(F.count(F.lit(1)).alias("_rows"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_range", *keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"),
+                          F.sum("_rows").over(group).alias("_size"))
+    numbered = null_safe_join(ranges.withColumn("_at", at), shifts, ["_range", *keys])
+    return numbered.select(*rows.columns, (F.col("_at") + F.col("_shift")).alias("_rank"), "_size")
+
+
+def group_sizes(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def plan_chunks(df: DataFrame, keys: list[str], order: list[str],
-                rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> ChunkPlan:
+                rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK, sizes: DataFrame | None = None) -> ChunkPlan:
     """Find groups larger than ``rows_per_chunk`` and their chunk boundaries.
 
-    One aggregate pass counts rows per group and checkpoints the groups above
-    the limit (a NULL key is a group like any other); only when there are some,
-    a second takes quantiles of the first order column over their rows, and a
-    third quantiles of the second order column over their blocks of one equal
-    or NULL value above the limit. All results are small and go to the shared
-    checkpoint folder. The same passes run whatever the input's size. The
+    One aggregate pass counts rows per group (a NULL key is a group like any
+    other), unless ``sizes`` (keys, ``_n``) tells them: it holds every group
+    above the limit, and its counts may be too large. Only when there are
+    groups above the limit, a second pass samples their rows by a hash of key
+    and order values. The same passes run whatever the input's size. The
     returned plan is reused by every window and aggregate over the same rows.
-    The first two order columns are numbers or times; only rows equal in both
-    are sure to share a chunk."""
+    Only rows equal in the first two order columns are sure to share a chunk."""
     plan = ChunkPlan(list(keys), list(order), rows_per_chunk=rows_per_chunk)
     ensure_checkpoint_dir(df.sparkSession)
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > F.lit(rows_per_chunk)).checkpoint(eager=True))
+    hot = (group_sizes(df, keys) if sizes is None else sizes).where(F.col("_n") > F.lit(rows_per_chunk))
     # The usual answer (no hot group) leaves the plain window plan.
-    n_hot, largest = hot.agg(F.count(F.lit(1)), F.max("_n")).first()
-    if not n_hot:
+    plan.n_hot = hot.agg(F.count(F.lit(1))).first()[0]
+    if not plan.n_hot:
         return plan
-    # as many quantiles as the largest group has chunks, twice over
-    q = 2 * -(-largest // rows_per_chunk)
-    fractions = [i / q for i in range(1, q)]
-
-    def quantiles(c: str) -> Column:
-        return F.percentile_approx(c, fractions, max(QUANTILE_ACCURACY, 10 * q))
-
-    def boundaries(points: str, n: str) -> Column:
-        """The j-th of n_chunks - 1 boundaries is quantile floor(j * q / n_chunks)."""
-        n_chunks = F.ceil(F.col(n) / F.lit(rows_per_chunk)).cast("int")
-        picks = F.transform(F.sequence(F.lit(1), n_chunks - 1),
-                            lambda j: F.get(F.col(points), (j * F.lit(q) / n_chunks).cast("int") - 1))
-        return F.filter(picks, lambda b: b.isNotNull())
-
-    first, second = order[0], order[1] if len(order) > 1 else None
-    rows = null_safe_join(df, hinted(hot.select(*keys), is_small(hot)), keys, "left_semi")
-    points = (rows.groupBy(*keys)
-              .agg(quantiles(first).alias("_q"), F.count_if(F.col(first).isNull()).alias("_nulls"))
-              .checkpoint(eager=True))
-    types = {c: df.schema[c].dataType for c in order[:2]}
-    second_type = types[second] if second else "int"
-    found = null_safe_join(points, hot, keys).select(*keys, "_n", F.transform(
-        boundaries("_q", "_n"),
-        lambda b: F.struct(b.alias("t"), F.lit(None).cast(second_type).alias("s"))).alias("_bounds"))
-    if second:
-        # a value above the limit fills the space between two quantiles
-        repeated = (points.select(*keys, F.explode("_q").alias("_value")).groupBy(*keys, "_value")
-                    .agg(F.count(F.lit(1)).alias("_times")).where("_times > 1").select(*keys, "_value")
-                    .unionByName(points.where(F.col("_nulls") > rows_per_chunk)
-                                 .select(*keys, F.lit(None).cast(types[first]).alias("_value")))
-                    .checkpoint(eager=True))
-        blocks = (null_safe_join(rows.withColumn("_value", F.col(first)), hinted(repeated, is_small(repeated)),
-                                 [*keys, "_value"], "left_semi")
-                  .groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_bn"), quantiles(second).alias("_bq"))
-                  .where(F.col("_bn") > rows_per_chunk))
-        within = blocks.select(*keys, F.explode(boundaries("_bq", "_bn")).alias("_s"), "_value")
-        more = within.groupBy(*keys).agg(F.collect_list(F.struct(
-            F.col("_value").alias("t"), F.col("_s").alias("s"))).alias("_more"))
-        found = null_safe_join(found, more, keys, "left").select(
-            *keys, "_n", F.concat("_bounds", F.coalesce("_more", F.array().cast(found.schema["_bounds"].dataType)))
-            .alias("_bounds"))
-    # every _step-th boundary is tried first, then the ones after it
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("_bounds")))).cast("int")
-    found = found.select(*keys, "_n", F.sort_array(F.array_distinct("_bounds")).alias("_bounds"))
-    found = found.select("*", step.alias("_step"))
-    plan.hot = found.select("*", F.filter("_bounds", lambda b, i: i % F.col("_step") == 0).alias("_coarse")).checkpoint(
-        eager=True)
-    plan.n_hot = n_hot
-    plan.n_chunks = int(plan.hot.agg(F.sum(F.size("_bounds") + 1)).first()[0] or 0)
-    plan.small = is_small(plan.hot)
+    hot = hot.select(*keys, "_n").checkpoint(eager=True)
+    second = F.col(order[1]) if len(order) > 1 else F.lit(None).cast("int")
+    points = df.select(*keys, F.col(order[0]).alias("_t"), second.alias("_s"))
+    rows = null_safe_join(points, hinted(hot, is_small(hot)), keys)
+    if rows_per_chunk > SAMPLES_PER_CHUNK:
+        drawn = F.pmod(F.xxhash64(*keys, "_t", "_s"), F.lit(rows_per_chunk)) < SAMPLES_PER_CHUNK
+        rows = rows.where(drawn)
+    ranked = ranked_in_groups(rows, keys, ["_t", "_s"])
+    n_chunks = F.ceil(F.col("_n") / F.lit(rows_per_chunk))
+
+    def chunk_at(rank: Column) -> Column:
+        return F.floor(rank * n_chunks / F.col("_size"))
+
+    cuts = ranked.where((F.col("_rank") > 0) & (chunk_at(F.col("_rank")) > chunk_at(F.col("_rank") - 1)))
+    bounds = cuts.groupBy(*keys).agg(F.sort_array(F.collect_set(
+        F.struct(F.col("_t").alias("t"), F.col("_s").alias("s")))).alias("_found"))
+    # A row carries what it is looked up in, so boundaries are kept in pages of
+    # about the square root of their number, and only a page's first one beside the group.
+    size = F.size("_found")
+    step = F.greatest(F.lit(1), F.ceil(F.sqrt(size))).cast("int")
+    cut = bounds.where(size > 0).select(*keys, "_found", step.alias("_step"))
+    starts = F.sequence(F.lit(0), F.ceil(size / F.col("_step")).cast("int") - 1)
+    plan.pages = (cut.select(*keys, "_found", "_step", F.explode(starts).alias("_page"))
+                  .select(*keys, "_page", F.slice("_found", F.col("_page") * F.col("_step") + 1, F.col("_step")).alias("_bounds"))
+                  .checkpoint(eager=True))
+    coarse = cut.select(*keys, "_step", F.filter("_found", lambda b, i: i % F.col("_step") == 0).alias("_coarse"))
+    plan.hot = null_safe_join(hot, coarse, keys, "left").checkpoint(eager=True)
+    plan.n_chunks = int(plan.pages.agg(F.coalesce(F.sum(F.size("_bounds")), F.lit(0))).first()[0]) + plan.n_hot
+    plan.small = is_small(plan.hot) and is_small(plan.pages)
     return plan
 
 
-def session_plan(flat: DataFrame, rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK) -> ChunkPlan:
+def session_plan(flat: DataFrame, rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK,
+                 sizes: DataFrame | None = None) -> ChunkPlan:
     """Chunk plan of flat events per session, in event order."""
-    return plan_chunks(flat, ["session_id"], ["trace_time", "event_seq_num"], rows_per_chunk)
+    return plan_chunks(flat, ["session_id"], ["trace_time", "event_seq_num"], rows_per_chunk, sizes)
 
 
 def no_chunks(keys: list[str], order: list[str]) -> ChunkPlan:
@@ -159,22 +165,37 @@ def no_chunks(keys: list[str], order: list[str]) -> ChunkPlan:
     return ChunkPlan(list(keys), list(order))
 
 
+def stored_chunks(keys: list[str], order: list[str]) -> ChunkPlan:
+    """The plan of rows that are all of hot groups and carry the ``_chunk`` they were saved with."""
+    return ChunkPlan(list(keys), list(order), stored=True)
+
+
+def bounds_before(bounds: Column, at: Column) -> Column:
+    """How many of the ascending ``bounds`` are at or before ``at``, by binary search."""
+    def further(found: Column, step: Column) -> Column:
+        return F.when((found + step <= F.size(bounds)) & (F.get(bounds, found + step - 1) <= at), found + step).otherwise(found)
+    return F.aggregate(F.array(*[F.lit(s) for s in SEARCH_STEPS]), F.lit(0), further)
+
+
 def with_chunks(df: DataFrame, plan: ChunkPlan) -> DataFrame:
     """Add ``_chunk`` (0 outside hot groups) and ``_hot``.
 
     Chunks follow the first two order columns (NULL first), so chunk order is
     row order."""
+    if plan.stored:
+        return df.select("*", F.lit(True).alias("_hot"))
     if not plan.active:
         return df.select("*", F.lit(0).alias("_chunk"), F.lit(False).alias("_hot"))
-    side = hinted(plan.hot.select(*plan.keys, "_bounds", "_coarse", "_step"), plan.small)
-    joined = null_safe_join(df, side, plan.keys, "left")
+    keys, names = plan.keys, df.columns
     second = F.col(plan.order[1]) if len(plan.order) > 1 else F.lit(None).cast("int")
     at = F.struct(F.col(plan.order[0]).alias("t"), second.alias("s"))
-    tried = F.size(F.filter("_coarse", lambda b: b <= at))
-    base = (F.greatest(tried, F.lit(1)) - 1) * F.col("_step")
-    chunk = F.when(F.col("_bounds").isNull(), F.lit(0)).otherwise(
-        base + F.size(F.filter(F.slice("_bounds", base + 1, F.col("_step")), lambda b: b <= at)))
-    out = joined.select(*df.columns, chunk.alias("_chunk"), F.col("_bounds").isNotNull().alias("_hot"))
+    side = hinted(plan.hot.select(*keys, F.lit(True).alias("_hot"), "_coarse", "_step"), plan.small)
+    page = F.greatest(bounds_before(F.col("_coarse"), at), F.lit(1)) - 1
+    paged = null_safe_join(df, side, keys, "left").select(
+        *names, F.coalesce("_hot", F.lit(False)).alias("_hot"), F.when(F.col("_coarse").isNotNull(), page).alias("_page"), "_step")
+    found = null_safe_join(paged, hinted(plan.pages, plan.small), [*keys, "_page"], "left")
+    chunk = F.col("_page") * F.col("_step") + bounds_before(F.col("_bounds"), at)
+    out = found.select(*names, F.coalesce(F.when(F.col("_bounds").isNotNull(), chunk), F.lit(0)).alias("_chunk"), "_hot")
     # The shuffled join leaves a hot group in one place: deal its chunks out.
     return out if plan.small else out.repartition(*plan.keys, "_hot", "_chunk")
 
@@ -194,7 +215,7 @@ def ordered_context(df: DataFrame, plan: ChunkPlan, *, row_number: str | None =
     keys, order = plan.keys, plan.order
     unb = Window.unboundedPreceding, Window.unboundedFollowing
     new_names = ([row_number] if row_number else []) + [s[0] for s in (*lags, *leads, *firsts, *lasts, *counts)]
-    kept = [c for c in df.columns if c not in new_names]
+    kept = [c for c in df.columns if c not in new_names and c != "_chunk"]
 
     def w_(name: str) -> str:
         return f"_w_{name}"

@@ -46,30 +46,40 @@ def chunked_path(rows: DataFrame, value: str, separator: str, order: tuple[str,
     return parts.groupBy("session_id").agg(ordered_path("_part", separator, "_chunk").alias(name))
 
 
+def hot_majority(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """Most frequent ``value`` of hot sessions from its counts (NULL is a
+    value; ties go to the smallest, NULL first): a session's values are spread
+    over tasks, and no buffer holds a map of them."""
+    counts = rows.filter(F.col("_hot")).groupBy("session_id", value).agg(F.count(F.lit(1)).alias("_times"))
+    order = F.struct(-F.col("_times"), F.col(value))
+    return counts.groupBy("session_id").agg(F.min_by(F.col(value), order).alias(name))
+
+
 def session_facts(flat: DataFrame, with_duration_ms: bool = False,
-                  plan: ChunkPlan | None = None) -> DataFrame:
+                  plan: ChunkPlan | None = None, with_path: bool = True) -> DataFrame:
     """C3: one row per session with path, steps, duration, device, entry
     page, first-touch source/medium/campaign and behaviour flags.
 
     First touch (C2) is folded in as ``min_by`` on the event order: the same
     value the first-value window gives on every row, without a window.
     ``with_duration_ms`` adds the integer duration used for exact averages.
-    With hot sessions in ``plan`` their path is built per chunk first.
-    """
+    With hot sessions in ``plan`` their path is built per chunk and their
+    device from counts first. All other facts merge map-side, so without the
+    path (``with_path=False``) no session needs a plan."""
     hot = plan is not None and plan.active
     rows = flat
-    path_value = "page_template"
+    path_value, cold = "page_template", None
     if hot:
-        # hot sessions are left out of the one-level path (NULLs are skipped)
-        rows = with_chunks(flat, plan).withColumn(
-            "_path_value", F.when(~F.col("_hot"), F.col("page_template")))
+        # hot sessions are left out of the one-level path and majority (NULLs are skipped)
+        cold = ~F.col("_hot")
+        rows = with_chunks(flat, plan).withColumn("_path_value", F.when(cold, F.col("page_template")))
         path_value = "_path_value"
     duration_ms = F.max("trace_time") - F.min("trace_time")
-    cols = [
-        ordered_path(path_value, PATH_SEPARATOR).alias("journey_path"),
+    cols = [ordered_path(path_value, PATH_SEPARATOR).alias("journey_path")] if with_path else []
+    cols += [
         F.count(F.lit(1)).alias("journey_steps"),
         (duration_ms / F.lit(1000)).alias("journey_duration_seconds"),
-        majority_value("device_type").alias("primary_device_type"),
+        majority_value("device_type", where=cold).alias("primary_device_type"),
         first_by_order("page_template").alias("entry_page_template"),
         first_by_order("traffic_source_grouped").alias("traffic_source_first"),
         first_by_order("traffic_medium").alias("traffic_medium_first"),
@@ -83,7 +93,12 @@ def session_facts(flat: DataFrame, with_duration_ms: bool = False,
     if not hot:
         return facts
     # Hot paths are few but long: joined on the session key (NULL is one), not broadcast.
-    paths = chunked_path(rows, "page_template", PATH_SEPARATOR, EVENT_ORDER, "_hot_path")
-    out = null_safe_join(facts, paths, ["session_id"], "left")
-    return out.select(*[F.coalesce("_hot_path", "journey_path").alias(c) if c == "journey_path" else c
+    key = ["session_id"]
+    found = hot_majority(rows, "device_type", "_hot_device").withColumn("_is_hot", F.lit(True))
+    instead = {"primary_device_type": "_hot_device"}
+    if with_path:
+        found = null_safe_join(found, chunked_path(rows, "page_template", PATH_SEPARATOR, EVENT_ORDER, "_hot_path"), key)
+        instead["journey_path"] = "_hot_path"
+    out = null_safe_join(facts, found, key, "left")
+    return out.select(*[F.when(F.col("_is_hot"), F.col(instead[c])).otherwise(F.col(c)).alias(c) if c in instead else c
                         for c in facts.columns])

@@ -7,7 +7,7 @@ only kept where it is part of the feature (a top-k report).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from journeykit.functions.rules import channel_group, source_type
@@ -212,16 +212,16 @@ def entry_source_medium(seq_facts: DataFrame) -> DataFrame:
 def category_frequency(params: DataFrame) -> DataFrame:
     """Q22: product-detail rows per category at event × parameter grain, with
     the share of all such rows (taken before the top-100 cut)."""
-    counts = (params.filter((F.col("page_template") == "ProductDetail")
-                            & ~(F.col("url_lag") == F.col("url")))
-              .groupBy("product_category").agg(_count()))
-    # The total is a scalar subquery (a distributed sum of the per-category
-    # counts, evaluated once) rather than a window over all rows, which would
-    # move the whole relation into one task.
-    total = counts.agg(F.sum("cnt")).scalar()
-    share = F.col("cnt") / total
-    return (counts.select("*", share.alias("cnt_pct"))
-            .orderBy(F.desc("cnt"), F.asc_nulls_first("product_category")).limit(TOP_CATEGORIES))
+    rows = params.filter((F.col("page_template") == "ProductDetail") & ~(F.col("url_lag") == F.col("url")))
+    # Categories and their total in one pass; the total sorts first, so it is
+    # among the rows that the cut leaves, and the window sees these few only.
+    counts = (rows.groupingSets([["product_category"], []], "product_category")
+              .agg(_count(), F.grouping("product_category").alias("_all")))
+    order = [F.desc("cnt"), F.asc_nulls_first("product_category")]
+    top = counts.orderBy(F.desc("_all"), *order).limit(TOP_CATEGORIES + 1)
+    total = F.max(F.when(F.col("_all") == 1, F.col("cnt"))).over(Window.partitionBy())
+    return (top.withColumn("_total", total).where("_all = 0")
+            .select("product_category", "cnt", (F.col("cnt") / F.col("_total")).alias("cnt_pct")).orderBy(*order))
 
 
 def single_product_journeys_by_source(seq_facts: DataFrame) -> DataFrame:
@@ -235,19 +235,23 @@ def single_product_journeys_by_source(seq_facts: DataFrame) -> DataFrame:
     return _ranked(out, "cnt", "entry_page_traffic_source")
 
 
-def traffic_by_source(enriched: DataFrame) -> DataFrame:
-    """Q24: distinct sessions per (raw source or majority source, medium)."""
+def traffic_by_source(events: DataFrame) -> DataFrame:
+    """Q24: distinct sessions per (raw source or majority source, medium).
+
+    Every event has an enriched row, so the events with their session's facts
+    hold the same sessions: no parameter is taken apart. They are partitioned by
+    session, which the distinct count starts from without another exchange."""
     src = F.coalesce("traffic_source", "primary_traffic_source")
-    out = enriched.groupBy(src.alias("primary_source"), "traffic_medium").agg(
+    out = events.groupBy(src.alias("primary_source"), "traffic_medium").agg(
         F.count_distinct("session_id").alias("cnt"))
     return _ranked(out, "cnt", "primary_source", "traffic_medium")
 
 
-def entry_traffic_by_source(enriched: DataFrame) -> DataFrame:
+def entry_traffic_by_source(events: DataFrame) -> DataFrame:
     """Q25: first events only — grouped entry source (majority source as
     fallback) and the session's entry medium, distinct sessions."""
     src = F.coalesce("entry_page_traffic_source", "primary_traffic_source")
-    out = (enriched.filter(F.col("event_seq_num") == 1)
+    out = (events.filter(F.col("event_seq_num") == 1)
            .groupBy(src.alias("primary_source"), "entry_page_medium")
            .agg(F.count_distinct("session_id").alias("cnt")))
     return _ranked(out, "cnt", "primary_source", "entry_page_medium")
@@ -263,10 +267,15 @@ def sessions_by_journey(seq_facts: DataFrame) -> DataFrame:
     return _ranked(out, "cnt", "journey_fingerprint_str")
 
 
-def sample_session(params: DataFrame) -> DataFrame:
-    """Q27: every event × parameter row of one session (the smallest id),
-    with the event time as a timestamp first."""
-    chosen = params.agg(F.min("session_id")).scalar()
+def smallest_session_with_urls(flat: DataFrame) -> DataFrame:
+    """The smallest id of a session none of whose URLs is NULL (one row), read
+    from the ids and whether the URLs are there."""
+    whole = flat.groupBy("session_id").agg(F.bool_and(F.col("url").isNotNull()).alias("_whole"))
+    return whole.where("_whole").agg(F.min("session_id"))
+
+
+def session_rows(params: DataFrame) -> DataFrame:
+    """Event × parameter rows with the event time as a timestamp first."""
     ts = F.expr("timestampadd(MILLISECOND, trace_time, TIMESTAMP_NTZ'1970-01-01 00:00:00')")
-    rows = params.filter(F.col("session_id") == chosen).select(ts.alias("trace_timestamp_millis"), "*")
+    rows = params.select(ts.alias("trace_timestamp_millis"), "*")
     return rows.orderBy(F.asc("event_seq_num"), F.asc_nulls_first("param_name"))

@@ -445,3 +445,10 @@ FROM params WHERE session_id = (SELECT min(session_id) FROM params)"""),
         "  FROM ev_num\n", "  FROM ev_num WHERE strftime(make_timestamp(vst * 1000000), '%Y%m%d') "
         "BETWEEN '20240103' AND '20240112'\n"),
 }
+
+# Keys that read the same rows from saved shards or tables.
+ORACLE_SQL["preprocess_hits_from_shards"] = ORACLE_SQL["preprocess_hits_date_range"]
+ORACLE_SQL["session_facts_from_shards"] = ORACLE_SQL["session_facts"]
+ORACLE_SQL["session_facts_incremental"] = ORACLE_SQL["session_facts"]
+ORACLE_SQL.update({f"{key}_from_table": ORACLE_SQL[key] for key in (
+    "session_facts", "navigation_context", "enriched_events")})

@@ -5,7 +5,8 @@ from journeykit.sources.visits import (
     read_visits,
     write_visits,
 )
-from journeykit.sources.tables import read_table, write_flat_events
+from journeykit.sources.manifest import session_sizes, update_manifest
+from journeykit.sources.tables import read_table, write_flat_events, write_split_by_session
 
 __all__ = [
     "VISITS_DDL",
@@ -15,4 +16,7 @@ __all__ = [
     "write_visits",
     "read_table",
     "write_flat_events",
+    "write_split_by_session",
+    "session_sizes",
+    "update_manifest",
 ]

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from journeykit.operators.sequence import ChunkPlan, with_chunks
+
 DEFAULT_BUCKETS = 64
 
 
@@ -27,7 +29,8 @@ def write_by_session(rows: DataFrame, table: str, buckets: int = DEFAULT_BUCKETS
 
     The rows are dealt by the bucket key first, so each bucket is one task's
     and at most ``buckets`` files are written, whatever the number of input
-    tasks. A hot session is one bucket's, as bucketing defines it.
+    tasks. A hot session is one bucket's, as bucketing defines it;
+    ``write_split_by_session`` keeps hot sessions apart.
     ``buckets`` should grow with the data (about one bucket per 256 MB of
     compressed events); ``path`` places the table in a shared folder."""
     writer = (rows.repartition(buckets, "session_id").write.mode(mode).format("parquet")
@@ -38,3 +41,26 @@ def write_by_session(rows: DataFrame, table: str, buckets: int = DEFAULT_BUCKETS
 
 
 write_flat_events = write_by_session
+
+
+def hot_table(table: str) -> str:
+    return f"{table}_hot"
+
+
+def write_split_by_session(flat: DataFrame, table: str, plan: ChunkPlan, buckets: int = DEFAULT_BUCKETS,
+                           path: str | None = None) -> None:
+    """Save flat events as two tables: ``table``, bucketed by ``session_id``,
+    and ``hot_table(table)`` with the rows of the sessions that ``plan`` found
+    too large for one task (the NULL session may be one), bucketed by session
+    and chunk, so that one session is written and read by many tasks.
+
+    A session is in one of them whole, in the first only if it fits one task:
+    reading them needs no size pass. The second is empty without hot sessions."""
+    marked = with_chunks(flat, plan)
+    write_by_session(marked.where("not _hot").drop("_hot", "_chunk"), table, buckets, path)
+    key = ["session_id", "_chunk"]
+    writer = (marked.where("_hot").drop("_hot").repartition(buckets, *key).write.mode("overwrite").format("parquet")
+              .bucketBy(buckets, *key).sortBy(*key, "trace_time", "event_seq_num"))
+    if path is not None:
+        writer = writer.option("path", f"{path.rstrip('/')}_hot")
+    writer.saveAsTable(hot_table(table))

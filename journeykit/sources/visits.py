@@ -12,12 +12,15 @@ Two ways in:
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from journeykit.functions.columns import epoch_millis
-from journeykit.operators.sequence import DEFAULT_ROWS_PER_CHUNK, ordered_context, plan_chunks
+from journeykit.operators.sequence import DEFAULT_ROWS_PER_CHUNK, group_sizes, no_chunks, ordered_context, plan_chunks
 from journeykit.session import rows_per_chunk as configured_rows_per_chunk
+from journeykit.sources.manifest import update_manifest
 
 # Only the fields the flattening reads. Passing this as the read schema is
 # what prunes the nested ``hits`` struct: Catalyst alone does not prune
@@ -78,20 +81,60 @@ def _pick(values: list, index: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
-def visits_from_events(events: DataFrame,
-                            rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK,
-                            with_plan: bool = False):
-    """Nested visits derived from the ``events`` table (FIXTURES.md §3).
+class Largest(NamedTuple):
+    """Events of the largest visit and of the largest session."""
+    visit: int
+    session: int
 
-    The hit number is the position inside the visit; visits larger than
-    ``rows_per_chunk`` are numbered in ordered chunks (``sequence``). With
-    ``with_plan`` the visit chunk plan is returned too: a session of this
-    source is one visit and its flat rows are a subset of the visit's
-    events, so no hot visit means no hot session."""
+
+def _with_visit_keys(events: DataFrame) -> DataFrame:
     ms = epoch_millis(events, "ts")
     bucket = F.floor((ms - F.lit(FIXTURE_EPOCH_MS)) / F.lit(FIXTURE_VISIT_MS))
-    ev = events.select("event_id", "user_id", "event_type", ms.alias("ms"), bucket.alias("b"))
-    visits = plan_chunks(ev, ["user_id", "b"], ["ms", "event_id"], rows_per_chunk)
+    return events.select("event_id", "user_id", "event_type", ms.alias("ms"), bucket.alias("b"))
+
+
+def largest_groups(events: DataFrame) -> Largest:
+    """Sizes of the largest visit and session of the derived source, by one
+    pass that reads the visit keys only. The events of a session's visits bound
+    its flat rows; visits without a visitor id are one session."""
+    visits = group_sizes(_with_visit_keys(events), ["user_id", "b"])
+    session = F.when(F.col("user_id") != FIXTURE_NULL_VISITOR, F.struct("user_id", "b"))
+    sessions = visits.groupBy(session.alias("session")).agg(F.sum("_n").alias("n"), F.max("_n").alias("visit"))
+    row = sessions.agg(F.max("visit"), F.max("n")).first()
+    return Largest(row[0] or 0, row[1] or 0)
+
+
+#: Largest groups of the event files that this application has read, by their
+#: path and what the folder listing says of them.
+_LARGEST: dict[tuple, Largest] = {}
+
+
+def known_largest_groups(spark: SparkSession, path: str) -> Largest:
+    """``largest_groups`` of the events saved under ``path``, counted once per
+    application and state of the files."""
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    summary = fs.getContentSummary(file)
+    state = (spark.sparkContext.applicationId, path, summary.getLength(), summary.getFileCount(),
+             fs.getFileStatus(file).getModificationTime())
+    if state not in _LARGEST:
+        _LARGEST[state] = largest_groups(spark.read.parquet(path))
+    return _LARGEST[state]
+
+
+def visits_from_events(events: DataFrame, rows_per_chunk: int = DEFAULT_ROWS_PER_CHUNK,
+                       largest: Largest | None = None) -> DataFrame:
+    """Nested visits derived from the ``events`` table (FIXTURES.md §3).
+
+    The hit number is the position inside the visit; visits larger than
+    ``rows_per_chunk`` are numbered in ordered chunks (``sequence``). If
+    ``largest`` tells that there are none, they are not looked for."""
+    ev = _with_visit_keys(events)
+    keys, order = ["user_id", "b"], ["ms", "event_id"]
+    if largest is not None and largest.visit <= rows_per_chunk:
+        visits = no_chunks(keys, order)
+    else:
+        visits = plan_chunks(ev, keys, order, rows_per_chunk)
     ev = ordered_context(ev, visits, row_number="hit_number")
 
     vst = F.lit(FIXTURE_EPOCH_MS // 1000) + F.col("b") * F.lit(FIXTURE_VISIT_MS // 1000)
@@ -151,14 +194,13 @@ def visits_from_events(events: DataFrame,
         .groupBy("user_id", "b", "hit_block")
         .agg(F.sort_array(F.collect_list(hit)).alias("hits"))
     )
-    out = blocks.select(*visit_attrs, "hits").select(*names, "hits")
-    return (out, visits) if with_plan else out
+    return blocks.select(*visit_attrs, "hits").select(*names, "hits")
 
 
-def load_visits(spark: SparkSession, sf_dir: str, with_plan: bool = False):
+def load_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested visits for a test-data directory (derived from ``events``)."""
-    return visits_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"),
-                                   configured_rows_per_chunk(spark), with_plan)
+    path = f"{sf_dir}/events.parquet"
+    return visits_from_events(spark.read.parquet(path), configured_rows_per_chunk(spark), known_largest_groups(spark, path))
 
 
 def read_visits(spark: SparkSession, path: str) -> DataFrame:
@@ -166,7 +208,10 @@ def read_visits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VISITS_DDL).parquet(path)
 
 
-def write_visits(sessions: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_visits(sessions: DataFrame, path: str, mode: str = "overwrite", with_sizes: bool = False) -> None:
     """Write nested visits as Parquet partitioned by ``date`` (one folder per
-    daily shard), so date ranges prune whole folders on read."""
+    daily shard), so date ranges prune whole folders on read. ``with_sizes``
+    counts the sessions of the new shards into the manifest beside them."""
     sessions.write.mode(mode).partitionBy("date").parquet(path)
+    if with_sizes:
+        update_manifest(sessions.sparkSession, path, read_visits(sessions.sparkSession, path))
