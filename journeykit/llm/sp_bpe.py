@@ -20,8 +20,10 @@ from pyspark import SparkContext
 from pyspark.sql import Column, SparkSession
 from pyspark.sql.functions import arrow_udf
 
-#: Distinct pre-tokens that a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Distinct pre-tokens that a worker remembers, twice over: the newer ones and the ones before.
+REMEMBERED = 200_000
+#: Characters of pieces that are encoded in a line.
+LINE = 1 << 12
 #: Characters that are cut into pre-tokens at a time.
 BLOCK = 1 << 19
 
@@ -73,6 +75,13 @@ def model_bytes(tokens: list[bytes]) -> bytes:
     return pieces + unknown + _message(2, trainer) + _message(3, normalizer)
 
 
+def byte_pieces(tokens: list[bytes]) -> list[str]:
+    """``byte_piece`` of all tokens, mapped in one array."""
+    ends = np.cumsum([0, *map(len, tokens)]).tolist()
+    mapped = byte_piece(b"".join(tokens))
+    return [mapped[lo:hi] for lo, hi in zip(ends, ends[1:])]
+
+
 class PieceEncoder:
     """Encodes pre-tokens to the bytes of their int32 ids."""
 
@@ -80,25 +89,47 @@ class PieceEncoder:
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pattern = regex.compile(pattern)
         self.whole = {t: struct.pack("<i", i) for i, t in enumerate(tokens)}
+        self.unknown = len(tokens)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def learn(self, pretokens: list[str]) -> None:
-        """Make all of ``pretokens`` known; the new ones are encoded in one call."""
+    def learn(self, pieces: set[str]) -> None:
+        """Make ``pieces`` known. When the memory is full its content becomes
+        the older one: what is met again moves back, the rest is forgotten."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        left = []
-        for piece in {x for x in pretokens if x not in self.known}:
-            whole = self.whole.get(piece.encode())
-            if whole is None:
+            self.known, self.older = {}, self.known
+        left, tokens = [], []
+        for piece in pieces:
+            token = piece.encode()
+            ids = self.older.get(piece) or self.whole.get(token)
+            if ids is None:
                 left.append(piece)
+                tokens.append(token)
             else:
-                self.known[piece] = whole
+                self.known[piece] = ids
         if left:
-            for piece, ids in zip(left, self.processor.encode([byte_piece(x.encode()) for x in left], num_threads=1)):
-                self.known[piece] = np.array(ids, "<i4").tobytes()
-
-    def join(self, pretokens: list[str]) -> bytes:
-        return b"".join(map(self.known.__getitem__, pretokens))
+            self.known.update(zip(left, self.encode_pieces(tokens)))
+
+    def encode_pieces(self, tokens: list[bytes]) -> list[bytes]:
+        """The ids of many pieces: a line of them at a time, with spaces
+        between. A space is in no token, so merges stay within a piece, and each
+        space becomes the unknown id, at which the ids are cut again."""
+        lines, size, line = [], 0, []
+        for piece in byte_pieces(tokens):
+            line.append(piece)
+            size += len(piece)
+            if size > LINE:
+                lines.append(" ".join(line))
+                line, size = [], 0
+        if line:
+            lines.append(" ".join(line))
+        out = []
+        for found in self.processor.encode(lines, num_threads=1):
+            ids = np.array(found, "<i4")
+            cuts = np.nonzero(ids == self.unknown)[0]
+            data = ids.tobytes()
+            out += [data[lo:hi] for lo, hi in zip([0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)])]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, a block of texts at a time; a text longer than
@@ -121,8 +152,26 @@ class PieceEncoder:
         return out + self._flush(held)
 
     def _flush(self, held: list[list[str]]) -> list[bytes]:
-        self.learn([x for pretokens in held for x in pretokens])
-        return [self.join(pretokens) for pretokens in held]
+        """Each pre-token is looked up once; those that are new are learned together and put into their places."""
+        ids, missing = [], []
+        for pretokens in held:
+            own = list(map(self.known.get, pretokens))
+            at, places = -1, []
+            try:
+                while True:
+                    at = own.index(None, at + 1)
+                    places.append(at)
+            except ValueError:
+                pass
+            ids.append(own)
+            missing.append(places)
+        new = {pretokens[i] for pretokens, places in zip(held, missing) for i in places}
+        if new:
+            self.learn(new)
+            for pretokens, own, places in zip(held, ids, missing):
+                for i in places:
+                    own[i] = self.known[pretokens[i]]
+        return [b"".join(own) for own in ids]
 
 
 def share_codec(spark: SparkSession, ranks_path: str, pattern: str):
@@ -133,12 +182,14 @@ def share_codec(spark: SparkSession, ranks_path: str, pattern: str):
 
 
 def encode(text: Column, codec) -> Column:
-    """``array<int>`` of token ids of a text column; a null text counts as empty and has no ids."""
+    """``array<int>`` of token ids of a text column; a null or empty text has
+    no ids. Whole texts are encoded, a block at a time; equal texts have equal
+    ids. Bytes that are no UTF-8 are read as U+FFFD."""
     def batch(texts: pa.Array) -> pa.Array:
         state = codec.value
         if "encoder" not in state:
             state["encoder"] = PieceEncoder(state["model"], state["tokens"], state["pattern"])
-        parts = state["encoder"].encode([t or "" for t in texts.to_pylist()])
+        parts = state["encoder"].encode([str(t or b"", "utf-8", "replace") for t in texts.cast(pa.binary()).to_pylist()])
         offsets = np.cumsum([0, *map(len, parts)]) // 4
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
     return arrow_udf(batch, "array<int>")(text)
