@@ -60,27 +60,43 @@ def model_bytes(text: bytes | None) -> bytes:
 def gram_windows(texts: list[bytes], depth: int):
     """(index of the text, gram) arrays in windows of bounded length. A gram
     holds a byte and, above it, the ``depth`` bytes before (newlines before the
-    first), the nearest lowest."""
+    first), the nearest lowest: the eight bytes up to it, read as one big-endian
+    number, without those that are too far."""
     if not texts:
         return
     pad = b"\n" * depth
-    data = np.frombuffer(pad + pad.join(texts), np.uint8)
+    # Eight bytes are read at every place, so something must stand before the first.
+    before = bytes(7 - depth)
+    data = before + pad + pad.join(texts)
     lengths = np.array([len(t) for t in texts])
-    starts = np.concatenate([[0], np.cumsum(lengths + depth)])[:-1] + depth
-    for at in range(depth, len(data), WINDOW):
-        part = data[at - depth:at + WINDOW].astype(np.uint64)
-        n = len(part) - depth
-        gram = np.zeros(n, np.uint64)
-        for j in range(depth + 1):
-            gram |= part[depth - j:depth - j + n] << np.uint64(8 * j)
-        own = np.searchsorted(starts, np.arange(at, at + n), "right") - 1
-        real = np.arange(at, at + n) < starts[own] + lengths[own]
-        yield own[real], gram[real]
+    starts = np.cumsum(lengths + depth) - lengths + len(before)
+    near = np.uint64(low_bits(8 * (depth + 1)))
+    for at in range(7, len(data), WINDOW):
+        end = min(at + WINDOW, len(data))
+        gram = np.empty(end - at, np.uint64)
+        for k in range(min(8, end - at)):
+            gram[k::8] = np.ndarray((end - at - k + 7) // 8, ">u8", data, at - 7 + k, 8)
+        gram &= near
+        lo, hi = np.searchsorted(starts, (at, end - 1), "right") - 1
+        lo = max(lo, 0)
+        first = np.maximum(starts[lo:hi + 1], at)
+        rows = np.maximum(np.minimum(starts[lo:hi + 1] + lengths[lo:hi + 1], end) - first, 0)
+        own = np.repeat(np.arange(lo, hi + 1), rows)
+        if len(own) < len(gram):
+            real = np.zeros(len(gram) + 1, np.int8)
+            some = rows > 0
+            real[first[some] - at] += 1
+            real[first[some] + rows[some] - at] -= 1
+            gram = gram[np.cumsum(real[:-1], dtype=np.int8).view(bool)]
+        yield own, gram
 
 
 def _sum_grams(held: list) -> tuple[np.ndarray, np.ndarray]:
-    grams, first = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
-    return grams, np.bincount(first, np.concatenate([n for _, n in held])).astype(np.int64)
+    grams, n = np.concatenate([g for g, _ in held]), np.concatenate([n for _, n in held])
+    order = np.argsort(grams)
+    grams = grams[order]
+    first = np.nonzero(np.concatenate([np.ones(min(len(grams), 1), bool), grams[1:] != grams[:-1]]))[0]
+    return grams[first], np.add.reduceat(n[order], first).astype(np.int64) if len(first) else np.empty(0, np.int64)
 
 
 def part_of(gram: np.ndarray, bits: int) -> np.ndarray:
