@@ -34,7 +34,7 @@ def boilerplate_lines(docs: DataFrame, text_col: str, site_col: str, max_ratio:
                    .where(F.col("line").isNull() | (F.col("pages") >= min_pages)), "line-counts")
     total = counts.where("line is null").select(F.col("site").alias("of"), F.col("pages").alias("total"))
     over = (counts.where("line is not null").join(total, F.col("site").eqNullSafe(F.col("of")))
-            .where(F.col("pages") > F.lit(max_ratio) * F.col("total")))
+            .where(F.col("pages") / F.col("total") > F.lit(max_ratio)))
     return over.groupBy("site").agg(F.collect_list("line").alias("lines"))
 
 
@@ -46,8 +46,8 @@ def drop_boilerplate_lines(docs: DataFrame, text_col: str = "text", site_col: st
     A line (text between newlines, compared as it is) is boilerplate on a site
     if more than ``max_ratio`` of the site's pages contain it, and at least
     ``min_pages`` pages do: a line that one page in a hundred repeats was put
-    there by the site, and few pages may repeat one by chance. Every occurrence goes, also repeated ones within a
-    page. Blank lines never count and stay. A null site is a site of its own.
+    there by the site, and few pages may repeat one by chance. Every occurrence
+    goes, also repeated ones within a page. Blank lines never count and stay. A null site is a site of its own.
     A null text stays null with no lines; an empty text has one line. No row
     goes: a text may become empty. An empty table gives an empty result.
     """

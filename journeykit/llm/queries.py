@@ -43,7 +43,7 @@ def op3_language_id(spark, sf_dir):
 @query
 def op4_line_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return line_dedup.drop_boilerplate_lines(docs, max_ratio=0.1, min_pages=3)
+    return line_dedup.drop_boilerplate_lines(docs, max_ratio=0.01, min_pages=3)
 
 
 @query
@@ -149,7 +149,7 @@ LLM_ORACLE_SQL = {
         line AS (SELECT DISTINCT source, text, unnest(string_split(text, chr(10))) AS line FROM page),
         bad AS (SELECT l.source, l.line FROM (SELECT source, line, count(*) AS n FROM line WHERE trim(line) <> ''
                                               GROUP BY source, line) l
-                JOIN total t ON l.source IS NOT DISTINCT FROM t.source WHERE n >= 3 AND n > 0.1 * pages),
+                JOIN total t ON l.source IS NOT DISTINCT FROM t.source WHERE n >= 3 AND n / pages > 0.01::DOUBLE),
         part AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
                         generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
         marked AS (SELECT p.*, b.line IS NOT NULL AS gone FROM part p
