@@ -115,17 +115,20 @@ def gunzip(content: bytes) -> bytes:
     return b"".join(out) + content
 
 
-def parse_arc(data: bytes):
+def parse_arc(data: bytes, skip_damaged: bool = False):
     """(offset, fields, block) of each record after the version block. The
     header lines are read by the version that the block states; a length that
-    runs past the end, or a header line with too few fields, raises."""
+    runs past the end, or a header line with too few fields, raises. With
+    ``skip_damaged`` the next line that is a header with a date and a length
+    that fits is looked for instead, and what lies between is left out."""
     def header(at: int, names: list[str]):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
-        values = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        if len(values) < len(names):
-            raise ValueError(f"ARC header line at byte {at} has {len(values)} fields of {len(names)}")
-        fields = dict(zip(names, values[:len(names) - 1])) | {names[-1]: values[-1]}
+        # From the right: an old URL, the first field, may hold spaces.
+        values = data[at:end].decode("utf-8", "replace").rstrip("\r").rsplit(" ", len(names) - 1)
+        if len(values) < len(names) or not values[-1].isdecimal():
+            raise ValueError(f"no ARC header line of {len(names)} fields at byte {at}")
+        fields = dict(zip(names, values))
         stop = end + 1 + int(fields[names[-1]])
         if stop > len(data):
             raise ValueError(f"ARC record at byte {at} declares {fields[names[-1]]} bytes; the file ends before")
@@ -145,21 +148,33 @@ def parse_arc(data: bytes):
             at += 1
         if at >= len(data):
             return
-        fields, start, stop = header(at, names)
+        try:
+            fields, start, stop = header(at, names)
+            sound = len(fields["Archive-date"]) == 14 and fields["Archive-date"].isdecimal()
+            if skip_damaged and not sound:
+                raise ValueError(f"no date in the ARC header line at byte {at}")
+        except ValueError:
+            if not skip_damaged:
+                raise
+            end = data.find(b"\n", at)
+            at = len(data) if end < 0 else end + 1
+            continue
         yield at, fields, data[start:stop]
         at = stop
 
 
-def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+def read_arc(spark: SparkSession, path: str, payloads: bool = True, skip_damaged: bool = False) -> DataFrame:
     """The records of all ARC files under ``path``: ``record_id, page_id, url,
     ip, date, mime, digest, payload_bytes, head, payload`` (``head`` and
-    ``payload`` null without ``payloads``). Identifiers come from archive name
-    and offset, so reading again gives the same."""
+    ``payload`` null without ``payloads``). Identifiers come from the archive's
+    full path and the offset, so reading again gives the same, and archives of
+    one name in several folders differ. Damage raises, or is skipped as
+    ``parse_arc`` states."""
     def task(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = []
-                for offset, fields, block in parse_arc(gunzip(content)):
+                for offset, fields, block in parse_arc(gunzip(content), skip_damaged):
                     head, payload, http = split_http(block)
                     page = http.get(PAGE_HEADER.lower())
                     url = None if fields["URL"] == "-" else fields["URL"]
@@ -173,8 +188,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
                 yield _records(rows)
 
     files = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.select(name.alias("name"), "content").mapInArrow(task, RECORD_SCHEMA)
+    return files.select("path", "content").mapInArrow(task, RECORD_SCHEMA)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
@@ -199,7 +213,8 @@ def warc_record(kind: str, record_id: str, fields: list[tuple[str, str | None]],
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in lines if v is not None) + "\r\n").encode() + block
 
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_bytes: int = 1000) -> None:
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_bytes: int = 1000,
+                skip_damaged: bool = False) -> None:
     """Write WARC files for all ARC files under ``arc_path``.
 
     Of the records with equal payloads of at least ``min_revisit_bytes``, that
@@ -208,7 +223,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_
     payload's digest and length but not the payload. The first pass reads
     digests only; the payloads are read once, by the pass that writes.
     """
-    light = read_arc(spark, arc_path, payloads=False).where(F.col("payload_bytes") >= min_revisit_bytes)
+    light = read_arc(spark, arc_path, False, skip_damaged).where(F.col("payload_bytes") >= min_revisit_bytes)
     ranked = F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "record_id", "url", "date")
     chosen = saved(light.groupBy("digest", "payload_bytes").agg(F.count(F.lit(1)).alias("n"), F.max(ranked).alias("to"))
                    .where("n > 1").select("digest", "payload_bytes", "to.record_id", "to.url", "to.date"), "revisited")
@@ -230,7 +245,7 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_revisit_
                 yield warc_record("revisit" if repeat else "response", r["record_id"], fields,
                                   r["head"] + (b"" if repeat else r["payload"]))
 
-    rows = read_arc(spark, arc_path).join(small_side(chosen, chosen.count()), ["digest", "payload_bytes"], "left")
+    rows = read_arc(spark, arc_path, True, skip_damaged).join(small_side(chosen, chosen.count()), ["digest", "payload_bytes"], "left")
     _write(rows.mapInArrow(lambda batches: _lines(records(batches)), "value binary"), warc_path, "\r\n\r\n")
 
 
