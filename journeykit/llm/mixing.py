@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from journeykit.llm.storage import saved, small_side, source_key, word_count
+from journeykit.llm.storage import copy_numbers, saved, small_side, source_key, word_count
 
 MAX_REPEATS = 3
 NEW = ["size", "source_size", "target", "rounds", "taken", "cut_from", "cut_size"]
@@ -88,6 +88,9 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
                        F.xxhash64(F.lit(seed), F.col(f"`{id_col}`").cast("string"), text).alias("h"))
     if text_col not in names:
         rows = saved(rows, "mix-rows")
+    # Rows that repeat as a whole are interchangeable; many are spread over the shards.
+    rows = copy_numbers(rows.withColumn("whole", F.xxhash64("doc")), ["src", "h", "size", "whole"], shard_docs, "copy")
+    rows = rows.withColumn("h", F.when(F.col("copy") == 0, F.col("h")).otherwise(F.xxhash64("h", "copy"))).drop("whole", "copy")
     found = (rows.groupBy("src").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
              .limit(max_sources + 1).collect())
     if len(found) > max_sources:

@@ -13,7 +13,7 @@ sum over the bucket sizes makes the ranks within buckets global.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from journeykit.llm.storage import saved, source_key
+from journeykit.llm.storage import copy_numbers, saved, source_key
 
 #: Hash range of the seeded order.
 SPAN = 1 << 52
@@ -43,20 +43,22 @@ def stratified_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id"
     at most a few from the source's share. ``size`` is the text's UTF-8 bytes
     plus one, ``text_crc32`` that of its bytes; a null text counts as empty. A
     null source is a source. Rows with equal ids are ordered by their text;
-    rows that repeat as a whole may swap places, which changes no result.
-    With fewer rows than shards some shards stay empty.
+    rows that repeat as a whole may swap places, which changes no result, and
+    are spread over the buckets if they are many. Texts of any length are read
+    whole. Other columns are not read. With fewer rows than shards some shards
+    stay empty; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    seeded = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "crc", "size").bitwiseAND(F.lit(SPAN - 1))
+    seeded = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "crc", "size", "copy").bitwiseAND(F.lit(SPAN - 1))
     rows = saved(docs.select(F.col(id_col).alias("id"), source_key(F.col(source_col)).alias("src"),
-                             (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("crc"))
-                 .withColumn("h", seeded), "shard-rows")
+                             (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("crc")), "shard-rows")
+    rows = saved(copy_numbers(rows, ["id", "src", "crc", "size"], bucket_rows, "copy").withColumn("h", seeded), "shard-seeds")
     counts = saved(rows.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "source-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     per_source = counts.select("src", F.ceil(F.col("n") / F.lit(bucket_rows)).alias("buckets"))
     rows = (rows.join(per_source, "src")
             .withColumn("hb", F.floor(F.col("h") / F.lit(float(SPAN)) * F.col("buckets")).cast("long")).drop("buckets"))
-    rows = with_rank(rows, ["src"], "hb", ["h", "id", "crc", "size"], "rank")
+    rows = with_rank(rows, ["src"], "hb", ["h", "id", "crc", "size", "copy"], "rank")
     # Correctly rounded division: equal fractions are equal doubles.
     buckets = max(1, -(-total // bucket_rows))
     rows = rows.withColumn("f", (2 * F.col("rank") + 1) / (2 * F.col("rank_of")))

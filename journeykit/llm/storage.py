@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from journeykit.session import ensure_checkpoint_dir
@@ -63,3 +63,39 @@ def word_count(text: Column) -> Column:
 def source_key(source: Column) -> Column:
     """A source as a key that is never null and sorts by code points, null last."""
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("t"))
+
+
+def copy_numbers(rows: DataFrame, keys: list[str], most: int, out: str) -> DataFrame:
+    """``rows`` with ``out``, long: the rows of a key that more than ``most``
+    rows have are numbered from 0, all other rows have 0.
+
+    Rows equal in ``keys`` must be interchangeable: which of them gets which
+    number may differ from run to run, the numbers do not. They are numbered
+    within the tasks that hold them, and shifted by the rows of the tasks
+    before, so no task takes a key's rows whole. ``rows`` is read more than
+    once, and so is a saved table."""
+    hot = saved(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > most).drop("__n"), "hot-keys")
+    n = hot.count()
+    if not n:
+        return rows.withColumn(out, F.lit(0).cast("bigint"))
+
+    def same(other: DataFrame) -> Column:
+        equal = F.lit(True)
+        for k in keys:
+            equal = equal & rows[k].eqNullSafe(other[k])
+        return equal
+
+    some = saved(rows.join(small_side(hot, n), same(hot), "left_semi")
+                 .withColumn("__task", F.floor(F.monotonically_increasing_id() / F.lit(float(1 << 33))).cast("bigint")), "copies")
+    in_task = Window.partitionBy(*keys, "__task").orderBy(F.lit(0))
+    sizes = some.groupBy(*keys, "__task").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__task").alias("__of"),
+                          F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    at = some.withColumn("__at", F.row_number().over(in_task) - 1)
+    equal = F.col("__task") == F.col("__of")
+    for k in keys:
+        equal = equal & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    numbered = at.join(shifts, equal).withColumn(out, (F.col("__at") + F.col("__before")).cast("bigint"))
+    others = rows.join(small_side(hot, n), same(hot), "left_anti").withColumn(out, F.lit(0).cast("bigint"))
+    return others.unionByName(numbered.select(*others.columns))
