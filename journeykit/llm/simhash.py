@@ -127,7 +127,7 @@ def fingerprint_links(fingerprints: DataFrame, max_bits: int, segments: int, buc
     return pairs.unionByName(forests)
 
 
-def fingerprint_components(fingerprints: DataFrame, max_bits: int = 2, segments: int = 5, bucket_rows: int = 32,
+def fingerprint_components(fingerprints: DataFrame, max_bits: int = 2, segments: int = 5, bucket_rows: int = 2048,
                            tile_rows: int = 2048) -> DataFrame:
     """``(fp, part)``: every distinct fingerprint of column ``fp`` with the
     smallest fingerprint that it reaches over links of ``max_bits`` or fewer
