@@ -150,8 +150,8 @@ def _sampled_bags(bits: int):
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "toxic", max_docs: int = 4000, bits: int = 20, least_share: float = 0.005, least_docs: int = 3,
-          most_share: float = 0.5) -> dict:
+          label_col: str = "toxic", max_docs: int = 3000, bits: int = 20, least_share: float = 0.005, least_docs: int = 3,
+          most_share: float = 0.3) -> dict:
     """A model of ``label_col`` (1, or any other number) learned from the
     ``docs`` where ``rows`` holds and that have a label.
 
