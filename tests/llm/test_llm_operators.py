@@ -259,6 +259,17 @@ def test_archives(spark):
     assert arc_warc.pages_through_archives(pages.limit(0)).count() == 0
 
 
+def test_record_ids_of_archives_with_one_name(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        block = arc_warc.http_block(1, folder.encode() * 600)
+        (tmp_path / folder / "p.arc").write_bytes(arc_warc.version_block(1, "p.arc", "20240101000000") + b"\n" + arc_warc.arc_header(
+            1, "http://a/", "1.2.3.4", "20240101000000", "text/html", block, 0) + block)
+    ids = [r["record_id"] for r in arc_warc.read_arc(spark, f"{tmp_path}/*").collect()]
+    again = [r["record_id"] for r in arc_warc.read_arc(spark, f"{tmp_path}/*").collect()]
+    assert len(set(ids)) == 2 and sorted(ids) == sorted(again)
+
+
 def test_arc_versions():
     for version in (1, 2):
         block = arc_warc.http_block(5, b"body\n\nwith lines")
@@ -268,6 +279,18 @@ def test_arc_versions():
         assert got == block and fields["IP-address"] == "1.2.3.4" and fields["URL"] == "http://a/"
         with pytest.raises(ValueError):
             list(arc_warc.parse_arc(data[:-8]))
+        # an old URL may hold spaces
+        odd = arc_warc.version_block(version, "x", "20240101000000") + b"\n" + arc_warc.arc_header(
+            version, "http://a/", "1.2.3.4", "20240101000000", "text/html", block, 0).replace(b"http://a/", b"http://a/x y") + block
+        (_, fields, _), = arc_warc.parse_arc(odd)
+        assert (fields["URL"], fields["IP-address"], fields["Archive-date"]) == ("http://a/x y", "1.2.3.4", "20240101000000")
+        # a damaged header, and one whose length runs past the end, cost their own records only
+        record = data[data.index(b"\nhttp://a/") + 1:]
+        hurt = data[:-len(record)] + record + b"garbage line\n" + record.replace(b"1.2.3.4 ", b"") + record + record[:-9]
+        with pytest.raises(ValueError):
+            list(arc_warc.parse_arc(hurt))
+        found = [r[2] for r in arc_warc.parse_arc(hurt, skip_damaged=True)]
+        assert found == [block, block]
     assert arc_warc.warc_date("20240101020304") == "2024-01-01T02:03:04Z"
 
 
@@ -440,6 +463,67 @@ def test_shards(spark, odd):
     assert sharding.stratified_shards(docs.limit(0)).count() == 0
 
 
+def _shards(docs, n_shards, bucket_rows, seed=42):
+    """The sharding law by plain sorting: seeded order in each source, fractional ranks, equal pieces."""
+    by_key, rows = {}, []
+    for i, text, src in docs:
+        body = (text or "").encode()
+        key = (i, "t" if src is None else "s" + src, zlib.crc32(body), len(body) + 1)
+        by_key[key] = by_key.get(key, 0) + 1
+    for (i, src, crc, size), n in by_key.items():
+        for copy in range(n):
+            rows.append((i, src, crc, size, copy if n > bucket_rows else 0))
+    return rows
+
+
+def test_shards_of_one_hot_text(spark):
+    """A third of the rows without an id and of one text: no bucket holds them all, reruns agree, and the law holds."""
+    rows = [(None, "the same text", "en", "big", 1)] * 300 + [(i, f"t{i}", "en", "big" if i % 3 else "s", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    seen = []
+    with_rank = sharding.with_rank
+    try:
+        sharding.with_rank = lambda r, group, bucket, order, out: seen.append(
+            r.groupBy(*group, bucket).count().agg(F.max("count")).first()[0]) or with_rank(r, group, bucket, order, out)
+        got = sharding.stratified_shards(docs, 8, bucket_rows=32).collect()
+    finally:
+        sharding.with_rank = with_rank
+    assert max(seen) < 100
+    again = sharding.stratified_shards(docs.repartition(7), 8, bucket_rows=32).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and len(got) == 900
+    hot = [sum(r["doc_id"] is None and r["shard"] == s for r in got) for s in range(8)]
+    assert sum(hot) == 300 and min(hot) > 15
+
+
+def test_shards_brute_force(spark):
+    """The registered query's shards and slots by plain sorting of the same seeded order."""
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    want = _shards([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()], 8, 8192)
+    hashes = spark.createDataFrame(want, "id long, src string, crc long, size long, copy long").withColumn(
+        "h", F.xxhash64(F.lit(42), F.col("id").cast("string"), "crc", "size", "copy").bitwiseAND(F.lit((1 << 52) - 1))).collect()
+    line = []
+    for src in {r["src"] for r in hashes}:
+        own = sorted((r for r in hashes if r["src"] == src), key=lambda r: (r["h"], r["id"]))
+        line += [((2 * i + 1) / (2 * len(own)), src, i, r) for i, r in enumerate(own)]
+    line.sort(key=lambda x: x[:3])
+    n, expected = len(line), {}
+    for at, (*_, r) in enumerate(line):
+        shard = at * 8 // n
+        expected[r["id"]] = (shard, at - (shard * n + 7) // 8)
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in LLM_QUERIES["op10_stratified_shards"](spark, SF_SMALL).collect()}
+    assert got == expected
+
+
+def test_copy_numbers(spark):
+    from journeykit.llm.storage import copy_numbers
+    rows = spark.createDataFrame([(None, "a", i % 5) for i in range(100)] + [(1, "b", 7), (1, "b", 8), (2, None, 0)],
+                                 "k long, t string, other int").repartition(9).checkpoint()
+    got = copy_numbers(rows, ["k", "t"], 10, "no").collect()
+    assert sorted(r["no"] for r in got if r["k"] is None) == list(range(100)) and len(got) == 103
+    assert all(r["no"] == 0 for r in got if r["k"] is not None)
+    assert {r["no"] for r in copy_numbers(rows, ["k", "t"], 1000, "no").collect()} == {0}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     names = docs.columns
