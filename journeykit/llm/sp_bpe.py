@@ -8,6 +8,7 @@ one is encoded once, and decoding is the inverse map from ids to bytes.
 """
 
 import base64
+import re
 import struct
 from itertools import islice
 
@@ -82,17 +83,49 @@ def byte_pieces(tokens: list[bytes]) -> list[str]:
     return [mapped[lo:hi] for lo, hi in zip(ends, ends[1:])]
 
 
+def latin_pattern(pattern: str) -> re.Pattern | None:
+    """``pattern`` for texts of Latin-1 characters alone, its classes written
+    out, which the standard library matches faster; the classes are asked of the
+    module that matches all other texts. None if it has escapes other than
+    letters, numbers and white space."""
+    members = {name: [chr(c) for c in range(256) if regex.match(name, chr(c))] for name in (r"\p{L}", r"\p{N}", r"\s")}
+    written = {name: "".join(map(re.escape, found)) for name, found in members.items()}
+    out, at, in_class = [], 0, False
+    while at < len(pattern):
+        name = next((n for n in (*written, r"\S") if pattern.startswith(n, at)), pattern[at])
+        if name == "\\" or (name == r"\S" and in_class):
+            return None
+        if name in written:
+            out.append(written[name] if in_class else f"[{written[name]}]")
+        elif name == r"\S":
+            out.append(f"[^{written[chr(92) + 's']}]")
+        else:
+            in_class = name == "[" or (in_class and name != "]")
+            out.append(name)
+        at += len(name)
+    return re.compile("".join(out))
+
+
 class PieceEncoder:
     """Encodes pre-tokens to the bytes of their int32 ids."""
 
     def __init__(self, model: bytes, tokens: list[bytes], pattern: str):
         self.processor = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.pattern = regex.compile(pattern)
+        self.pattern, self.latin = regex.compile(pattern), latin_pattern(pattern)
         self.whole = {t: struct.pack("<i", i) for i, t in enumerate(tokens)}
         self.unknown = len(tokens)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def pattern_for(self, text: str):
+        if self.latin is None:
+            return self.pattern
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.pattern
+        return self.latin
+
     def learn(self, pieces: set[str]) -> None:
         """Make ``pieces`` known. When the memory is full its content becomes
         the older one: what is met again moves back, the rest is forgotten."""
@@ -139,12 +172,12 @@ class PieceEncoder:
             if len(text) > BLOCK:
                 out += self._flush(held)
                 held, size, parts = [], 0, []
-                found = self.pattern.finditer(text)
+                found = self.pattern_for(text).finditer(text)
                 while block := [m.group() for m in islice(found, BLOCK // 8)]:
                     parts += self._flush([block])
                 out.append(b"".join(parts))
                 continue
-            held.append(self.pattern.findall(text))
+            held.append(self.pattern_for(text).findall(text))
             size += len(text)
             if size > BLOCK:
                 out += self._flush(held)
