@@ -316,6 +316,22 @@ def test_bpe_equals_tiktoken(spark, odd):
     assert np.frombuffer(encoder.encode([long])[0], "<i4").tolist() == want.encode_ordinary(long)
 
 
+def test_latin_pattern():
+    """Written-out classes cut Latin-1 texts as the pattern does, for every character and neighbour."""
+    import public_tokenizers as P
+    import regex
+
+    latin, pattern = sp_bpe.latin_pattern(P.PATTERN), regex.compile(P.PATTERN)
+    rng = np.random.default_rng(7)
+    texts = ["".join(chr(a) + chr(b) for b in range(256)) for a in range(256)]
+    texts += ["".join(map(chr, rng.choice([32, 9, 10, 13, 28, 31, 39, 115, 116, 65, 95, 133, 160, 178, 188, 215, 233, 50], 80))) for _ in range(2000)]
+    assert all(latin.findall(t) == pattern.findall(t) for t in texts)
+    assert sp_bpe.latin_pattern(r"\p{Lu}+|.") is None and sp_bpe.latin_pattern(r"[\S]") is None
+    encoder = sp_bpe.PieceEncoder(sp_bpe.model_bytes(sp_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))),
+                                  sp_bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    assert encoder.pattern_for("é") is encoder.latin and encoder.pattern_for("日") is encoder.pattern
+
+
 def _highest_quotients(votes, seats):
     won = [0] * len(votes)
     for _ in range(seats):
