@@ -89,7 +89,7 @@ def mix_sources(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     if text_col not in names:
         rows = saved(rows, "mix-rows")
     # Rows that repeat as a whole are interchangeable; many are spread over the shards.
-    rows = copy_numbers(rows.withColumn("whole", F.xxhash64("doc")), ["src", "h", "size", "whole"], shard_docs, "copy")
+    rows = copy_numbers(rows.withColumn("whole", F.xxhash64("doc")), ["src", "h", "whole"], shard_docs, "copy")
     rows = rows.withColumn("h", F.when(F.col("copy") == 0, F.col("h")).otherwise(F.xxhash64("h", "copy"))).drop("whole", "copy")
     found = (rows.groupBy("src").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
              .limit(max_sources + 1).collect())
